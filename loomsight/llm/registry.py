@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, wavelet
+from loomsight.llm import bpe, chat, minhash, wavelet
 
 
 def queries() -> dict:
