@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, minhash, suffix, wavelet
+from loomsight.llm import bpe, chat, langid, minhash, suffix, wavelet
 
 
 def queries() -> dict:
