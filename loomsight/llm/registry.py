@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, langid, minhash, suffix, wavelet
+from loomsight.llm import bpe, chat, divergence, langid, minhash, suffix, wavelet
 
 
 def queries() -> dict:
-    return {"op9_chat_format": chat.query, "op8_wavelet": wavelet.query, "op10_bpe": bpe.query}
+    return {"op9_chat_format": chat.query, "op5_divergence": divergence.query, "op8_wavelet": wavelet.query, "op10_bpe": bpe.query}
 
 
 def oracle_sql() -> dict[str, str]:
