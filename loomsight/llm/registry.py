@@ -6,7 +6,15 @@ from loomsight.llm import bpe, chat, divergence, langid, minhash, suffix, wavele
 
 
 def queries() -> dict:
-    return {"op9_chat_format": chat.query, "op5_divergence": divergence.query, "op8_wavelet": wavelet.query, "op10_bpe": bpe.query}
+    return {
+        "op2_suffix_dedup": suffix.query,
+        "op3_langid": langid.query,
+        "op4_minhash_forest": minhash.query,
+        "op5_divergence": divergence.query,
+        "op8_wavelet": wavelet.query,
+        "op9_chat_format": chat.query,
+        "op10_bpe": bpe.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
