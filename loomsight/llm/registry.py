@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, divergence, langid, minhash, suffix, wavelet
+from loomsight.llm import bpe, chat, divergence, langid, minhash, suffix, templates, wavelet
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_langid": langid.query,
         "op4_minhash_forest": minhash.query,
         "op5_divergence": divergence.query,
+        "op6_templates": templates.query,
         "op8_wavelet": wavelet.query,
         "op9_chat_format": chat.query,
         "op10_bpe": bpe.query,
