@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, divergence, langid, minhash, suffix, templates, wavelet
+from loomsight.llm import bpe, chat, divergence, langid, minhash, ordinal, suffix, templates, wavelet
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_minhash_forest": minhash.query,
         "op5_divergence": divergence.query,
         "op6_templates": templates.query,
+        "op7_ordinal": ordinal.query,
         "op8_wavelet": wavelet.query,
         "op9_chat_format": chat.query,
         "op10_bpe": bpe.query,
