@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomsight.llm import bpe, chat, divergence, langid, minhash, ordinal, suffix, templates, wavelet
+import corpus_pipeline
+from loomsight.llm import bpe, chat, divergence, fixity, langid, minhash, ordinal, suffix, templates, wavelet
 
 
 def queries() -> dict:
     return {
+        "op1_merkle_fixity": fixity.query,
         "op2_suffix_dedup": suffix.query,
         "op3_langid": langid.query,
         "op4_minhash_forest": minhash.query,
@@ -16,8 +18,9 @@ def queries() -> dict:
         "op8_wavelet": wavelet.query,
         "op9_chat_format": chat.query,
         "op10_bpe": bpe.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat.SQL}
+    return {"op1_merkle_fixity": fixity.SQL, "op9_chat_format": chat.SQL}
