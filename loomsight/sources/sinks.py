@@ -52,7 +52,7 @@ def snapshot(df: DataFrame, path: str, by: str = "bucket_type") -> None:
 def delivery_csv(df: DataFrame, path: str) -> None:
     """SNK-06: one CSV table with header and byte-order mark in its first name."""
     first, *rest = df.columns
-    publish(flat(df).coalesce(1).toDF("﻿" + first, *rest), path, "csv", header="true")
+    publish(flat(df).coalesce(1).toDF("﻿" + first, *rest), path, "csv", header="true", escape="\"")
 
 
 def markdown(profile: DataFrame) -> str:
