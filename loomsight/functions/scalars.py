@@ -34,6 +34,11 @@ def normalize_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of ``c``, which is evaluated once: a lambda's body would evaluate it for every element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unique(arr: Column) -> Column:
     """SET-04: ordered unique, first one kept."""
     return F.array_distinct(arr)
@@ -42,8 +47,8 @@ def unique(arr: Column) -> Column:
 def unique_ignoring_case(arr: Column) -> Column:
     """SET-03: trimmed, blanks dropped, first spelling kept."""
     clean = F.filter(F.transform(arr, strip), lambda x: x != "")
-    low = F.transform(clean, F.lower)
-    return F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    firsts = lambda c, low: F.filter(c, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(clean, lambda c: let(F.transform(c, F.lower), lambda low: firsts(c, low)))
 
 
 def normalize_tags(c: Column) -> Column:

@@ -12,7 +12,7 @@ _ITEM = "array<struct<type:string,query:string,based_on:string>>"
 
 
 def _tokens(c: Column) -> Column:
-    return S.unique(F.transform(S.unique_ignoring_case(F.split(F.coalesce(c, F.lit("")), r"\|")), S.platform_label))
+    return S.unique(F.transform(S.unique_ignoring_case(F.split(F.coalesce(c, F.lit("")), r"\|")), lambda x: S.let(F.lower(x), lambda low: F.coalesce(S.lookup(fixed.PLATFORM_LABELS, low), low))))
 
 
 def scopes(df: DataFrame, override: list[str] | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ def plan(keywords: DataFrame, override: list[str] | None = None, supplements: st
         parts.append(F.transform(F.coalesce(supplements, F.array().cast("array<string>")), lambda v: item(F.lit("llm_supplement"), S.strip(v), F.col("word"))).cast(_ITEM))
     # every stage stops at the cap and skips spellings already taken, so the first of each spelling, capped, is the same
     every = F.filter(F.concat(*parts), lambda x: x["query"] != "")
-    low = F.transform(every, lambda x: F.lower(x["query"]))
-    taken = F.slice(F.filter(every, lambda x, i: F.array_position(low, F.lower(x["query"])) == i + 1), 1, F.col("limit"))
+    firsts = lambda e, low: F.filter(e, lambda x, i: F.array_position(low, F.lower(x["query"])) == i + 1)
+    taken = F.slice(S.let(every, lambda e: S.let(F.transform(e, lambda x: F.lower(x["query"])), lambda low: firsts(e, low))), 1, F.col("limit"))
     out = rows.withColumn("items", taken).select("*", F.posexplode("items").alias("pos", "item"))
     return out.select(
         "keyword_id", "platform_pos", "pos", "platform", S.platform_code(F.col("platform")).alias("platform_code"), F.col("item.query").alias("expanded_query"), F.col("item.type").alias("expansion_type"),

@@ -37,13 +37,13 @@ def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> Dat
     return df.withColumns({"is_stale": stale, "usable": ~(stale | weak | low | blocked), "blocked_by_safety": blocked, "rejection_reason": F.nullif(reason, F.lit(""))})
 
 
-def overlap(query: Column, keyword: Column, text: Column) -> Column:
-    """Terms of a question found in a signal's text; two more if its keyword is in the question, one if the reverse holds."""
-    low = F.lower(S.strip(query))
-    terms = F.filter(F.split(low, r"(?U)\s+"), lambda t: t != "")
-    found = F.aggregate(terms, F.lit(0), lambda n, t: n + F.when(text.contains(t), 1).otherwise(0))
-    k = F.lower(keyword)
-    return found + F.when(low.contains(k), 2).when((low != "") & k.contains(low), 1).otherwise(0)
+def overlap(low: Column, terms: Column, keyword: Column, text: Column) -> Column:
+    """Terms of a question found in a signal's text; two more if its keyword is in the question, one if the reverse holds.
+
+    All in lower case; ``low`` is the whole question, ``terms`` its words.
+    """
+    found = F.size(F.filter(terms, lambda t: text.contains(t)))
+    return found + F.when(low.contains(keyword), 2).when((low != "") & keyword.contains(low), 1).otherwise(0)
 
 
 def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, config: Config = Config()) -> DataFrame:
@@ -52,19 +52,20 @@ def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, co
     ``queries``: query_id, query. ``signals``: signal columns and ``pos``, their order. Each block keeps at most ``k``
     rows of a question before the blocks meet.
     """
-    own = signals.withColumn("__text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")])))
+    asked = queries.withColumn("__low", F.lower(S.strip(F.col("query")))).withColumn("__terms", F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != ""))
+    own = signals.withColumn("__key", F.lower("normalized_keyword")).withColumn("__text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")])))
     total = signals.count()
     rank = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "pos")
     blocks = max(1, -(-total // config.block))
     best = None
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == b)
-        pairs = queries.crossJoin(F.broadcast(part)).withColumn("overlap", overlap(F.col("query"), F.col("normalized_keyword"), F.col("__text"))).where("overlap > 0")
+        pairs = asked.crossJoin(F.broadcast(part)).withColumn("overlap", overlap(F.col("__low"), F.col("__terms"), F.col("__key"), F.col("__text"))).where("overlap > 0")
         pairs = pairs.withColumn("match_score", F.col("overlap") * 100.0 + F.col("trend_score"))
         pairs = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
         best = pairs if best is None else best.unionByName(pairs)
     best = best if blocks == 1 else best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return evidence_flags(best.drop("__text"), now, config)
+    return evidence_flags(best.drop("__text", "__key", "__low", "__terms"), now, config)
 
 
 def answer(queries: DataFrame, evidence: DataFrame, hook: Callable[[Column], Column] | None = None) -> DataFrame:
