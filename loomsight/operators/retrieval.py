@@ -52,7 +52,9 @@ def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, co
     ``queries``: query_id, query. ``signals``: signal columns and ``pos``, their order. Each block keeps at most ``k``
     rows of a question before the blocks meet.
     """
-    asked = queries.withColumn("__low", F.lower(S.strip(F.col("query")))).withColumn("__terms", F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != ""))
+    # each question meets every signal: spread by question, which the ranking below asks for anyway
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.repartition(spread, "query_id").withColumn("__low", F.lower(S.strip(F.col("query")))).withColumn("__terms", F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != ""))
     own = signals.withColumn("__key", F.lower("normalized_keyword")).withColumn("__text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")])))
     total = signals.count()
     rank = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "pos")
