@@ -13,8 +13,8 @@ anchors at equal places, so
   order of the strings stays in memory. A window is repeated if its weight is two or more or the common prefix with a
   neighbour reaches ``LENGTH``;
 * an anchor with more than ``CROWD`` different segments (the edge of a passage in a great many documents) would land in
-  one task. Its segments are dealt again by the digest of what ``STEP`` neighbouring windows have in common, and where
-  even that is crowded by the windows' own digests; these are counted with partial sums, so no key is large.
+  one task. Its segments are dealt again by the digest of what a step of neighbouring windows has in common, and where steps
+  differ beyond that, again by narrower ones down to the window; these are counted with partial sums, so no key is large.
 
 Defined results: null or empty text has nothing to remove; texts shorter than ``LENGTH`` bytes neither; rows that repeat
 are occurrences like any other; a null ``doc_id`` and repeated ``doc_id`` are allowed, rows are told apart by their text;
@@ -36,8 +36,10 @@ from loomsight.llm.common import chunks, mix, pick, prefix_hash, span_hash, stag
 
 LENGTH, ANCHOR = 200, 32
 REACH = LENGTH - ANCHOR + 1
-#: Different segments of one anchor that one task compares; windows of a step beyond; strings the transform takes at once.
-CROWD, STEP, STRINGS = 200, 16, 16_384
+#: Different segments of one anchor that one task compares; strings the transform takes at once.
+CROWD, STRINGS = 200, 16_384
+#: Widths of the steps, in windows, by which crowded anchors are taken apart; the last must be one window.
+STEPS = {"wide": 16, "near": 4, "single": 1}
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -221,62 +223,65 @@ def _compare(batches):
             held = held.slice(cut)
 
 
-def _steps(batches):
-    """Crowded segments to steps of ``STEP`` windows: the digest of what these share, and of the whole."""
-    for batch in batches:
-        raw = batch.column(6).to_pylist()
-        off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-        prefix = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
-        n, place = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-        # steps are aligned at the anchor, so equal windows fall into equal steps, be their segments of unequal extent
-        first = -place // STEP
-        count = (-place + n - 1) // STEP - first + 1
-        rows = np.repeat(np.arange(len(raw)), count)
-        step = (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + first[rows]) * STEP + place[rows]
-        lo, hi = np.maximum(step, 0), np.minimum(step + STEP, n[rows])
-        core = span_hash(prefix, off[rows] + step + STEP - 1, off[rows] + step + LENGTH)
-        whole = span_hash(prefix, off[rows] + lo, off[rows] + hi - 1 + LENGTH) ^ (lo - step + STEP * (hi - lo)).astype(np.uint64)
-        r = pa.array(rows)
-        columns = [batch.column(0).take(r), batch.column(1).take(r), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), batch.column(4).take(r), _signed(core), _signed(mix(whole))]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "g", "lo", "n", "c", "core", "whole"])
-
-
-def _single(batches):
-    """The windows of steps ``(h, g, lo, c, bytes)``, one by one: ``h, g, lo, c`` and the window's digest."""
-    for batch in batches:
-        raw = batch.column(4).to_pylist()
-        n = np.fromiter(map(len, raw), np.int64, len(raw)) - LENGTH + 1
-        off = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])
-        rows = np.repeat(np.arange(len(raw)), n)
-        j = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-        at = off[rows] + j
-        window = span_hash(prefix_hash(np.frombuffer(b"".join(raw), np.uint8)), at, at + LENGTH)
-        r, lo = pa.array(rows), batch.column(2).to_numpy()[rows] + j
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(r), batch.column(1).take(r), pa.array(lo.astype(np.int32)), batch.column(3).take(r), _signed(window)], ["h", "g", "lo", "c", "window"])
+def _steps(width: int, whole: bool):
+    """A function that cuts pieces ``(h, g, lo, n, at, c, bytes)`` into steps of ``width`` windows.
+
+    Steps are aligned at the anchor (``at`` is the first window's place from it), so equal windows fall into equal steps,
+    be their pieces of unequal extent. A step has the digest of the bytes that all windows of a full step share and the
+    digest of all its own; its bytes go along if ``whole``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(6).to_pylist()
+            off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+            prefix = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
+            low, n, at = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4))
+            first = at // width
+            count = (at + n - 1) // width - first + 1
+            rows = np.repeat(np.arange(len(raw)), count)
+            step = (np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + first[rows]) * width - at[rows]
+            a, b = np.maximum(step, 0), np.minimum(step + width, n[rows])
+            core = span_hash(prefix, off[rows] + step + width - 1, off[rows] + step + LENGTH)
+            own = span_hash(prefix, off[rows] + a, off[rows] + b - 1 + LENGTH) ^ (a - step + width * (b - a)).astype(np.uint64)
+            r, i32 = pa.array(rows), lambda x: pa.array(x.astype(np.int32))
+            columns = [batch.column(0).take(r), batch.column(1).take(r), i32(low[rows] + a), i32(b - a), i32(at[rows] + a), batch.column(5).take(r), _signed(core), _signed(mix(own))]
+            names = ["h", "g", "lo", "n", "at", "c", "core", "own"]
+            if whole:
+                columns.append(pa.array([raw[k][i : j - 1 + LENGTH] for k, i, j in zip(rows.tolist(), a.tolist(), b.tolist())], pa.binary()))
+                names.append("bytes")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def _crowded(cut: DataFrame) -> DataFrame:
     """Runs of repeated windows of crowded anchors: ``h, g, lo, n``."""
+    pieces = cut.select("h", "g", F.lit(0).alias("lo"), "n", (-F.col("place")).alias("at"), "c", "bytes")
+    return _closer(pieces, list(STEPS.items())).select("h", "g", F.explode("runs").alias("r")).select("h", "g", "r.lo", "r.n")
 
-    def pieces(batches):
-        for batch in batches:
-            raw = batch.column(6).to_pylist()
-            for b in _steps([batch]):
-                # the step's bytes go along: at most STEP - 1 + LENGTH of them
-                where = {k: i for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))}
-                own = [raw[where[k]][lo : lo + n - 1 + LENGTH] for k, lo, n in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.binary())], [*b.schema.names, "bytes"])
-
-    steps = cut.mapInArrow(pieces, "h long, g long, lo int, n int, c long, core long, whole long, bytes binary")
-    light = cut.mapInArrow(_steps, "h long, g long, lo int, n int, c long, core long, whole long")
-    kinds = light.groupBy("core", "whole").agg(F.sum("c").alias("c"))
-    cores = staged(kinds.groupBy("core").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).filter("total > 1"), "cores")
-    rows = staged(steps.join(cores, "core").select("h", "g", "lo", "n", "c", "bytes", "kinds"), "steps")
-    whole = rows.filter("kinds = 1").select("h", "g", "lo", "n")
-    single = rows.filter("kinds > 1").select("h", "g", "lo", "c", "bytes").mapInArrow(_single, "h long, g long, lo int, c long, window long")
-    single = staged(single, "windows")
-    often = single.groupBy("window").agg(F.sum("c").alias("total")).filter("total > 1").select("window")
-    return whole.unionByName(single.join(often, "window").select("h", "g", "lo", F.lit(1).alias("n")))
+
+def _closer(pieces: DataFrame, steps: list[tuple[str, int]]) -> DataFrame:
+    """Per piece, told apart by ``h`` and ``g``, its runs of repeated windows: ``h, g, runs (lo, n)``.
+
+    Pieces are cut into steps and equal steps become one with their weights summed, so copies cost nothing further on. A
+    step whose core no other step shares holds no repeat; one whose core only ever has the same bytes around it is
+    repeated whole; the others are looked at closer, with the next width.
+    """
+    (name, width), rest = steps[0], steps[1:]
+    own, core = f"{name}_bytes", f"{name}_core"
+    schema = "h long, g long, lo int, n int, at int, c long, core long, own long"
+    where = pieces.mapInArrow(_steps(width, False), schema).select("h", "g", "lo", F.col("own").alias(own))
+    cut = pieces.mapInArrow(_steps(width, True), schema + ", bytes binary").withColumnsRenamed({"own": own, "core": core})
+    kinds = staged(cut.groupBy(own).agg(F.sum("c").alias("c"), *[F.min(x).alias(x) for x in (core, "n", "at", "bytes")]), f"kinds-{name}")
+    shared = kinds.groupBy(core).agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).filter("total > 1").select(core, "kinds")
+    kinds = staged(kinds.join(shared, core).select(F.col(own).alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("lo"), "n", "at", "c", "bytes", "kinds"), f"shared-{name}")
+    verdict = kinds.filter("kinds = 1").select("h", F.array(F.struct("lo", "n")).alias("runs"))
+    if rest:
+        verdict = verdict.unionByName(_closer(kinds.filter("kinds > 1").drop("kinds"), rest).select("h", "runs"))
+    found = where.join(verdict.withColumnRenamed("h", own), own)
+    runs = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"), r["n"].alias("n")))
+    return staged(found.select("h", "g", runs.alias("runs")).groupBy("h", "g").agg(F.flatten(F.collect_list("runs")).alias("runs")), f"runs-{name}")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -300,7 +305,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     compared = cut.filter("not crowded").drop("crowded").repartition("h").sortWithinPartitions("h", "g").mapInArrow(_compare, "h long, g long, lo int, n int")
     runs = staged(compared.unionByName(_crowded(cut.filter("crowded"))).unionByName(sole).groupBy("h", "g").agg(F.collect_list(F.struct("lo", "n")).alias("runs")), "verdicts")
     placed = found.select("d", "u", "a", "h", "g").join(runs, ["h", "g"]).select("d", "u", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("a")).alias("at"), r["n"].alias("n"))).alias("runs"))
-    return placed.groupBy("d", "u").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return placed.groupBy("d", "u").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _spans(size: int, runs: list[dict] | None) -> list[tuple[int, int]]:
