@@ -13,6 +13,8 @@ A very long document makes its file longer; it is never cut.
 
 from __future__ import annotations
 
+import gc
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,8 +37,10 @@ SHARD = 1 << 20
 #: Bits between two stored ranks.
 STRIDE = 512
 END_ID = 0
-#: Entries of a worker's cache of encoded words.
+#: Entries of each of the two generations of a worker's caches: of stretches, and of the words in them.
 CACHE = 300_000
+#: Letters from which on a stretch is not kept.
+LONG = 64
 
 
 def _bits(plane: np.ndarray, n: int) -> np.ndarray:
@@ -46,11 +50,12 @@ def _bits(plane: np.ndarray, n: int) -> np.ndarray:
 def pack(ids: np.ndarray, lengths: np.ndarray, bits: int) -> bytes:
     """A shard file of ``ids``, which are below ``2**bits``, and the lengths of the documents they belong to."""
     z = zstandard.ZstdCompressor(level=3)
-    out, now = [z.compress(lengths.astype("<u4").tobytes())], ids.astype(np.uint32)
+    kind = np.uint16 if bits <= 16 else np.uint32
+    out, now = [z.compress(lengths.astype("<u4").tobytes())], ids.astype(kind)
     for level in range(bits - 1, -1, -1):
-        one = (now >> np.uint32(level) & np.uint32(1)).astype(bool)
+        one = (now & kind(1 << level)) != 0
         out.append(z.compress(np.packbits(one).tobytes()))
-        now = np.concatenate([now[~one], now[one]])
+        now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
     sizes = struct.pack(f"<{len(out)}Q", *map(len, out))
     return HEAD.pack(MAGIC, bits, len(ids), len(lengths)) + sizes + b"".join(out)
 
@@ -79,13 +84,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: the levels are undone from the lowest bit up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             one = _bits(self.planes[level], self.n)
-            up = np.empty(self.n, np.uint32)
-            up[~one] = now[: self.zeros[level]]
-            up[one] = now[self.zeros[level] :]
-            now = up | one.astype(np.uint32) << np.uint32(self.bits - 1 - level)
+            up = np.empty(self.n, kind)
+            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = now
+            now = up | one.astype(kind) << kind(self.bits - 1 - level)
         return now
 
     def _rank1(self, level: int, i: int) -> int:
@@ -145,51 +150,82 @@ class WaveletMatrix:
         return i
 
 
+class _Cache(dict):
+    """A mapping that fills itself; when full its entries become the old generation, which lookups revive."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(key) >= LONG:
+            return self.make(key)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
 class ByteTokens:
-    """The tokenizers library on a byte-level file, with a bounded cache of its results by word.
+    """The tokenizers library on a byte-level file, with bounded caches of its results.
 
-    A stretch of blanks and the word after it encode alike wherever they stand, so they are what is cached.
+    A stretch of blanks and the word after it encode alike wherever they stand, so stretches are what is cached; those of
+    Latin letters are cut further, as the file's own pattern does, so that words meet with and without their stops.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        from loomsight.llm.bpe import byte_letters
 
         self.library = Tokenizer.from_file(path)
+        # the library's own model for single words; its cache, which locks, would only repeat the ones here
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        self.model = BPE(spec["vocab"], [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["merges"]], cache_capacity=0)
+        self.letters = dict(byte_letters())
         self.library.no_padding()
         self.library.no_truncation()
         self.bits = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        self.raw = [np.uint32(k).astype("<u4").tobytes() for k in range(1 << self.bits)]
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.double = regex.compile(r"\s\s|^ | $")
+        # blanks other than single spaces and line ends within a text
+        self.blanks = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\0")
+        self.wide = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.stretch = regex.compile(r"\s*\S+|\s+$")
-        self.cache: dict[str, bytes] = {}
+        # fixed: the pattern of byte-level files of this family
+        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.latin = regex.compile("[\x00-\u024f]*")
+        self.of_word, self.of_stretch, self.of_spaced = _Cache(self._word), _Cache(self._cut), _Cache(lambda w: self._cut(" " + w))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def _cut(self, stretch: str) -> bytes:
+        if not stretch.isascii() and not self.latin.fullmatch(stretch):
+            return self._ids(stretch)
+        return b"".join(map(self.of_word.__getitem__, self.word.findall(stretch)))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.odd.search(text) or any(s in text for s in self.specials):
             return self._ids(text)
-        if self.double.search(text):
-            parts = self.stretch.findall(text)
-        else:
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.stretch.findall(text)
-        out, cache = [], self.cache
-        for p in parts:
-            ids = cache.get(p)
-            if ids is None:
-                ids = self._ids(p)
-                if len(p) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if any(b in text for b in self.blanks) or text[:1] == " " or text[-1:] == " " or not text.isascii() and self.wide.search(text):
+            return b"".join(map(self.of_stretch.__getitem__, self.stretch.findall(text)))
+        first, *spaced = text.split(" ")
+        return (self.of_stretch[first] if first else b"") + b"".join(map(self.of_spaced.__getitem__, spaced))
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteTokens:
+    gc.set_threshold(200_000, 20, 100)  # the caches hold no cycles: scanning them often is for nothing
     return ByteTokens(path)
 
 
