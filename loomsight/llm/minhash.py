@@ -2,14 +2,18 @@
 
 Every document gets its set of distinct five-word shingles, a digest of the set and ``HASHES`` minimum hashes. Copies
 of one set are one representative from here on. Each of ``TREES`` trees sorts the representatives by the signature
-rotated to its own start; neighbours that share at least ``DEPTH`` leading values are candidates. A region of one
-prefix that is too large to compare whole is walked in sorted order in overlapping blocks, so in crowded regions
-neighbours share longer prefixes: depth follows density. Candidates whose signatures agree in ``AGREE`` or more join
-a candidate cluster (a spanning forest is kept, not all pairs). Inside each cluster every pair of different sets is
-then confirmed on full sets, block by block, and the confirmed links make the components.
-
-With similarity s a pair shares no prefix in any tree with probability (1 - s**DEPTH)**TREES: 4e-7 at 0.85; its
-signatures agree in less than ``AGREE`` of the places with probability 2e-6.
+rotated to its own start; sets that share at least ``DEPTH`` leading values are candidates. A region of one prefix
+with up to ``REGION`` sets is compared whole. A larger one is first walked in sorted order in overlapping blocks, which
+joins hot groups of copies; if its sets are then still in different clusters, it is split by ``DEPTH`` further values
+at each later place of the signature, again and again, until every part is compared whole or lies in one cluster:
+depth follows density, in all orders at once. Candidates whose signatures agree in ``AGREE`` or more join a
+candidate cluster (a spanning forest is kept, not all pairs). Inside each cluster every pair of different sets is then
+confirmed on full sets, block by block, and the confirmed links make the components.
+
+With similarity s a pair shares no prefix in any tree with probability (1 - s**DEPTH)**TREES: 4e-7 at 0.85, 3e-5 at
+0.80. If every prefix it shares is crowded and split k times, it needs k + 1 shared places of the ``HASHES // DEPTH``:
+it has fewer with probability 1e-9, 2e-8, 2e-7 for k = 1, 2, 3 at 0.85, 1e-6, 1e-5, 9e-5 at 0.80. Its signatures agree
+in less than ``AGREE`` of the places with probability 7e-6 at 0.85.
 
 Defined results: null or empty text, or text without words, has no shingles, is its own component and is kept; with
 fewer than five words the whole sequence is the one shingle; repeated rows share their component and ``kept`` holds
@@ -31,6 +35,8 @@ from loomsight.llm.common import LOWER, chunks, components, mix, pick, prefix_ha
 WIDTH, HASHES, TREES, DEPTH, AGREE = 5, 128, 20, 4, 0.70
 #: Representatives compared whole in the forest, the overlap of such blocks, and sets in a block of the confirmation.
 REGION, OVERLAP, BLOCK = 256, 32, 48
+#: Sets, about, of a crowded region's largest cluster that one part of the comparison with the other sets holds.
+PART = 4096
 
 
 def shingle_sets(batches, width: int = WIDTH):
@@ -100,10 +106,10 @@ def forest_edges(reps: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` that span the candidate clusters of ``(rep, sig)``."""
     size = 2 * DEPTH
     keys = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * size + 1, F.lit(size)).alias("prefix")))).alias("k")).select("rep", "k.*")
-    shared = keys.groupBy("tree", "prefix").count().filter("count > 1").select("tree", "prefix")
-    placed = keys.join(shared, ["tree", "prefix"]).select("rep", "tree").join(reps, "rep")
+    shared = keys.groupBy("tree", "prefix").agg((F.count("*") > REGION).alias("crowded"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = keys.join(shared, ["tree", "prefix"]).select("rep", "tree", "crowded").join(reps, "rep")
     label = F.concat(F.substring("sig", F.col("tree") * size + 1, F.lit(2 * HASHES)), F.substring("sig", F.lit(1), F.col("tree") * size))
-    rows = staged(placed.select("rep", "tree", label.alias("label")), "forest")
+    rows = staged(placed.select("rep", "tree", label.alias("label"), "crowded"), "forest")
 
     def run(batches):
         carry = None
@@ -143,7 +149,84 @@ def forest_edges(reps: DataFrame) -> DataFrame:
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    return rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label", "rep").mapInArrow(run, "a long, b long").distinct()
+    # a region that is compared whole has one key and stays together; a crowded one is dealt by its whole order
+    order = F.when(F.col("crowded"), F.col("label")).otherwise(F.substring("label", F.lit(1), F.lit(size)))
+    walked = rows.select("rep", "tree", "label", order.alias("order")).repartitionByRange("tree", "order").sortWithinPartitions("tree", "label", "rep").select("rep", "tree", "label").mapInArrow(run, "a long, b long").distinct()
+    hot = rows.filter("crowded").select("rep", F.col("tree").alias("place"), F.concat(F.encode(F.col("tree").cast("string"), "utf-8"), F.substring("label", F.lit(1), F.lit(size))).alias("region"))
+    if hot.isEmpty():
+        return walked
+    walked = staged(walked, "walked")
+    return walked.union(crowded_edges(hot, reps, components(walked, "walks"))).distinct()
+
+
+def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges within crowded regions ``(rep, place, region)`` whose sets are in different clusters ``(node, root)``.
+
+    ``place`` is the last place of ``DEPTH`` values that the sets of a region share. A split at every later place keeps
+    the sets that share the values there. A region is crowded while more than ``REGION`` of its sets lie outside its
+    largest cluster, and is then split again; all others, and those where no place is left, are compared whole.
+    """
+    size, places = 2 * DEPTH, HASHES // DEPTH
+    known = staged(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("root", "rep").alias("root")), "crowded-sets")
+
+    def sizes(parts: DataFrame) -> DataFrame:
+        """Of each region with more than one cluster: its largest cluster, its sets and those outside that cluster."""
+        each = parts.join(known.select("rep", "root"), "rep").groupBy("region", "root").agg(F.count("*").alias("n"))
+        found = each.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        return staged(found.filter("n > most").select("region", "top", "n", (F.col("n") - F.col("most")).alias("others")), "crowded-sizes")
+
+    def run(batches):
+        held: list = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(pa.Table.from_batches([batch]))
+                rows = pa.concat_tables(held).combine_chunks()
+                region = np.array(rows["region"].to_pylist(), object)
+                cut = np.flatnonzero(region[1:] != region[:-1]) + 1
+                last = int(cut[-1]) if len(cut) else 0
+                held = [rows.slice(last)]
+                rows = rows.slice(0, last)
+            else:
+                rows = pa.concat_tables(held) if held else None
+            if rows is None or not rows.num_rows:
+                continue
+            region = np.array(rows["region"].to_pylist(), object)
+            rep = rows["rep"].to_numpy()
+            other = np.array(rows["other"].to_pylist(), bool)
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), ">u2").astype(np.uint16).reshape(-1, HASHES)
+            cut = np.flatnonzero(region[1:] != region[:-1]) + 1
+            left, right = [], []
+            for a, b in zip([0, *cut], [*cut, len(rep)]):
+                for k in a + np.flatnonzero(other[a:b]):
+                    own = a + np.flatnonzero((sig[a:b] == sig[k]).sum(1) >= AGREE * HASHES)
+                    own = own[own != k]
+                    left.append(np.full(len(own), rep[k]))
+                    right.append(rep[own])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    found = []
+    while True:
+        # sets outside a region's largest cluster meet all its sets, which are dealt into parts of bounded size
+        size_of = sizes(hot)
+        end = F.col("place") == places - 1
+        near = hot.join(size_of.filter(F.col("others") <= REGION).unionByName(size_of.filter(F.col("others") > REGION).join(hot.filter(end).select("region").distinct(), "region", "left_semi")), "region")
+        near = near.join(known, "rep").withColumn("other", F.col("root") != F.col("top")).withColumn("deals", F.ceil(F.col("n") / PART).cast("int"))
+        deal = F.when(F.col("other"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int")))
+        near = near.select("rep", "sig", "other", "region", F.explode(deal).alias("deal")).withColumn("region", F.concat("region", F.encode(F.col("deal").cast("string"), "utf-8")))
+        found.append(staged(near.select("rep", "sig", "other", "region").repartition("region").sortWithinPartitions("region", "rep").mapInArrow(run, "a long, b long").distinct(), "crowded-edges"))
+        crowded = size_of.filter(F.col("others") > REGION).select("region")
+        rest = hot.filter(~end).join(crowded, "region")
+        if rest.isEmpty():
+            break
+        to = F.explode(F.sequence(F.col("place") + 1, F.lit(places - 1))).alias("to")
+        value = F.substring("sig", F.col("to") * size + 1, F.lit(size))
+        parts = rest.join(known.select("rep", "sig"), "rep").select("rep", "sig", "region", to)
+        hot = staged(parts.select("rep", F.col("to").alias("place"), F.unhex(F.md5(F.concat("region", F.encode(F.col("to").cast("string"), "utf-8"), value))).alias("region")), "crowded-parts")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def confirmed(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:

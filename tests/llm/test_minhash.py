@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from loomsight.llm import minhash as m
@@ -79,3 +80,25 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, 9), (9, 7), (7, 7), (3, 2), (2, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 100 for k in range(100, 161)}, 1: 1, 9: 1, 7: 1, 3: 2, 2: 2}
+
+
+def test_crowded_regions_lose_no_pair(spark, monkeypatch):
+    # signatures that have about two thirds of their values from one boilerplate; planted pairs share whole prefixes of
+    # it alone: every place with values of their own begins with one that differs
+    monkeypatch.setattr(m, "REGION", 32)
+    monkeypatch.setattr(m, "OVERLAP", 4)
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 16, m.HASHES)
+    sig = np.where(rng.random((3000, m.HASHES)) < 0.65, common, rng.integers(0, 1 << 16, (3000, m.HASHES)))
+    for a in range(0, 60, 2):
+        own = rng.permutation(m.HASHES // m.DEPTH)
+        sig[a] = common
+        for place in own[:18]:
+            sig[a, place * 4 : place * 4 + 4] = rng.integers(0, 1 << 16, 4)
+        sig[a + 1] = sig[a]
+        sig[a + 1, own[:18] * 4] = rng.integers(0, 1 << 16, 18)
+    order = rng.permutation(3000)
+    reps = spark.createDataFrame([(int(order[k]), bytearray(s.astype(">u2").tobytes())) for k, s in enumerate(sig)], "rep long, sig binary")
+    root = dict(map(tuple, components(m.forest_edges(reps)).collect()))
+    assert [a for a in range(0, 60, 2) if root.get(int(order[a]), -1) != root.get(int(order[a + 1]), -2)] == []
+    assert len(root) < 100
