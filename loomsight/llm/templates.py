@@ -6,8 +6,11 @@ documents' windows are joined with them by hash. Along each alignment of a docum
 consistent: what stands for one value of the item is the same value everywhere, and different values stay different. A
 document is contaminated by an item if consistent windows cover at least ``COVER`` of the item's words.
 
-A name is a capitalised word within a sentence; a unit is a word of ``UNITS`` after a number, or glued to one. Windows
-need ``LITERAL`` or more words that are no placeholder. An item shorter than the window is one window of its own.
+A name is a capitalised word within a sentence; a unit is a word of ``UNITS`` after a number, or glued to one. Template
+windows need ``LITERAL`` or more words that are no placeholder, or such a window beside them in the same alignment.
+Every window is also looked up with its values in place, so verbatim copies match however many placeholders they have,
+and whether or not their names are taken for names where they stand. An item shorter than the window is one window of
+its own. Words all in capitals match as a verbatim window only where the item has them so, too.
 
 The benchmark's index is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of item text, however large the
 benchmark; the documents flow through one step per block in a single stage, without a shuffle.
@@ -59,11 +62,17 @@ _trimmed = _Trimmed()
 
 def template(text: str | None) -> tuple[list[str], dict[int, str]]:
     """Template words, and the value of each placeholder by its place."""
+    return forms(text)[:2]
+
+
+def forms(text: str | None) -> tuple[list[str], dict[int, str], dict[int, str]]:
+    """Template words, the value of each placeholder, and words all in capitals as they are written, by their places."""
     raw = (text or "").split()
     out = [_trimmed[w] for w in raw]
     if "" in out:
         raw, out = [w for w, x in zip(raw, out) if x != ""], [x for x in out if x != ""]
     slots: dict[int, str] = {}
+    capitals: dict[int, str] = {}
     glued: list[tuple[int, str]] = []
     at = -1
     for _ in range(out.count(None)):
@@ -82,66 +91,97 @@ def template(text: str | None) -> tuple[list[str], dict[int, str]]:
             slots[at], out[at] = low, NAME
         else:
             out[at] = low
+            if len(word) > 1 and word.isupper():
+                capitals[at] = word
     if glued:  # their units are words of their own
-        units, words, moved = dict(glued), [], {}
+        units, words, moved, higher = dict(glued), [], {}, {}
         for k, w in enumerate(out):
             if k in slots:
                 moved[len(words)] = slots[k]
+            elif k in capitals:
+                higher[len(words)] = capitals[k]
             words.append(w)
             if k in units:
                 moved[len(words)] = units[k]
                 words.append(UNIT)
-        out, slots = words, moved
-    return out, slots
+        out, slots, capitals = words, moved, higher
+    return out, slots, capitals
+
+
+def plain(words: list[str], *values: dict[int, str]) -> list[str]:
+    """The words with those values at their places."""
+    out = list(words)
+    for value in values:
+        for k, v in value.items():
+            out[k] = v
+    return out
 
 
 class Index:
     """The windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.short, self.where = {}, [], defaultdict(list)
+        self.items, self.short, self.where, self.poor = {}, [], defaultdict(list), defaultdict(list)
         for item, text in items:
-            words, slots = template(text)
+            words, slots, capitals = forms(text)
             if not words:
                 continue
+            whole = plain(words, slots)
+            written = plain(whole, capitals)
             self.items[item] = (words, slots)
             if len(words) < WINDOW:
                 self.short.append(len(words))
             for at in range(max(1, len(words) - WINDOW + 1)):
-                run = tuple(words[at : at + WINDOW])
+                run, same, exact = (tuple(x[at : at + WINDOW]) for x in (words, whole, written))
+                keys = {same, exact}
                 if sum(w[0] != "\0" for w in run) >= min(LITERAL, len(run)):
-                    self.where[run].append((item, at))
+                    keys.add(run)
+                else:
+                    self.poor[item].append(at)
+                for key in keys:
+                    self.where[key].append((item, at))
         self.short = sorted(set(self.short))
         self.where = dict(self.where)
         self.firsts = {run[:2] for run in self.where}  # a cheap first test
 
-    def hits(self, words: list[str], slots: dict[int, str]) -> list[tuple[int, float, int]]:
+    def hits(self, words: list[str], slots: dict[int, str], capitals: dict[int, str]) -> list[tuple[int, float, int]]:
         """``(item, share of its words, place)`` of the items that contaminate a document."""
-        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
         firsts, where = self.firsts, self.where
-        for at, pair in enumerate(zip(words, words[1:])):
-            if pair in firsts:
-                for size in (WINDOW, *self.short):
-                    for item, place in where.get(tuple(words[at : at + size]), ()):
-                        found[item, at - place].append(place)
+        odd = {**slots, **capitals}
+        same = plain(words, odd) if odd else words
+        starts = [at for at, pair in enumerate(zip(words, words[1:])) if pair in firsts]
+        if odd:
+            more = {at for k in odd for at in (k - 1, k) if at >= 0 and tuple(same[at : at + 2]) in firsts}
+            starts = sorted(more.union(starts)) if more else starts
+        for at in starts:
+            for size in (WINDOW, *self.short):
+                run, exact = tuple(words[at : at + size]), tuple(same[at : at + size])
+                for key in (run,) if run == exact else (run, exact):
+                    for item, place in where.get(key, ()):
+                        found[item, at - place].add(place)
         if 1 in self.short:
-            for at, w in enumerate(words):
-                for item, place in where.get((w,), ()):
-                    found[item, at - place].append(place)
+            for at, (w, x) in enumerate(zip(words, same)):
+                for key in (w,) if w == x else (w, x):
+                    for item, place in where.get((key,), ()):
+                        found[item, at - place].add(place)
         best: dict[int, tuple[float, int]] = {}
         for (item, shift), places in found.items():
             own, values = self.items[item]
             size = min(WINDOW, len(own))
+            for p in self.poor.get(item, ()):  # windows of few plain words count beside one that was found
+                if p not in places and p + shift >= 0 and words[p + shift : p + shift + size] == own[p : p + size]:
+                    places.add(p)
             covered = {k for p in places for k in range(p, p + size)}
             there: dict[str, str] = {}
             back: dict[str, str] = {}
             bad = set()
             for k in sorted(covered):
                 if k in values:
-                    a, b = own[k] + values[k], words[k + shift] + slots.get(k + shift, "")
+                    a, b = own[k] + values[k], own[k] + slots.get(k + shift, words[k + shift])
                     if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                         bad.add(k)
-            good = {k for p in set(places) if not any(q in bad for q in range(p, p + size)) for k in range(p, p + size)}
+            good = {k for p in places if not any(q in bad for q in range(p, p + size)) for k in range(p, p + size)}
             share = len(good) / len(own)
             if share >= COVER:
                 best[item] = max(best.get(item, (0.0, 0)), (share, -shift))
@@ -183,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = _index(block.value)
             for batch in batches:
                 last = batch.num_columns - 1
-                hits = [(old or []) + [dict(zip(("item_id", "share", "place"), h)) for h in index.hits(*template(text))] for text, old in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist())]
+                hits = [(old or []) + [dict(zip(("item_id", "share", "place"), h)) for h in index.hits(*forms(text))] for text, old in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(hits, _HITS)], batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)

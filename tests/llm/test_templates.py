@@ -69,3 +69,10 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert one == two
     assert t.contaminated(docs(spark, [ITEM]), bench(spark, [ITEM]).limit(0)).filter("contaminated").count() == 0
     assert t.contaminated(docs(spark, [ITEM]).limit(0), bench(spark, [ITEM])).count() == 0
+
+
+def test_verbatim_items_rich_in_placeholders(spark):
+    long = "First 3 then 14 15 92 6 5 35 and 8 97 9 so 32 38 4 62 64 33 83 2 79 50 28 done"
+    rows = ["so What is 12 plus 7 times 3? asked the teacher", "so What is 12 plus 8 times 3? asked the teacher", "read on: " + long, " ".join(w + "1" if w.isdigit() and k % 5 == 0 else w for k, w in enumerate(long.split()))]
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, ["What is 12 plus 7 times 3?", long])).collect()}
+    assert got == {0: [0], 1: [], 2: [1], 3: []}
