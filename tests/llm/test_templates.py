@@ -76,3 +76,11 @@ def test_verbatim_items_rich_in_placeholders(spark):
     rows = ["so What is 12 plus 7 times 3? asked the teacher", "so What is 12 plus 8 times 3? asked the teacher", "read on: " + long, " ".join(w + "1" if w.isdigit() and k % 5 == 0 else w for k, w in enumerate(long.split()))]
     got = {r.doc_id: [h.item_id for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, ["What is 12 plus 7 times 3?", long])).collect()}
     assert got == {0: [0], 1: [], 2: [1], 3: []}
+
+
+def test_verbatim_items_whatever_stands_before_them_or_their_case(spark):
+    item = "What is the capital city of Greece"
+    cities = "Then Anna went with Boris from Cairo to Delhi and Edgar met Frida in Geneva before Hanna saw Ivan leave Java"
+    rows = ["the teacher asked " + item, item.lower(), "x " + cities.lower() + " y", "What is the capital town of Greece"]
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, [item, cities])).collect()}
+    assert got == {0: [0], 1: [0], 2: [1], 3: []}
