@@ -3,8 +3,9 @@
 Words lose case and outer punctuation. Numbers, units and names become typed placeholders, so a question whose figures
 or names were exchanged has the same template. Windows of ``WINDOW`` template words of the benchmark are hashed; the
 documents' windows are joined with them by hash. Along each alignment of a document with an item the slots must be
-consistent: what stands for one value of the item is the same value everywhere, and different values stay different. A
-document is contaminated by an item if consistent windows cover at least ``COVER`` of the item's words.
+consistent: what stands for one value of the item is the same value everywhere, and different values stay different. Alignments that follow each other in item and document and agree in their values add up,
+so inserted or deleted words only cost the windows across them. A document is contaminated by an item if consistent
+windows cover at least ``COVER`` of the item's words.
 
 A name is a capitalised word within a sentence; a unit is a word of ``UNITS`` after a number, or glued to one. Template
 windows need ``LITERAL`` or more words that are no placeholder, or such a window beside them in the same alignment.
@@ -166,6 +167,7 @@ class Index:
                     for item, place in where.get((key,), ()):
                         found[item, at - place].add(place)
         best: dict[int, tuple[float, int]] = {}
+        pieces: dict[int, list] = defaultdict(list)
         for (item, shift), places in found.items():
             own, values = self.items[item]
             size = min(WINDOW, len(own))
@@ -185,9 +187,50 @@ class Index:
             share = len(good) / len(own)
             if share >= COVER:
                 best[item] = max(best.get(item, (0.0, 0)), (share, -shift))
+            if good and share < 1:
+                pieces[item].extend(self._pieces(item, shift, sorted(good), words, slots))
+        for item, parts in pieces.items():
+            if len(parts) > 1 and best.get(item, (0.0, 0))[0] < 1:
+                n, shift = _chain(parts)
+                share = n / len(self.items[item][0])
+                if share >= COVER:
+                    best[item] = max(best.get(item, (0.0, 0)), (share, -shift))
         return [(item, share, -shift) for item, (share, shift) in sorted(best.items())]
 
 
+    def _pieces(self, item: int, shift: int, good: list[int], words: list[str], slots: dict[int, str]) -> list:
+        """Unbroken covered stretches of an alignment: ``(first, end, shift, values by the item's)``."""
+        own, values = self.items[item]
+        out, at = [], 0
+        for k in range(1, len(good) + 1):
+            if k == len(good) or good[k] != good[k - 1] + 1:
+                a, b = good[at], good[k - 1] + 1
+                out.append((a, b, shift, {own[q] + values[q]: own[q] + slots.get(q + shift, words[q + shift]) for q in range(a, b) if q in values}))
+                at = k
+        return out
+
+
+def _chain(parts: list) -> tuple[int, int]:
+    """Most item words that stretches cover which follow each other in item and document, and the first one's shift.
+
+    A stretch joins the best chain before it whose values agree with its own; overlaps count once.
+    """
+    parts = sorted(parts, key=lambda x: (x[0] + x[2], x[0]))
+    done: list[tuple[int, int, dict, dict]] = []
+    for i, (a, b, shift, values) in enumerate(parts):
+        top = (b - a, shift, values, {y: x for x, y in values.items()})
+        for j in range(i):
+            c, d, other, _ = parts[j]
+            # what both stretches claim, in the item or in the document, counts for the first
+            n = b - max(a, d, d + other - shift)
+            if c < a and b > d and n > 0 and done[j][0] + n > top[0]:
+                _, first, there, back = done[j]
+                if all(there.get(x, y) == y and back.get(y, x) == x for x, y in values.items()):
+                    top = (done[j][0] + n, first, {**there, **values}, {**back, **{y: x for x, y in values.items()}})
+        done.append(top)
+    return max(((n, shift) for n, shift, _, _ in done), key=lambda x: (x[0], -x[1]))
+
+
 def _blocks(benchmark: DataFrame) -> list:
     """Broadcast item lists, each of at most about ``BLOCK_BYTES``; one block is on the driver at a time."""
     items = pick(benchmark, "item_id", "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])

@@ -84,3 +84,13 @@ def test_verbatim_items_whatever_stands_before_them_or_their_case(spark):
     rows = ["the teacher asked " + item, item.lower(), "x " + cities.lower() + " y", "What is the capital town of Greece"]
     got = {r.doc_id: [h.item_id for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, [item, cities])).collect()}
     assert got == {0: [0], 1: [0], 2: [1], 3: []}
+
+
+def test_insertions_and_deletions(spark):
+    item = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    more = item[:20] + ["extra"] + item[20:40] + ["again"] + item[40:]
+    less = item[:19] + item[20:39] + item[40:]
+    turned = item[40:] + ["x"] + item[20:40] + ["x"] + item[:20]
+    rows = [" ".join(x) for x in (more, less, turned)]
+    got = {r.doc_id: [(h.item_id, h.share) for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, [" ".join(item)])).collect()}
+    assert got == {0: [(0, 1.0)], 1: [(0, 58 / 60)], 2: []}
