@@ -6,14 +6,14 @@ rotated to its own start; sets that share at least ``DEPTH`` leading values are
 with up to ``REGION`` sets is compared whole. A larger one is first walked in sorted order in overlapping blocks, which
 joins hot groups of copies; if its sets are then still in different clusters, it is split by ``DEPTH`` further values
 at each later place of the signature, again and again, until every part is compared whole or lies in one cluster:
-depth follows density, in all orders at once. Candidates whose signatures agree in ``AGREE`` or more join a
+depth follows density, in all orders at once. Candidates whose signatures agree in ``agreement(percent)`` values or more join a
 candidate cluster (a spanning forest is kept, not all pairs). Inside each cluster every pair of different sets is then
 confirmed on full sets, block by block, and the confirmed links make the components.
 
 With similarity s a pair shares no prefix in any tree with probability (1 - s**DEPTH)**TREES: 4e-7 at 0.85, 3e-5 at
 0.80. If every prefix it shares is crowded and split k times, it needs k + 1 shared places of the ``HASHES // DEPTH``:
-it has fewer with probability 1e-9, 2e-8, 2e-7 for k = 1, 2, 3 at 0.85, 1e-6, 1e-5, 9e-5 at 0.80. Its signatures agree
-in less than ``AGREE`` of the places with probability 7e-6 at 0.85.
+it has fewer with probability 1e-9, 2e-8, 2e-7 for k = 1, 2, 3 at 0.85, 1e-6, 1e-5, 9e-5 at 0.80. Its signatures
+agree in too few places with probability 7e-6 at 0.85 for links at 85, and 4e-6 at 0.80 for links at 80.
 
 Defined results: null or empty text, or text without words, has no shingles, is its own component and is kept; with
 fewer than five words the whole sequence is the one shingle; repeated rows share their component and ``kept`` holds
@@ -24,6 +24,7 @@ a null ``doc_id`` takes its component from its copies, if any, and is kept witho
 from __future__ import annotations
 
 from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from loomsight.llm.common import LOWER, chunks, components, mix, pick, prefix_hash, span_hash, staged, table, windows, words
 
-WIDTH, HASHES, TREES, DEPTH, AGREE = 5, 128, 20, 4, 0.70
+WIDTH, HASHES, TREES, DEPTH = 5, 128, 20, 4
+#: A pair at the limit is dropped for its signatures with at most this probability.
+MISS = 8e-6
 #: Representatives compared whole in the forest, the overlap of such blocks, and sets in a block of the confirmation.
 REGION, OVERLAP, BLOCK = 256, 32, 48
 #: Sets, about, of a crowded region's largest cluster that one part of the comparison with the other sets holds.
@@ -102,8 +105,17 @@ def _labels(link: np.ndarray) -> np.ndarray:
         label = low
 
 
-def forest_edges(reps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that span the candidate clusters of ``(rep, sig)``."""
+def agreement(percent: int) -> int:
+    """Equal signature values that a candidate pair needs, for links at ``percent``: 90 at 85, 81 at 80."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < HASHES and (below := below + comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)) <= MISS:
+        k += 1
+    return k
+
+
+def forest_edges(reps: DataFrame, percent: int = 85) -> DataFrame:
+    """Edges ``(a, b)`` that span the candidate clusters of ``(rep, sig)`` for links at ``percent``."""
+    least = agreement(percent)
     size = 2 * DEPTH
     keys = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * size + 1, F.lit(size)).alias("prefix")))).alias("k")).select("rep", "k.*")
     shared = keys.groupBy("tree", "prefix").agg((F.count("*") > REGION).alias("crowded"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -141,7 +153,7 @@ def forest_edges(reps: DataFrame) -> DataFrame:
                 s, r = sig[at : min(b, at + REGION)], rep[at : min(b, at + REGION)]
                 if len(s) < 2:
                     continue
-                alike = np.stack([(s == x).sum(1) for x in s]) >= AGREE * HASHES
+                alike = np.stack([(s == x).sum(1) for x in s]) >= least
                 label = _labels(alike)
                 own = np.flatnonzero(label != np.arange(len(label)))
                 left.append(r[label[own]])
@@ -156,10 +168,10 @@ def forest_edges(reps: DataFrame) -> DataFrame:
     if hot.isEmpty():
         return walked
     walked = staged(walked, "walked")
-    return walked.union(crowded_edges(hot, reps, components(walked, "walks"))).distinct()
+    return walked.union(crowded_edges(hot, reps, components(walked, "walks"), least)).distinct()
 
 
-def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """Edges within crowded regions ``(rep, place, region)`` whose sets are in different clusters ``(node, root)``.
 
     ``place`` is the last place of ``DEPTH`` values that the sets of a region share. A split at every later place keeps
@@ -198,7 +210,7 @@ def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFram
             left, right = [], []
             for a, b in zip([0, *cut], [*cut, len(rep)]):
                 for k in a + np.flatnonzero(other[a:b]):
-                    own = a + np.flatnonzero((sig[a:b] == sig[k]).sum(1) >= AGREE * HASHES)
+                    own = a + np.flatnonzero((sig[a:b] == sig[k]).sum(1) >= least)
                     own = own[own != k]
                     left.append(np.full(len(own), rep[k]))
                     right.append(rep[own])
@@ -276,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     seen = staged(features(docs), "features")
     reps = staged(seen.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).filter("rep is not null"), "representatives")
-    clusters = components(forest_edges(reps.select("rep", "sig")), "clusters")
+    clusters = components(forest_edges(reps.select("rep", "sig"), percent), "clusters")
     roots = components(confirmed(clusters, docs, percent), "links")
     own = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     found = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(own, "digest", "left")

@@ -102,3 +102,12 @@ def test_crowded_regions_lose_no_pair(spark, monkeypatch):
     root = dict(map(tuple, components(m.forest_edges(reps)).collect()))
     assert [a for a in range(0, 60, 2) if root.get(int(order[a]), -1) != root.get(int(order[a + 1]), -2)] == []
     assert len(root) < 100
+
+
+def test_agreement_follows_the_limit(spark):
+    assert [m.agreement(p) for p in (80, 85, 100)] == [81, 90, 128]
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 1 << 16, (2, m.HASHES))
+    sig[1, :85] = sig[0, :85]
+    reps = spark.createDataFrame([(k, bytearray(s.astype(">u2").tobytes())) for k, s in enumerate(sig)], "rep long, sig binary")
+    assert [m.forest_edges(reps, p).count() for p in (80, 85)] == [1, 0]
