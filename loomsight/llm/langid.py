@@ -3,11 +3,14 @@
 Texts become lower-case letters and single spaces. The four-letter runs of all training documents are counted per
 language; every lower order follows from them as continuation counts. A model is a set of sorted arrays of 64-bit keys
 (four 16-bit letters, so the key is its own hash) with discounted shares and back-off weights beside them. A document
-gets the language of the lowest cross-entropy per letter. Documents whose best cross-entropy lies beyond a limit that is
-calibrated on training documents of that language are not accepted.
+gets the language of the lowest cross-entropy per letter. Documents whose best cross-entropy lies beyond a limit are not
+accepted. The limit is set from the cross-entropies of all training documents of that language, as a histogram; a
+language with fewer than ``FEW`` of them rejects what it predicts worse than letters drawn evenly.
 
-The models are broadcast: they hold at most ``MOST_RUNS`` runs over all languages. Beyond that, runs seen least go by
-count cutoffs, which a histogram of counts sets; counts themselves always cover every training document.
+All runs are kept, however many. Up to ``BROADCAST_RUNS`` of them the models are arrays that are sent to the tasks
+(``Identifier``); beyond that they stay tables (``Tables``): shares and weights are worked out by aggregates, the
+different runs of the documents meet them by joins, and the documents' runs meet the runs' probabilities. Both ways give
+the same languages, scores and limits.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and is not accepted; without training
 documents all is ``und``; equal cross-entropies go to the language that sorts first; rows without a language are not
@@ -26,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsight.llm.common import pick, table
+from loomsight.llm.common import pick, staged, table
 
 ORDER = 4
 PAD, SPACE_CODE = 1, 32
-#: Bound of the broadcast: runs of all models together. 12 bytes each and as much again for lower orders.
-MOST_RUNS = 4_000_000
-#: Training documents, about, that calibrate the rejection; limit in deviations over the mean; letters below which none is rejected.
-CALIBRATION, DEVIATIONS, LEAST_LETTERS = 4000, 8.0, 40
+#: Runs of all models together up to which they are broadcast: 12 bytes each and as much again for lower orders.
+BROADCAST_RUNS = 4_000_000
+#: Limit in deviations over the median; letters below which none is rejected; documents below which a language has no
+#: spread of its own; bins of a nat in the histogram.
+DEVIATIONS, LEAST_LETTERS, FEW, BINS = 8.0, 40, 20, 1024
+#: Parts a run's probabilities are repeated for, so that a run of nearly all documents is no single task's.
+SALTS = 16
 UNKNOWN = "und"
 
 
@@ -199,55 +205,155 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, most_runs: int = MOST_RUNS) -> Identifier:
-    """Learns from the rows that have a language and are not held out."""
-    train = pick(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = count_runs(train.select("lang", "text")).persist()
-    sizes = {r.size: r.runs for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("runs")).collect()}
-    cut = 0
-    while sum(v for k, v in sizes.items() if k >= cut) > most_runs:
-        cut += 1
-    rows = counts.filter(F.col("n") >= 1 << cut).toArrow().combine_chunks()
-    counts.unpersist()
+@dataclass
+class Tables:
+    """Models too large to broadcast: by order, highest first, ``(lang, key, share)`` and ``(lang, context, rest)``."""
+
+    names: list[str]
+    share: list[DataFrame]
+    rest: list[DataFrame]
+    floor: float
+    limits: np.ndarray
+
+    def entropies(self, docs: DataFrame) -> DataFrame:
+        """``digest, n, has, h`` of the different texts of ``docs``: ``h`` the cross-entropies by language, in order."""
+        texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text").dropDuplicates(["digest"])
+
+        def run(batches):
+            for batch in batches:
+                digest, texts = (batch.column(i).to_pylist() for i in (0, 1))
+                for a, b in text_blocks(texts):
+                    key, bounds, has = runs(texts[a:b])
+                    for k in range(b - a):
+                        own, n = np.unique(key[bounds[k] : bounds[k + 1]], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([digest[a + k]] * len(own), pa.string()), pa.array([bool(has[k])] * len(own), pa.bool_()), pa.array(own.view(np.int64)), pa.array(n)], ["digest", "has", "key", "n"])
+
+        seen = staged(texts.mapInArrow(run, "digest string, has boolean, key long, n long"), "document-runs")
+        p = seen.select("key").distinct().withColumn("lang", F.explode(F.array(*[F.lit(x) for x in self.names])))
+        for k, (share, rest) in enumerate(zip(self.share, self.rest)):
+            part = F.col("key").bitwiseAND(F.lit((1 << (16 * (ORDER - k))) - 1)) if k else F.col("key")
+            p = p.withColumn("part", part).withColumn("before", F.shiftrightunsigned(part, 16))
+            p = p.join(share.select("lang", F.col("key").alias("part"), F.col("share").alias(f"s{k}")), ["lang", "part"], "left")
+            p = p.join(rest.select("lang", F.col("context").alias("before"), F.col("rest").alias(f"r{k}")), ["lang", "before"], "left").drop("part", "before")
+        total, weight = F.lit(0.0), F.lit(1.0)
+        for k in range(ORDER):
+            total = total + weight * F.coalesce(f"s{k}", F.lit(0.0))
+            weight = weight * F.coalesce(f"r{k}", F.lit(1.0))
+        by_key = p.select("key", "lang", F.log(total + weight * F.lit(self.floor)).alias("log_p")).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("lang", "log_p"))), lambda x: x["log_p"]).alias("log_p"))
+        by_key = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = seen.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(by_key, ["key", "salt"])
+        sums = [F.sum(F.col("n") * F.col("log_p")[i]).alias(f"h{i}") for i in range(len(self.names))]
+        return met.groupBy("digest").agg(F.sum("n").alias("n"), F.max("has").alias("has"), *sums).select("digest", "n", "has", F.array(*[-F.col(f"h{i}") / F.col("n") for i in range(len(self.names))]).alias("h"))
+
+
+def tables(counts: DataFrame) -> Tables:
+    """The models of ``(lang, key, n)`` as tables."""
+    share, rest, level = [], [], counts
+    for k in range(ORDER, 0, -1):
+        level = staged(level, f"runs-{k}")
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        d = F.when(ones + twos > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.5)
+        cut = F.broadcast(level.groupBy("lang").agg(d.alias("d")))  # a row a language
+        held = level.withColumn("context", F.shiftrightunsigned("key", 16))
+        total = held.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        share.append(held.join(total, ["lang", "context"]).join(cut, "lang").select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total")).alias("share")))
+        rest.append(total.join(cut, "lang").select("lang", "context", (F.col("d") * F.col("kinds") / F.col("total")).alias("rest")))
+        level = level.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1)).alias("key")).agg(F.count("*").alias("n"))
+    names = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    known = counts.select(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("letter")).distinct().count() + 1
+    return Tables(names, share, rest, 1.0 / known, np.full(len(names), np.inf))
+
+
+def _limits(bins: list, names: list[str], floor: float) -> np.ndarray:
+    """Limits from rows ``(lang, bin, n)`` of the cross-entropies of training documents under their own language."""
+    out = np.full(len(names), -np.log(floor))
+    for k, name in enumerate(names):
+        own = sorted((r.bin, r.n) for r in bins if r.lang == name)
+        upto = np.cumsum([n for _, n in own])
+        if len(own) and upto[-1] >= FEW:
+            at = lambda q: (own[int(np.searchsorted(upto, q * upto[-1]))][0] + 1) / BINS
+            out[k] = max(at(0.5) + DEVIATIONS * max(at(0.84) - at(0.5), 0.02), at(0.999) * 1.1)
+    return out
+
+
+def fit(docs: DataFrame, most_runs: int | None = None, broadcast_runs: int = BROADCAST_RUNS) -> Identifier | Tables:
+    """Learns from the rows that have a language and are not held out.
+
+    ``most_runs``, unset by default, keeps runs seen least out of the models by count until no more than that are left.
+    """
+    train = pick(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
+    counts = staged(count_runs(train), "runs")
+    if most_runs is not None:
+        sizes = {r.size: r.runs for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("runs")).collect()}
+        cut = 0
+        while sum(v for k, v in sizes.items() if k >= cut) > most_runs:
+            cut += 1
+        counts = counts.filter(F.col("n") >= 1 << cut)
+    if counts.count() > broadcast_runs:
+        out = tables(counts)
+        own = F.md5(F.coalesce("text", F.lit("")))
+        by = F.create_map(*[x for k, name in enumerate(out.names) for x in (F.lit(name), F.lit(k))])
+        seen = train.select("lang", own.alias("digest")).join(out.entropies(train), "digest").filter(F.col("n") >= LEAST_LETTERS).select("lang", F.get(F.col("h"), by[F.col("lang")]).alias("h"))
+        bins = seen.groupBy("lang", F.floor(F.col("h") * BINS).alias("bin")).agg(F.count("*").alias("n")).collect()
+        out.limits = _limits(bins, out.names, out.floor)
+        return out
+    rows = counts.toArrow().combine_chunks()
     lang = np.array(rows["lang"].to_pylist(), object)
     key, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     names = sorted(set(lang))
     known = len(np.unique(key & np.uint64(0xFFFF))) + 1
     out = Identifier(names, [Model(key[lang == x], n[lang == x], known) for x in names], np.full(len(names), np.inf))
     if names:
-        all_rows = train.count()
-        share = min(1.0, CALIBRATION / max(1, all_rows))
-        some = train.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("lang", "text")
-        seen = _scored(some, out)
-        for k, name in enumerate(names):
-            h = np.array([r.entropy for r in seen if r.lang == name and r.n >= LEAST_LETTERS])
-            if len(h) >= 20:
-                spread = max(float(np.quantile(h, 0.84) - np.median(h)), 0.02)
-                out.limits[k] = max(float(np.median(h)) + DEVIATIONS * spread, float(np.quantile(h, 0.999)) * 1.1)
+        out.limits = _limits(_binned(train, out), names, 1.0 / known)
     return out
 
 
-def _scored(rows: DataFrame, identifier: Identifier) -> list:
-    """The cross-entropy of each calibration row under its own language."""
+def _binned(rows: DataFrame, identifier: Identifier) -> list:
+    """How many rows of each language have a cross-entropy in each bin under that language's model."""
     held = rows.sparkSession.sparkContext.broadcast(identifier)
 
     def run(batches):
-        own = held.value
+        own, found = held.value, {}
         for batch in batches:
             langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
             for a, b in text_blocks(texts):
-                h, n, _ = own.entropies(texts[a:b])
-                at = np.array([own.names.index(x) if x in own.names else 0 for x in langs[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array(langs[a:b]), pa.array(h[np.arange(b - a), at]), pa.array(n)], ["lang", "entropy", "n"])
-
-    return rows.mapInArrow(run, "lang string, entropy double, n long").collect()
-
-
-def identify(docs: DataFrame, identifier: Identifier | None = None) -> DataFrame:
+                key, bounds, _ = runs(texts[a:b])
+                n = np.diff(bounds)
+                for k, name in enumerate(own.names):
+                    mine = np.flatnonzero((np.array(langs[a:b], object) == name) & (n >= LEAST_LETTERS))
+                    if not len(mine):
+                        continue
+                    kinds, back = np.unique(np.concatenate([key[bounds[i] : bounds[i + 1]] for i in mine]), return_inverse=True)
+                    to = np.cumsum(n[mine])
+                    h = -np.add.reduceat(own.models[k].log_p(kinds)[back], to - n[mine]) / n[mine]
+                    for at, many in zip(*np.unique(np.floor(h * BINS).astype(np.int64), return_counts=True)):
+                        found[name, int(at)] = found.get((name, int(at)), 0) + int(many)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found]), pa.array(list(found.values()))], ["lang", "bin", "n"])
+
+    return rows.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+
+
+def _by_tables(docs: DataFrame, models: Tables) -> DataFrame:
+    found = models.entropies(docs)
+    best = F.array_position(F.col("h"), F.array_min("h")).cast("int") - 1
+    low = F.array_min("h")
+    score = 1.0 / F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp(-(x - low) * F.least(F.col("n"), F.lit(100))))
+    limit = F.get(F.array(*[F.lit(float(x)) for x in models.limits]), best)
+    name = F.get(F.array(*[F.lit(x) for x in models.names]), best)
+    found = found.filter("has").select("digest", name.alias("lang_pred"), score.alias("score"), ((F.col("n") < LEAST_LETTERS) | (low <= limit)).alias("accepted"), low.alias("entropy"))
+    out = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit("")))).join(found.withColumnRenamed("digest", "__digest"), "__digest", "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"), "entropy")
+
+
+def identify(docs: DataFrame, identifier: Identifier | Tables | None = None) -> DataFrame:
     """``docs`` with ``lang_pred, score, accepted, entropy``; the models are learned from ``docs`` unless given."""
-    held = docs.sparkSession.sparkContext.broadcast(identifier or fit(docs))
     new = ["lang_pred", "score", "accepted", "entropy"]
+    identifier = identifier or fit(docs)
     docs = pick(docs, *[c for c in docs.columns if c not in new])
+    if isinstance(identifier, Tables):
+        return _by_tables(docs, identifier)
+    held = docs.sparkSession.sparkContext.broadcast(identifier)
     at = docs.columns.index("text")
 
     def run(batches):
