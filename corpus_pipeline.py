@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsight.llm import bpe, common, langid, minhash, suffix, templates
@@ -22,12 +22,19 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the row of its least ``doc_id``, of several such rows the first by text."""
+    """Keeps one row of each component, of the least ``doc_id``, a null one last; rows without words all stay.
+
+    Rows get numbers first, written with them, so that null and repeated ids are documents of their own.
+    """
     common.release()
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
-    known = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__row", F.row_number().over(one)).filter("__row = 1").select(*docs.columns)
-    return known.unionByName(docs.filter("doc_id is null"))
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = common.staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    kept = rows.select(row, "doc_id").join(found, row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
