@@ -7,8 +7,9 @@ with up to ``REGION`` sets is compared whole. A larger one is first walked in so
 joins hot groups of copies; if its sets are then still in different clusters, it is split by ``DEPTH`` further values
 at each later place of the signature, again and again, until every part is compared whole or lies in one cluster:
 depth follows density, in all orders at once. Candidates whose signatures agree in ``agreement(percent)`` values or more join a
-candidate cluster (a spanning forest is kept, not all pairs). Inside each cluster every pair of different sets is then
-confirmed on full sets, block by block, and the confirmed links make the components.
+candidate cluster (links that span it are kept, not all pairs). These links are confirmed on full sets first; where a
+cluster is not one group of copies by then, all sets outside its largest group meet all its sets, block by block. The
+confirmed links make the components.
 
 With similarity s a pair shares no prefix in any tree with probability (1 - s**DEPTH)**TREES: 4e-7 at 0.85, 3e-5 at
 0.80. If every prefix it shares is crowded and split k times, it needs k + 1 shared places of the ``HASHES // DEPTH``:
@@ -36,6 +37,8 @@ from loomsight.llm.common import LOWER, chunks, components, mix, pick, prefix_ha
 WIDTH, HASHES, TREES, DEPTH = 5, 128, 20, 4
 #: A pair at the limit is dropped for its signatures with at most this probability.
 MISS = 8e-6
+#: Trees that are walked before the others.
+EARLY = 2
 #: Representatives compared whole in the forest, the overlap of such blocks, and sets in a block of the confirmation.
 REGION, OVERLAP, BLOCK = 256, 32, 48
 #: Sets, about, of a crowded region's largest cluster that one part of the comparison with the other sets holds.
@@ -105,6 +108,33 @@ def _labels(link: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _spanning(link: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as ends and ends, that connect what a symmetric boolean matrix connects, beside members of one ``group``."""
+    n, left, right = len(link), [], []
+    together = _labels(group[:, None] == group[None, :]) if group is not None else np.arange(n)
+    while True:
+        away = link & (together[:, None] != together[None, :])
+        if not away.any():
+            break
+        # every group takes its link to the least other group, once
+        other = np.where(away, together[None, :], n)
+        to = other.argmin(1)
+        best = other[np.arange(n), to]
+        order = np.lexsort((np.arange(n), best, together))
+        first = order[np.concatenate([[True], together[order[1:]] != together[order[:-1]]])]
+        first = first[best[first] < n]
+        left.append(first)
+        right.append(to[first])
+        joined = together[:, None] == together[None, :]
+        near = np.zeros((n, n), bool)
+        near[first, to[first]] = near[to[first], first] = True
+        together = _labels(joined | near)
+    if not left:
+        return (np.zeros(0, np.int64),) * 2
+    ends = np.stack([np.concatenate(left), np.concatenate(right)])
+    return tuple(np.unique(np.sort(ends, 0), axis=1))
+
+
 def agreement(percent: int) -> int:
     """Equal signature values that a candidate pair needs, for links at ``percent``: 90 at 85, 81 at 80."""
     p, below, k = percent / 100, 0.0, 0
@@ -114,7 +144,11 @@ def agreement(percent: int) -> int:
 
 
 def forest_edges(reps: DataFrame, percent: int = 85) -> DataFrame:
-    """Edges ``(a, b)`` that span the candidate clusters of ``(rep, sig)`` for links at ``percent``."""
+    """Links ``(a, b)`` of sets alike in ``agreement(percent)`` places that span the candidate clusters of ``(rep, sig)``.
+
+    The first ``EARLY`` trees are walked alone. What they connect is one group in the other trees, whose links only
+    join groups: the links of a set that many trees find are few.
+    """
     least = agreement(percent)
     size = 2 * DEPTH
     keys = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * size + 1, F.lit(size)).alias("prefix")))).alias("k")).select("rep", "k.*")
@@ -130,44 +164,49 @@ def forest_edges(reps: DataFrame, percent: int = 85) -> DataFrame:
                 if carry is not None:
                     yield from edges(carry)
                 return
-            rep = batch.column(0).to_numpy()
+            rep, group = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             tree = batch.column(1).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u2").astype(np.uint16).reshape(-1, HASHES)
             if carry is not None:
-                rep, tree, sig = (np.concatenate(x) for x in zip(carry, (rep, tree, sig)))
+                rep, tree, sig, group = (np.concatenate(x) for x in zip(carry, (rep, tree, sig, group)))
             new = np.flatnonzero((tree[1:] != tree[:-1]) | (sig[1:, :DEPTH] != sig[:-1, :DEPTH]).any(1)) + 1
             last = int(new[-1]) if len(new) else 0
             if last:
-                yield from edges((rep[:last], tree[:last], sig[:last]))
-            carry = (rep[last:], tree[last:], sig[last:])
+                yield from edges((rep[:last], tree[:last], sig[:last], group[:last]))
+            carry = (rep[last:], tree[last:], sig[last:], group[last:])
             if len(carry[0]) > 8 * REGION:  # a crowded region: what is settled goes
                 yield from edges(carry)
                 carry = tuple(x[-OVERLAP:] for x in carry)
 
     def edges(part):
-        rep, tree, sig = part
+        rep, tree, sig, group = part
         cut = np.flatnonzero((tree[1:] != tree[:-1]) | (sig[1:, :DEPTH] != sig[:-1, :DEPTH]).any(1)) + 1
         left, right = [], []
         for a, b in zip([0, *cut], [*cut, len(rep)]):
             for at in range(a, max(a + 1, b - OVERLAP), REGION - OVERLAP):
-                s, r = sig[at : min(b, at + REGION)], rep[at : min(b, at + REGION)]
-                if len(s) < 2:
+                to = min(b, at + REGION)
+                s, r, g = sig[at:to], rep[at:to], group[at:to]
+                if len(s) < 2 or (g == g[0]).all():
                     continue
-                alike = np.stack([(s == x).sum(1) for x in s]) >= least
-                label = _labels(alike)
-                own = np.flatnonzero(label != np.arange(len(label)))
-                left.append(r[label[own]])
-                right.append(r[own])
+                one, two = _spanning(np.stack([(s == x).sum(1) for x in s]) >= least, g)
+                left.append(np.minimum(r[one], r[two]))
+                right.append(np.maximum(r[one], r[two]))
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    # a region that is compared whole has one key and stays together; a crowded one is dealt by its whole order
-    order = F.when(F.col("crowded"), F.col("label")).otherwise(F.substring("label", F.lit(1), F.lit(size)))
-    walked = rows.select("rep", "tree", "label", order.alias("order")).repartitionByRange("tree", "order").sortWithinPartitions("tree", "label", "rep").select("rep", "tree", "label").mapInArrow(run, "a long, b long").distinct()
+    def walk(part: DataFrame, name: str) -> DataFrame:
+        # a region that is compared whole has one key and stays together; a crowded one is dealt by its whole order
+        order = F.when(F.col("crowded"), F.col("label")).otherwise(F.substring("label", F.lit(1), F.lit(size)))
+        dealt = part.select("rep", "tree", "label", "group", order.alias("order")).repartitionByRange("tree", "order").sortWithinPartitions("tree", "label", "rep")
+        return staged(dealt.select("rep", "tree", "label", "group").mapInArrow(run, "a long, b long").distinct(), name)
+
+    early = walk(rows.filter(F.col("tree") < EARLY).withColumn("group", F.col("rep")), "walked-early")
+    groups = components(early, "early").select(F.col("node").alias("rep"), F.col("root").alias("group"))
+    late = walk(rows.filter(F.col("tree") >= EARLY).join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "walked-late")
+    walked = early.union(late)
     hot = rows.filter("crowded").select("rep", F.col("tree").alias("place"), F.concat(F.encode(F.col("tree").cast("string"), "utf-8"), F.substring("label", F.lit(1), F.lit(size))).alias("region"))
     if hot.isEmpty():
         return walked
-    walked = staged(walked, "walked")
     return walked.union(crowded_edges(hot, reps, components(walked, "walks"), least)).distinct()
 
 
@@ -203,15 +242,15 @@ def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame, least: int)
             if rows is None or not rows.num_rows:
                 continue
             region = np.array(rows["region"].to_pylist(), object)
-            rep = rows["rep"].to_numpy()
+            rep, root = rows["rep"].to_numpy(), rows["root"].to_numpy()
             other = np.array(rows["other"].to_pylist(), bool)
             sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), ">u2").astype(np.uint16).reshape(-1, HASHES)
             cut = np.flatnonzero(region[1:] != region[:-1]) + 1
             left, right = [], []
             for a, b in zip([0, *cut], [*cut, len(rep)]):
                 for k in a + np.flatnonzero(other[a:b]):
-                    own = a + np.flatnonzero((sig[a:b] == sig[k]).sum(1) >= least)
-                    own = own[own != k]
+                    own = a + np.flatnonzero(((sig[a:b] == sig[k]).sum(1) >= least) & (root[a:b] != root[k]))
+                    own = own[np.unique(root[own], return_index=True)[1]]  # a link to each other cluster
                     left.append(np.full(len(own), rep[k]))
                     right.append(rep[own])
             if left:
@@ -225,8 +264,8 @@ def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame, least: int)
         near = hot.join(size_of.filter(F.col("others") <= REGION).unionByName(size_of.filter(F.col("others") > REGION).join(hot.filter(end).select("region").distinct(), "region", "left_semi")), "region")
         near = near.join(known, "rep").withColumn("other", F.col("root") != F.col("top")).withColumn("deals", F.ceil(F.col("n") / PART).cast("int"))
         deal = F.when(F.col("other"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int")))
-        near = near.select("rep", "sig", "other", "region", F.explode(deal).alias("deal")).withColumn("region", F.concat("region", F.encode(F.col("deal").cast("string"), "utf-8")))
-        found.append(staged(near.select("rep", "sig", "other", "region").repartition("region").sortWithinPartitions("region", "rep").mapInArrow(run, "a long, b long").distinct(), "crowded-edges"))
+        near = near.select("rep", "sig", "root", "other", "region", F.explode(deal).alias("deal")).withColumn("region", F.concat("region", F.encode(F.col("deal").cast("string"), "utf-8")))
+        found.append(staged(near.select("rep", "sig", "root", "other", "region").repartition("region").sortWithinPartitions("region", "rep").mapInArrow(run, "a long, b long").distinct(), "crowded-edges"))
         crowded = size_of.filter(F.col("others") > REGION).select("region")
         rest = hot.filter(~end).join(crowded, "region")
         if rest.isEmpty():
@@ -241,46 +280,67 @@ def crowded_edges(hot: DataFrame, reps: DataFrame, roots: DataFrame, least: int)
     return out
 
 
-def confirmed(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def confirmed(found: DataFrame, clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges ``(a, b)`` that span the links of ``100 * intersection >= percent * union`` inside clusters ``(node, root)``.
 
-    Sets are dealt into blocks by hash; every pair of blocks of a cluster is one row that carries both.
+    The candidate links ``found`` are confirmed one by one, which settles groups of copies with as many checks as they
+    have sets. A cluster may then hold several groups; sets outside its largest one meet all its sets, as rows of two
+    blocks dealt by hash, and a cluster that is one group needs nothing further.
     """
 
     def sets(batches):
         for batch in batches:
             doc = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "text"])
-            found = [s.tobytes() for _, s in shingle_sets([doc])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], ["rep", "root", "blocks", "shingles"])
+            own = [s.tobytes() for _, s in shingle_sets([doc])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary())], ["rep", "root", "shingles"])
+
+    def check(batches):
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ok = np.array([_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     def run(batches):
         for batch in batches:
             left, right = [], []
             for row in batch.to_pylist():
-                one = row["one"]
-                both = one if row["i"] == row["j"] else one + row["two"]
+                both = row["one"] + row["two"]
                 s = [np.frombuffer(x["shingles"], np.uint64) for x in both]
                 n = np.array([len(x) for x in s])
                 ids = np.unique(np.concatenate(s), return_inverse=True)[1]
                 m = np.zeros((len(s), int(ids.max()) + 1), np.float32)
                 m[np.repeat(np.arange(len(s)), n), ids] = 1
                 common = np.rint(m @ m.T).astype(np.int64)
-                label = _labels(100 * common >= percent * (n[:, None] + n[None, :] - common))
-                rep = np.array([x["rep"] for x in both])
-                own = np.flatnonzero(label != np.arange(len(label)))
-                left.append(rep[label[own]])
-                right.append(rep[own])
+                rep, group = np.array([x["rep"] for x in both]), np.array([x["own"] for x in both])
+                one, two = _spanning(100 * common >= percent * (n[:, None] + n[None, :] - common), group)
+                left.append(rep[one])
+                right.append(rep[two])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    counted = clusters.join(clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root")
-    members = docs.select(F.col("doc_id").alias("node"), "text").join(counted, "node").select("node", "text", "root", "blocks")
-    rows = members.mapInArrow(sets, "rep long, root long, blocks int, shingles binary").withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = staged(rows.groupBy("root", "blocks", "i").agg(F.collect_list(F.struct("rep", "shingles")).alias("one")), "blocks")
+    members = docs.select(F.col("doc_id").alias("node"), "text").join(clusters, "node").select("node", "text", "root")
+    known = staged(members.mapInArrow(sets, "rep long, root long, shingles binary"), "sets")
+    one = known.select(F.col("rep").alias("a"), F.col("shingles").alias("one"))
+    two = known.select(F.col("rep").alias("b"), F.col("shingles").alias("two"))
+    first = staged(found.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long").distinct(), "confirmed")
+    groups = components(first, "groups").select(F.col("node").alias("rep"), F.col("root").alias("own"))
+    told = staged(known.select("rep", "root").join(groups, "rep", "left").withColumn("own", F.coalesce("own", "rep")), "told-apart")
+    sizes = told.groupBy("root", "own").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("own", F.struct("n", "own")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    left = staged(sizes.filter("n > most").select("root", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "unsettled")
+    if left.isEmpty():
+        return first
+    rows = known.join(told.select("rep", "own"), "rep").join(left, "root").withColumn("i", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    item = F.struct("rep", "own", "shingles")
+    dealt = staged(rows.groupBy("root", "blocks", "i").agg(F.collect_list(item).alias("one"), F.collect_list(F.when(F.col("own") != F.col("top"), item)).alias("two")), "blocks")
     # block pairs differ in size alone by their sets: they are dealt by both numbers, so a large cluster spreads
-    pairs = dealt.select("root", "i", "one", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"))
-    other = dealt.select("root", F.col("i").alias("j"), F.col("one").alias("two"))
-    return pairs.join(other, ["root", "j"]).select("i", "j", "one", F.when(F.col("i") != F.col("j"), F.col("two")).alias("two")).mapInArrow(run, "a long, b long")
+    others = dealt.filter(F.size("two") > 0).select("root", "two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    pairs = dealt.select("root", "i", "one").join(others, ["root", "i"]).select("one", "two")
+    return first.union(pairs.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -288,8 +348,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     seen = staged(features(docs), "features")
     reps = staged(seen.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).filter("rep is not null"), "representatives")
-    clusters = components(forest_edges(reps.select("rep", "sig"), percent), "clusters")
-    roots = components(confirmed(clusters, docs, percent), "links")
+    found = staged(forest_edges(reps.select("rep", "sig"), percent), "candidates")
+    clusters = components(found, "clusters")
+    roots = components(confirmed(found, clusters, docs, percent), "links")
     own = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     found = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(own, "digest", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
