@@ -72,7 +72,12 @@ def price_band(c: Column) -> tuple[Column, Column]:
 
 def short_id(prefix: str, length: int, *parts: Column) -> Column:
     """S-06: a deterministic id of the parts."""
-    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *[normalize_text(p) for p in parts])), 1, length))
+    return hashed_id(prefix, length, *[normalize_text(p) for p in parts])
+
+
+def hashed_id(prefix: str, length: int, *parts: Column) -> Column:
+    """S-06 of parts that are normalised already."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, length))
 
 
 def safe_int(c: Column) -> Column:
@@ -320,3 +325,26 @@ def merged(a: Column, b: Column) -> Column:
 CHAPTER = r"^第[一二三四五六七八九十百零]+章"
 ARTICLE = r"^(第[一二三四五六七八九十百零]+条|[一二三四五六七八九十]+、|\d+\.)"
 DATE_LINE = r"^20\d{2}年\d{1,2}月\d{1,2}日$"
+
+
+#: S-33: patterns of a forum page. Fixed values.
+PAGE_PATTERNS = {"ip_location": r"IP属地:(\S+)</span>", "publish_time": r'<span class="tail-info">(\d{4}-\d{2}-\d{2} \d{2}:\d{2})</span>', "registration": r"<span>吧龄:(\S+)</span>"}
+_COUNT = r'<span class="concern_num">\(<a[^>]*>(\d+)</a>\)</span>'
+
+
+def page_facts(c: Column, male: str, female: str) -> dict[str, Column]:
+    """S-33: place, time, gender by a mark in the page, counts of those followed and following, and registration age."""
+    counts = F.regexp_extract_all(c, F.lit(_COUNT))
+    number = lambda k: F.coalesce(F.get(counts, F.lit(k)), F.lit("0"))
+    out = {name: F.regexp_extract(c, p, 1) for name, p in PAGE_PATTERNS.items()}
+    return out | {"gender": F.when(c.contains(male), "Male").when(c.contains(female), "Female").otherwise("Unknown"), "follows": number(0), "fans": number(1)}
+
+
+def thread_id(url: Column) -> Column:
+    """S-32: the last segment of a thread's path, without its query."""
+    return F.element_at(F.split(F.split_part(url, F.lit("?"), F.lit(1)), "/"), -1)
+
+
+def named_author(users: Column, key: Column) -> Column:
+    """JOIN-09: a name from a page's map of users, blank where it is not there."""
+    return F.coalesce(F.try_element_at(users, key), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,16 @@ def suffixed_ids(df: DataFrame, parts: list[str], pos: str, prefix: str = "trend
 def clauses(lines: DataFrame, source: str, pos: str, text: str, titles: tuple[str, ...] = ("附件", "附件1", "附件2")) -> DataFrame:
     """WIN-06, S-46: lines of each source folded into clauses; a chapter holds until the next, an article until either."""
     line = S.normalize_text(F.col(text))
-    rows = lines.select(source, pos, line.alias("line")).where((F.col("line") != "") & ~F.col("line").isin(*titles) & ~F.col("line").rlike(S.DATE_LINE))
     w = Window.partitionBy(source).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     is_chapter = F.col("line").rlike(S.CHAPTER)
     article = F.nullif(F.regexp_extract("line", S.ARTICLE, 1), F.lit(""))
-    marked = rows.withColumns({"is_chapter": is_chapter, "article": F.when(~is_chapter, article)})
+    marked = lines.select(source, pos, line.alias("line")).withColumns({"is_chapter": is_chapter, "article": F.when(~is_chapter, article)})
     marked = marked.withColumns({"segment": F.sum((F.col("is_chapter") | F.col("article").isNotNull()).cast("int")).over(w), "chapter": F.coalesce(F.last(F.when(F.col("is_chapter"), F.col("line")), ignorenulls=True).over(w), F.lit(""))})
+    # lines that go open nothing; behind the window their test reads the line as it is there, before it every test would make it anew
+    marked = marked.where((F.col("line") != "") & ~F.col("line").isin(*titles) & ~F.col("line").rlike(S.DATE_LINE))
     body = marked.where(~F.col("is_chapter")).groupBy(source, "segment", "chapter").agg(F.sort_array(F.collect_list(F.struct(pos, "line"))).alias("l"), F.max("article").alias("article_no"), F.min(pos).alias("first_pos"))
-    out = body.select(source, "first_pos", "chapter", F.coalesce("article_no", F.lit("preamble")).alias("article_no"), S.normalize_text(F.array_join(F.transform("l", lambda x: x["line"]), " ")).alias("requirement_text"))
-    return out.withColumn("rule_id", S.short_id("rule_", 16, F.col(source).cast("string"), F.col("chapter"), F.col("article_no"), F.col("requirement_text")))
+    out = body.select(source, "first_pos", "chapter", F.coalesce("article_no", F.lit("preamble")).alias("article_no"), F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("requirement_text"))
+    return out.withColumn("rule_id", S.hashed_id("rule_", 16, S.normalize_text(F.col(source).cast("string")), F.col("chapter"), F.col("article_no"), F.col("requirement_text")))
 
 
 def header_rows(cells: DataFrame, least: int = 3) -> DataFrame:
@@ -107,3 +110,41 @@ def release_gates(scores: DataFrame) -> DataFrame:
     c = F.col
     rows = [gate("correctness", c("c"), c("c") >= 1.4), gate("completeness", c("k"), c("k") >= 1.2), gate("safety", c("s"), c("s") >= 1.8), gate("violations", c("v"), c("v") == 0), gate("latency_p95", c("p"), c("p") <= 5.0)]
     return one.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+#: PRJ-01: headers of the raw workbooks and their names. Fixed values.
+PRODUCT = {"spu_id（商品id）": "product_id", "brand（品牌）": "brand", "category_lv1（一级类目）": "category_lv1", "category_lv2（二级类目）": "category_lv2", "price_band（价格带）": "price_band", "launch_date（上架日期）": "launch_date", "core_claims（核心卖点）": "core_claims"}
+REVIEW = {"review_id（评论id）": "review_id", "spu_id（商品id）": "product_id", "source（来源渠道,默认taobao）": "source", "rating_bucket（评分，1-5分）": "rating_bucket", "sentiment_tag（情感标签，好坏）": "sentiment_tag", "effect_tags（效果标签）": "effect_tags", "issue_tags（问题标签）": "issue_tags", "content（评论内容）": "content", "created_at（评论时间）": "created_at"}
+TREND = {"trend_id（趋势id）": "trend_id", "keyword（趋势词）": "keyword", "topic_cluster（话题簇）": "topic_cluster", "heat_index（热度指数）": "heat_index", "growth_md（月增长率）": "growth_monthly", "platform（平台,默认taobao）": "platform", "captured_at（采集时间）": "captured_at"}
+INGREDIENT = {"成分编号": "ingredient_id", "成分名称": "name_cn", "INCI 名称": "inci_name", "CAS号": "cas_no", "同义词，多个逗号分隔": "synonyms", "最新使用目的(2023)": "use_purpose_2023", "功效（2023）": "efficacy_2023", "文献验证功效": "literature_evidence"}
+RELATION = {"成分编号": "ingredient_id", "功效": "efficacy_relation", "机理（旧）": "mechanism_legacy", "机理序号1": "mechanism_id_1", "参考资料": "reference_1", "机理序号2": "mechanism_id_2", "参考资料2": "reference_2"}
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """PRJ-01: the named columns alone, in the order of ``names``; those that are not there are left out."""
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items() if old in df.columns])
+
+
+def product_table(df: DataFrame) -> DataFrame:
+    """PRJ-01: products with the price band taken apart, dates and claims normalised."""
+    out = renamed(df, PRODUCT)
+    low, high = S.price_band(F.col("price_band"))
+    return out.select("product_id", "brand", "category_lv1", "category_lv2", "price_band", low.alias("price_min"), high.alias("price_max"), S.normalize_timestamp(F.col("launch_date")).alias("launch_date"), S.normalize_tags(F.col("core_claims")).alias("core_claims"))
+
+
+def review_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """PRJ-02: the same reviews without and with their text."""
+    out = renamed(df, REVIEW).withColumns({"rating_bucket": F.coalesce(F.col("rating_bucket").cast("string"), F.lit("unknown")), "effect_tags": S.normalize_tags(F.col("effect_tags")), "issue_tags": S.normalize_tags(F.col("issue_tags")), "created_at": S.normalize_timestamp(F.col("created_at")), "content": S.normalize_text(F.col("content"))})
+    full = out.select("review_id", "product_id", "source", "rating_bucket", "sentiment_tag", "effect_tags", "issue_tags", "content", "created_at")
+    return full.drop("content"), full
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """SET-05: rows of tables whose columns differ, as text, blank where a table lacks a column."""
+    names = list(dict.fromkeys(c for p in parts for c in p.columns))
+    return reduce(DataFrame.unionByName, [p.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in p.columns else F.lit("").alias(c) for c in names]) for p in parts])
+
+
+def seeded(seeds: DataFrame, reports: DataFrame) -> DataFrame:
+    """JOIN-12: seed keywords of registered reports that can be read."""
+    return seeds.join(reports.where("extractability in ('high', 'medium')").drop("extractability"), "report_id")

@@ -1,7 +1,8 @@
 """Evidence for free-text questions: scoring, gating, and what they add up to.
 
-Signals are scored against every question by substring, which no join key expresses. The signal side is therefore split
-into blocks of bounded size and broadcast block by block only after that size is checked.
+Signals are scored by what they contain of a question. Containment has no join key of its own, but what is contained
+stands there with all its runs of three letters: texts meet by the rarest run of what is looked for, in an ordinary equi
+join, and are then compared (``containing``). Only pairs with something in common are ever made.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ class Config:
     strong: tuple[str, ...] = ("medium", "high")
     blocked: tuple[str, ...] = ("high",)
     freshness_days: int = 7
-    #: Signals in a block that is sent to every task.
-    block: int = 20_000
 
 
 def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> DataFrame:
@@ -37,37 +36,59 @@ def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> Dat
     return df.withColumns({"is_stale": stale, "usable": ~(stale | weak | low | blocked), "blocked_by_safety": blocked, "rejection_reason": F.nullif(reason, F.lit(""))})
 
 
-def overlap(low: Column, terms: Column, keyword: Column, text: Column) -> Column:
-    """Terms of a question found in a signal's text; two more if its keyword is in the question, one if the reverse holds.
+#: Letters of the runs by which texts meet; what is shorter meets by all of itself.
+GRAM = 3
 
-    All in lower case; ``low`` is the whole question, ``terms`` its words.
-    """
-    found = F.size(F.filter(terms, lambda t: text.contains(t)))
-    return found + F.when(low.contains(keyword), 2).when((low != "") & keyword.contains(low), 1).otherwise(0)
+
+def _grams(text: Column, n: int | Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n)))
+
+
+def containing(needles: DataFrame, hay: DataFrame, needle: str, key: str, text: str) -> DataFrame:
+    """``needle, key`` of every text of ``hay`` (``key``, ``text``) that holds a needle. Needles are distinct and not empty."""
+    size = F.least(F.length(needle), F.lit(GRAM))
+    asked = needles.select(needle, F.explode(_grams(F.col(needle), size)).alias("gram"))
+    sizes = [F.when(F.length(text) >= n, _grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    held = hay.select(key, F.explode(F.concat(*sizes)).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    many = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # a needle meets texts by its run that the fewest of them have, and none if there is a run that no text has
+    rarest = asked.join(many, "gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0").select(needle, F.col("least.gram").alias("gram"))
+    met = rarest.join(held, "gram").select(needle, key)
+    return met.join(hay, key).where(F.col(text).contains(F.col(needle))).select(needle, key)
 
 
 def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, config: Config = Config()) -> DataFrame:
     """JOIN-10, TOP-04: per question the ``k`` best signals, ties in input order.
 
-    ``queries``: query_id, query. ``signals``: signal columns and ``pos``, their order. Each block keeps at most ``k``
-    rows of a question before the blocks meet.
+    A question's words that stand in a signal's text count one each, repeated ones again; its keyword in the question
+    counts two, else the question in its keyword one. ``queries``: query_id, query. ``signals``: signal columns and
+    ``pos``, their order, which is theirs alone. Equal questions are scored once. A signal without a keyword is in
+    every question: only the ``k`` best of these meet questions that no word leads to them.
     """
-    # each question meets every signal: spread by question, which the ranking below asks for anyway
-    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.repartition(spread, "query_id").withColumn("__low", F.lower(S.strip(F.col("query")))).withColumn("__terms", F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != ""))
-    own = signals.withColumn("__key", F.lower("normalized_keyword")).withColumn("__text", F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")])))
-    total = signals.count()
-    rank = Window.partitionBy("query_id").orderBy(F.desc("match_score"), "pos")
-    blocks = max(1, -(-total // config.block))
-    best = None
-    for b in range(blocks):
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == b)
-        pairs = asked.crossJoin(F.broadcast(part)).withColumn("overlap", overlap(F.col("__low"), F.col("__terms"), F.col("__key"), F.col("__text"))).where("overlap > 0")
-        pairs = pairs.withColumn("match_score", F.col("overlap") * 100.0 + F.col("trend_score"))
-        pairs = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        best = pairs if best is None else best.unionByName(pairs)
-    best = best if blocks == 1 else best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return evidence_flags(best.drop("__text", "__key", "__low", "__terms"), now, config)
+    asked = queries.withColumn("__low", F.lower(S.strip(F.col("query"))))
+    low = asked.select("__low").distinct().where("__low is not null")
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")]))
+    own = signals.select("pos", F.lower("normalized_keyword").alias("__key"), text.alias("__text"), "trend_score")
+    words = low.select("__low", F.explode(F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != "")).alias("__term")).groupBy("__low", "__term").agg(F.count("*").alias("points"))
+    found = containing(words.select("__term").distinct(), own.select("pos", "__text"), "__term", "pos", "__text")
+    by_word = words.join(found, "__term").select("__low", "pos", "points")
+    keys = own.select("__key").distinct().where("__key <> ''")
+    named = containing(keys, low, "__key", "__low", "__low").withColumn("points", F.lit(2))
+    within = containing(low.where("__low <> ''").withColumnRenamed("__low", "__asked"), keys.withColumn("__held", F.col("__key")), "__asked", "__key", "__held")
+    within = within.where(~F.col("__asked").contains(F.col("__key"))).select("__key", F.col("__asked").alias("__low"), F.lit(1).alias("points"))
+    by_key = named.select("__key", "__low", "points").union(within).join(own.select("__key", "pos"), "__key").select("__low", "pos", F.col("points").cast("long"))
+    # of signals without a keyword, each worth two to any question, only the k best by score can be among a question's best
+    # where no word leads to them: another one that a word leads to, or that is better, stands before any later one
+    blank = own.where("__key = ''").orderBy(F.desc("trend_score"), "pos").limit(k).agg(F.collect_list("pos"))
+    free = low.select("__low", F.explode(blank.scalar()).alias("pos"), F.lit(0).cast("long").alias("points"))
+    worth = own.select("pos", F.when(F.col("__key") == "", 2).otherwise(0).alias("__all"), "trend_score")
+    pairs = by_word.union(by_key).union(free).groupBy("__low", "pos").agg(F.sum("points").alias("points")).join(worth, "pos")
+    pairs = pairs.select("__low", "pos", (F.col("points") + F.col("__all")).alias("overlap"), "trend_score")
+    score = F.col("overlap") * 100.0 + F.col("trend_score")
+    rank = Window.partitionBy("__low").orderBy(F.desc("match_score"), "pos")
+    best = pairs.select("__low", "pos", "overlap", score.alias("match_score")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    out = asked.join(best, "__low").drop("__low").join(signals, "pos")
+    return evidence_flags(out, now, config)
 
 
 def answer(queries: DataFrame, evidence: DataFrame, hook: Callable[[Column], Column] | None = None) -> DataFrame:

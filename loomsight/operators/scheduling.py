@@ -68,6 +68,88 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | Non
     return a.join(b, cond, "full_outer").select(*[value(c).alias(c) for c in old.columns])
 
 
+def active_registry(registry: DataFrame, keyword: Column | None = None, codes: list[str] | None = None) -> DataFrame:
+    """FLT-05: active, approved rows of a keyword, in order; platform codes stand for all their labels."""
+    out = registry.where("is_active and status = 'approved'")
+    out = out.where(F.col("keyword_db_id") == keyword) if keyword is not None else out
+    labels = sorted(k for k, v in fixed.PLATFORM_CODES.items() if v in set(codes or ()) and k not in fixed.PLATFORM_CODES.values())
+    return (out.where(F.col("platform").isin(labels)) if labels else out).orderBy("platform", "expanded_query")
+
+
+def _merged(old: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, Column, Column]:
+    """Both sides as structs ``o`` and ``n``; whether a row is old, and whether it is new."""
+    a = old.select(*[F.col(c).alias(f"__{c}") for c in key], F.struct("*").alias("o"))
+    b = new.select(*[F.col(c).alias(f"__{c}") for c in key], F.struct("*").alias("n"))
+    return a.join(b, [f"__{c}" for c in key], "full_outer"), F.col("o").isNotNull(), F.col("n").isNotNull()
+
+
+#: ST-07: what an operator's decision locks.
+LOCKED = ["source_type", "review_status", "status", "is_active"]
+REFRESHED = ["expansion_type", "based_on", "notes"]
+
+
+def registry_upsert(registry: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """ST-07: rows merged by keyword, platform and query. Lifetimes are always refreshed; a status only while no operator
+    has decided it.
+
+    Both sides: keyword_db_id, platform, expanded_query, ``LOCKED`` (but is_active on the new side), ``REFRESHED``,
+    ttl_days; the registry has is_active, expires_at and last_seen_at too. New rows are distinct by key.
+    """
+    key = ["keyword_db_id", "platform", "expanded_query"]
+    days = F.when(F.coalesce("ttl_days", F.lit(0)) == 0, 30).otherwise(F.col("ttl_days"))
+    fresh = rows.select(*key, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("source_type", "manual"), ("review_status", "approved"), ("status", "approved"))], *REFRESHED, days.alias("ttl_days"))
+    fresh = fresh.withColumns({"is_active": F.col("status") != "deprecated", "expires_at": now + F.make_dt_interval(days=F.col("ttl_days")), "last_seen_at": now})
+    both, was, comes = _merged(registry, fresh, key)
+    locked = F.col("o.review_status").isin("approved", "rejected") | F.col("o.status").isin("approved", "deprecated")
+
+    def value(c: str) -> Column:
+        old, new = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if c in REFRESHED:
+            merged = F.coalesce(new, old)
+        elif c in LOCKED:
+            merged = F.when(locked, old).otherwise(new)
+        else:
+            merged = new
+        return F.when(~was, new).when(~comes, old).otherwise(merged).alias(c)
+
+    return both.select(*[value(c) for c in [*key, *LOCKED, *REFRESHED, "ttl_days", "expires_at", "last_seen_at"]])
+
+
+#: ST-08: what a known unit takes anew.
+RETIMED = ["tier", "risk_level", "revisit_minutes", "cooldown_minutes", "is_active"]
+
+
+def state_ensure(states: DataFrame, units: DataFrame, now: Column) -> DataFrame:
+    """ST-08: units without a state get one that is due now; known ones take tier, risk, intervals and activity, and keep
+    the time they are due. Both sides: query_unit_key, ``RETIMED``; states have next_due_at. Units are distinct by key."""
+    both, was, comes = _merged(states, units, ["query_unit_key"])
+    new = [F.when(comes, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in RETIMED]
+    return both.select(F.col("__query_unit_key").alias("query_unit_key"), *new, F.when(was, F.col("o.next_due_at")).otherwise(now).alias("next_due_at"))
+
+
+#: ST-12: the status that an event gives a task, and the level of its log row.
+TASK_EVENTS = {"start": ("running", "info"), "complete": ("completed", "success"), "fail": ("failed", "error"), "cancel": ("cancelled", "warning")}
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """ST-12: a task after its events, ``pending`` before any: status, when it started and ended, its log rows by level.
+
+    ``events``: task_id, event, at, pos. The last event decides; unknown events change nothing.
+    """
+    known = events.where(F.col("event").isin(*TASK_EVENTS))
+    status = S.lookup({k: v[0] for k, v in TASK_EVENTS.items()}, F.col("event"))
+    level = S.lookup({k: v[1] for k, v in TASK_EVENTS.items()}, F.col("event"))
+    at = F.struct("at", "pos")
+    folded = known.withColumns({"s": status, "level": level}).groupBy("task_id").agg(
+        F.max_by("s", at).alias("status"),
+        F.max_by(F.when(F.col("event") == "start", F.col("at")), F.when(F.col("event") == "start", at)).alias("started_at"),
+        F.max_by(F.when(F.col("event") != "start", F.col("at")), F.when(F.col("event") != "start", at)).alias("completed_at"),
+        *[F.count_if(F.col("level") == x).alias(f"{x}_logs") for x in ("info", "success", "error", "warning")],
+    )
+    out = events.select("task_id").distinct().join(folded, "task_id", "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
 def fold_state(events: DataFrame) -> DataFrame:
     """ST-06, ST-08, ST-12: per unit the state after its events: schedule, success, failure.
 
@@ -104,6 +186,12 @@ def reconcile(items: DataFrame, tasks: DataFrame, now: Column, minutes: int = 45
     return df.withColumn("action", action).withColumn("item_status", F.coalesce(status, F.col("item_status")))
 
 
+def demoted(items: DataFrame) -> DataFrame:
+    """ST-11: succeeded items whose task's summary shows no output count as terminal failures."""
+    empty = (F.coalesce("cleaned_count", F.lit(0)) == 0) | (F.coalesce("signal_count", F.lit(0)) == 0)
+    return items.withColumn("item_status", F.when((F.col("item_status") == "succeeded") & empty, "failed_terminal").otherwise(F.col("item_status")))
+
+
 def audit(items: DataFrame, key: str = "run_id") -> DataFrame:
     """AGG-12, ST-11: counts by state and what they make of the batch."""
     count = lambda *s: F.count_if(F.col("item_status").isin(*s))
@@ -116,6 +204,12 @@ def least_used(accounts: DataFrame, platform: str) -> DataFrame:
     return accounts.where((F.col("platform") == platform) & (F.col("status") == "active")).orderBy("usage_count", "id").limit(1)
 
 
+def pick_account(accounts: DataFrame, platform: str) -> DataFrame:
+    """TOP-08: all accounts, the least used one of the platform counted once more."""
+    one = least_used(accounts, platform).select("id", F.lit(1).alias("__more"))
+    return accounts.join(F.broadcast(one), "id", "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("__more", F.lit(0))).drop("__more")
+
+
 def requeue(items: DataFrame, limit: int) -> DataFrame:
     """TOP-09."""
     return items.where(F.col("item_status").isin("planned", "failed_retryable")).orderBy("created_at", "id").limit(limit)

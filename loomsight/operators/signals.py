@@ -6,6 +6,9 @@ aggregates that combine before the shuffle; only evidence ids, which are the res
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +45,23 @@ def query_cleaned(df: DataFrame, keyword=None, platform=None, sentiment=None, mi
     return df.orderBy(F.desc("trend_score"), "id").offset(offset).limit(limit)
 
 
-def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days: int = 7) -> DataFrame:
-    """AGG-01..07: a signal per keyword, cluster, type and platform.
+def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days: int = 7, by_task: bool = False) -> DataFrame:
+    """AGG-01..07: a signal per keyword, cluster, type and platform, and per task if ``by_task``.
 
     ``cleaned``: id, keyword and key columns, crawl_task_id, title, summary, topics, trend_score, created_at (timestamp),
-    raw_data (JSON), confidence, risk_flag. ``meta`` overrides keys, confidence, risk and report columns where set.
+    raw_data (JSON), confidence, risk_flag. ``meta`` overrides keys, confidence, risk and report columns where set; so do
+    ``meta_`` columns of the rows (``export.with_metadata``), each for its own rows.
     """
+    group = [*KEY, "crawl_task_id"] if by_task else KEY
     meta = {k: v for k, v in (meta or {}).items() if v}
     have = set(cleaned.columns)
-    field = lambda c: F.lit(meta[c]) if c in meta else (F.nullif(F.col(c), F.lit("")) if c in have else F.lit(None).cast("string"))
+
+    def field(c: str):
+        if c in meta:
+            return F.lit(meta[c])
+        own = [F.nullif(F.col(x), F.lit("")) for x in (f"meta_{c}", c) if x in have]
+        return F.coalesce(*own) if own else F.lit(None).cast("string")
+
     fallback = F.col("keyword") if "keyword" in have else F.lit("")
     rows = cleaned.withColumns(
         {
@@ -63,15 +74,16 @@ def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days:
             "iso": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
         }
     )
+    task_keyword = F.nullif(F.col("meta_keyword_id").cast("string"), F.lit("")) if "meta_keyword_id" in have else F.lit(None).cast("string")
     extra = ["report_id", "signal_period_type", "signal_period_label", "source_scope", "confidence", "risk_flag"]
     rank = F.struct("score", "iso", "id")
     snippet = F.concat_ws(" | ", *[S.filled(F.col(c)) if c in have else F.lit(None).cast("string") for c in ("title", "summary", "topics")])
     url = S.source_url(F.col("raw_data"), F.col("source_id") if "source_id" in have else F.col("id"), F.col("source_platform"))
-    head = F.struct("id", "crawl_task_id", url.alias("url"), *[field(c).alias(c) for c in extra])
+    head = F.struct("id", "crawl_task_id", url.alias("url"), task_keyword.alias("keyword_id"), *[field(c).alias(c) for c in extra])
     # one ranked pass: the three best rows' texts by a window that stops at rank three, the rest by plain aggregates
-    best = Window.partitionBy(*KEY).orderBy(F.desc("score"), F.desc("iso"), F.desc("id"))
-    top = rows.withColumn("rn", F.row_number().over(best)).where("rn <= 3").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("rn", snippet.alias("s")))).alias("top"))
-    groups = rows.groupBy(*KEY).agg(
+    best = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("iso"), F.desc("id"))
+    top = rows.withColumn("rn", F.row_number().over(best)).where("rn <= 3").groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rn", snippet.alias("s")))).alias("top"))
+    groups = rows.groupBy(*group).agg(
         F.count("*").alias("support_count"),
         F.max("score").alias("most"),
         F.max_by(head, rank).alias("head"),
@@ -86,9 +98,9 @@ def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days:
     confidence = F.when(stated.isin("low", "medium", "high"), stated).when((n >= 3) & (F.col("trend_score") >= 70), "high").when((n >= 2) & (F.col("trend_score") >= 45), "medium").when(F.col("trend_score") >= 65, "medium").otherwise("low")
     flag = F.col("head.risk_flag")
     risk = F.when((flag == "high") | F.col("any_high"), "high").when((flag == "medium") | F.col("any_medium"), "medium").otherwise("low")
-    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEY]
-    joined = groups.alias("g").join(top.alias("t"), on=same[0] & same[1] & same[2] & same[3], how="left").select("g.*", "t.top")
-    keyword_id = F.lit(meta["keyword_id"]) if "keyword_id" in meta else F.concat(F.lit("KW_TASK_"), F.col("head.crawl_task_id").cast("string"))
+    same = reduce(and_, [F.col(f"g.{k}").eqNullSafe(F.col(f"t.{k}")) for k in group])
+    joined = groups.alias("g").join(top.alias("t"), on=same, how="left").select("g.*", "t.top")
+    keyword_id = F.lit(meta["keyword_id"]) if "keyword_id" in meta else F.coalesce("head.keyword_id", F.concat(F.lit("KW_TASK_"), F.col("head.crawl_task_id").cast("string")))
     return joined.withColumn("trend_score", score).select(
         F.concat(F.lit("TS_"), F.date_format("observed_at", "yyyyMMdd"), F.lit("_"), F.col("head.crawl_task_id").cast("string"), F.lit("_"), F.col("head.id").cast("string")).alias("signal_id"),
         keyword_id.alias("keyword_id"),

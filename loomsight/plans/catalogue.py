@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsight.functions import scalars as S
 from loomsight.operators import delivery, planner, retrieval, scheduling, signals, vendor
+from loomsight.plans import more
 from loomsight.plans.adapters import NOW, SQL_CLEANED, cleaned, keywords, lines, read, sql_plan
-from loomsight.sources import readers, sinks
+from loomsight.sources import sinks
 from loomsight.streaming import jobs
 
 QUERIES: dict = {}
@@ -443,39 +442,27 @@ def rolling_7d(spark: SparkSession, sf: str) -> DataFrame:
     return signals.rolling(read(spark, sf, "events"), "event_type", "ts", "value")
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/loomsight/stream-{uuid.uuid4().hex}"
-
-
 @query("""with w as (select event_type, time_bucket(interval 12 hour, ts) as st, count(*) as n, round(avg(value), 8) as a from events group by 1, 2) select event_type, strftime(st, '%Y-%m-%d %H:%M:%S') as bucket_start, n, a as avg_value from w where st + interval 12 hour <= (select max(ts) - interval 1 day from events)""")
 def stream_series_12h(spark: SparkSession, sf: str) -> DataFrame:
-    at, rows = _scratch(spark), jobs.read(spark, sf, "events.parquet", "ts")
+    at, rows = more.scratch(spark), jobs.read(spark, sf, "events.parquet", "ts")
     out = jobs.run_once(jobs.bucket_series(rows, "ts", ["event_type"], "value"), f"{at}/out", f"{at}/state")
     return out.select("event_type", _text("bucket_start"), "n", "avg_value")
 
 
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    at, rows = _scratch(spark), jobs.read(spark, sf, "events.parquet", "ts")
+    at, rows = more.scratch(spark), jobs.read(spark, sf, "events.parquet", "ts")
     return jobs.run_once(jobs.deduplicated(rows, "ts", ["user_id", "event_type"], "1000 hours").select("user_id", "event_type"), f"{at}/out", f"{at}/state")
 
 
-@query()
-def page_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Embedded JSON of page elements; the driver's pages have none, so each gets one."""
-    made = F.concat(F.lit("<div data-field='{\"id\": "), F.col("page_id").cast("string"), F.lit("}'>"), "html", F.lit("</div>"))
-    out = readers.page_fields(read(spark, sf, "pages").withColumn("html", made))
-    return out.select("page_id", "pos", F.get_json_object("field", "$.id").cast("long").alias("id"), F.length("text").alias("n_chars"))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The best trend signals."""
     return trend_signals(spark, sf).orderBy(F.desc("trend_score"), "signal_id").limit(20)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **more.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **more.SQL}

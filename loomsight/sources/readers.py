@@ -7,6 +7,7 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -41,17 +42,24 @@ def contract_signals(rows: DataFrame, freshness_days: int = 7) -> DataFrame:
     return rows.where(text("signal_id").isNotNull()).select(*[special.get(c, F.coalesce(text(c), F.lit(""))).alias(c) for c in SIGNAL_COLUMNS])
 
 
-def json_signals(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC-03, SRC-05, SRC-06: rows of ``results`` (or ``signals``) lists; missing, unreadable or other files give none."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in SIGNAL_COLUMNS + EXTENSIONS])
-    envelope = T.StructType([T.StructField("results", T.ArrayType(schema))])
+_SIGNAL = T.StructType([T.StructField(c, T.StringType()) for c in SIGNAL_COLUMNS + EXTENSIONS])
+#: Names under which files list their signals.
+LISTS = ("results", "trend_signals", "signals")
+
+
+def json_signals(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
+    """SRC-03, SRC-05, SRC-06: rows of the files' lists (``LISTS``) that have a ``signal_id``. Missing files give none;
+    so do files that are broken or hold no list, unless ``strict``: then a broken file is an error when it is read."""
+    envelope = T.StructType([T.StructField(x, T.StringType()) for x in LISTS])
     try:
-        df = spark.read.schema(envelope).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+        df = spark.read.schema(envelope).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
-    return df.select(F.explode("results").alias("r")).select("r.*").where("signal_id is not null")
+        return spark.createDataFrame([], _SIGNAL)
+    # a list is read from its own text, so that a file whose list is something else spoils nothing
+    rows = F.coalesce(*[F.from_json(x, T.ArrayType(_SIGNAL)) for x in LISTS])
+    return df.select(F.explode(rows).alias("r")).select("r.*").where(S.filled(F.col("signal_id")).isNotNull())
 
 
 def legacy_signals(rows: DataFrame, freshness_days: int = 7) -> DataFrame:
@@ -73,6 +81,24 @@ def keywords(rows: DataFrame) -> DataFrame:
     return out.withColumn("reject", ~(level("priority") & level("confidence") & level("risk_flag") & (F.col("keyword") != "")))
 
 
+def first_keywords(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """SRC-08: keyword rows in the file's order, the first ``limit`` of them where that is set."""
+    rows = csv_text(spark, path)
+    if limit is not None:
+        rows = rows.withColumn("__pos", F.monotonically_increasing_id()).orderBy("__pos").limit(limit).drop("__pos")
+    return keywords(rows)
+
+
+def pages(fetch: Callable[[str], tuple[list[dict], str | None]], spark: SparkSession, schema: str, most: int | None = None) -> DataFrame:
+    """SRC-19: rows of a source that hands them out page by page. ``fetch`` takes a cursor, blank at first, and returns
+    rows and the next cursor, or None after the last page; no more pages are asked for once ``most`` rows are there."""
+    rows, cursor = [], ""
+    while cursor is not None and (most is None or len(rows) < most):
+        found, cursor = fetch(cursor)
+        rows += found
+    return spark.createDataFrame(rows if most is None else rows[:most], schema)
+
+
 def _cells(raw: bytes):
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -131,9 +157,11 @@ def docx_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-13: files under a folder with their category, the folder right under ``path``."""
+    """SRC-13: files under a folder with their category, the folder right under ``path``; ``root`` for those in it itself."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
-    return files.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).withColumn("category", F.element_at(F.split("path", "/"), -2))
+    base = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+    under = F.split(F.element_at(F.split("path", F.concat(F.lit("/"), F.lit(re.escape(base)), F.lit("/")), 2), -1), "/")
+    return files.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).withColumn("category", F.when(F.size(under) > 1, under[0]).otherwise("root"))
 
 
 def env_file(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +177,9 @@ def preview(df: DataFrame, n: int) -> tuple[DataFrame, int]:
 
 
 def comment_texts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-18: text of comment lines; broken lines go."""
-    df = spark.read.schema("content string, comment_text string, text string").option("mode", "DROPMALFORMED").json(path)
+    """SRC-18: text of comments in lines, or of a whole ``.json`` array; broken lines go."""
+    whole = path.endswith(".json")
+    df = spark.read.schema("content string, comment_text string, text string").option("multiLine", whole).option("mode", "DROPMALFORMED").json(path)
     return df.select(F.coalesce(*[S.filled(F.col(c)) for c in ("content", "comment_text", "text")]).alias("content")).where("content is not null")
 
 

@@ -48,6 +48,19 @@ def merge_into(path: str, key: list[str], fold):
     return apply
 
 
+def follow(df: DataFrame, path: str, checkpoint: str, every: str = "1 day", mode: str = "append"):
+    """ST-02: the same as a query that goes on, a batch every ``every``; returns the running query."""
+    return df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).start(path)
+
+
+def live(entries: DataFrame, now, key: str = "key", pattern: str | None = None) -> DataFrame:
+    """ST-14: of a cache's writes ``key, value, expires_at, pos`` the latest of each key that has not expired; ``pattern``
+    is a part of the key."""
+    entries = entries.where(F.col(key).contains(pattern)) if pattern else entries
+    last = entries.groupBy(key).agg(F.max_by(F.struct("value", "expires_at"), "pos").alias("e"))
+    return last.where(F.col("e.expires_at").isNull() | (F.col("e.expires_at") > now)).select(key, "e.value", "e.expires_at")
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """ST-01: everything that is there now, to a Parquet folder; returns it as a batch."""
     schema = df.schema
