@@ -3,7 +3,8 @@
 Words lose case and outer punctuation. Numbers, units and names become typed placeholders, so a question whose figures
 or names were exchanged has the same template. Windows of ``WINDOW`` template words of the benchmark are hashed; the
 documents' windows are joined with them by hash. Along each alignment of a document with an item the slots must be
-consistent: what stands for one value of the item is the same value everywhere, and different values stay different. Alignments that follow each other in item and document and agree in their values add up,
+consistent: what stands for one value of the item is the same value everywhere, and different values stay different;
+where they are not, the text asks something else, and only windows that stand there with the item's own values count. Alignments that follow each other in item and document and agree in their values add up,
 so inserted or deleted words only cost the windows across them. A document is contaminated by an item if consistent
 windows cover at least ``COVER`` of the item's words.
 
@@ -183,7 +184,9 @@ class Index:
                     a, b = own[k] + values[k], own[k] + slots.get(k + shift, words[k + shift])
                     if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                         bad.add(k)
-            good = {k for p in places if not any(q in bad for q in range(p, p + size)) for k in range(p, p + size)}
+            if bad:  # another question of the same form: only what stands there word by word counts
+                places = {p for p in places if all(slots.get(q + shift, words[q + shift]) == values[q] for q in range(p, p + size) if q in values)}
+            good = {k for p in places for k in range(p, p + size)}
             share = len(good) / len(own)
             if share >= COVER:
                 best[item] = max(best.get(item, (0.0, 0)), (share, -shift))

@@ -94,3 +94,32 @@ def test_insertions_and_deletions(spark):
     rows = [" ".join(x) for x in (more, less, turned)]
     got = {r.doc_id: [(h.item_id, h.share) for h in r.hits] for r in t.contaminated(docs(spark, rows), bench(spark, [" ".join(item)])).collect()}
     assert got == {0: [(0, 1.0)], 1: [(0, 58 / 60)], 2: []}
+
+
+def test_inconsistent_slots_are_another_question():
+    index = t.Index([(1, "If Tom has 12 apples and buys 7 more, how many apples does Tom have now?")])
+    hits = lambda text: [h[0] for h in index.hits(*t.forms(text))]
+    assert hits("If Ann has 30 apples and buys 8 more, how many apples does Ann have now?") == [1]
+    assert hits("If Ann has 30 apples and buys 8 more, how many apples does Bob have now?") == []
+    assert hits("If Tom has 12 apples and buys 7 more, how many apples does Tom have now?") == [1]
+
+
+def test_random_questions_and_their_doubles():
+    import random
+
+    rnd = random.Random(9)
+    names, things = ["Ann", "Bob", "Cid", "Dora", "Ed"], ["apples", "coins", "books"]
+    for _ in range(60):
+        a, b = rnd.sample(names, 2)
+        x, y = rnd.sample(range(10, 99), 2)
+        thing = rnd.choice(things)
+        item = f"Yesterday {{0}} gave {{1}} exactly {{2}} {thing} and then {{3}} {thing} more, so how many {thing} did {{0}} give {{1}} if {{2}} were returned by {{1}} later"
+        index = t.Index([(5, item.format(a, b, x, y))])
+        hits = lambda text: [h[0] for h in index.hits(*t.forms(text))]  # noqa: B023, E731
+        c, d = rnd.sample(names, 2)
+        v, w = rnd.sample(range(10, 99), 2)
+        assert hits("Some words before. " + item.format(c, d, v, w) + " and behind") == [5]
+        # one value for two of the item's, or two for one of them, is no re-parameterised copy
+        mixed = item.format(c, c, v, w) if rnd.random() < 0.5 else item.replace("{2} were", "77 were").format(c, d, v if v != 77 else 78, w)
+        if (c, d, v, w) != (a, b, x, y) and not {str(x), str(y), a, b} & {str(v), str(w), c, d}:
+            assert hits(mixed) == []
