@@ -173,6 +173,24 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: Keys that are dealt over several tasks at most, and rows of one such key in each.
+HOT_KEYS, HOT_ROWS = 1000, 1 << 12
+
+
+def spread_join(rows: DataFrame, told: DataFrame, key: str, *apart: str) -> DataFrame:
+    """``rows`` with what ``told`` says of their ``key``: ``count``, rows of each key, and further columns.
+
+    A key that holds a large share of all rows would be one task's. The ``HOT_KEYS`` largest, a bounded list, are dealt
+    over parts by the digest of the columns ``apart`` and told to each part; no other key can hold a thousandth of the rows.
+    """
+    hot = told.filter(F.col("count") > HOT_ROWS).orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key, F.least(F.ceil(F.col("count") / HOT_ROWS), F.lit(1 << 14)).cast("int").alias("__parts"))
+    hot = F.broadcast(staged(hot, "hot-keys"))
+    own = F.pmod(F.xxhash64(*apart), F.col("__parts")).cast("int")
+    left = rows.join(hot, key, "left").withColumn("__part", F.coalesce(own, F.lit(0))).drop("__parts")
+    right = told.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Those columns alone, so that further ones with clashing names cannot meet."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

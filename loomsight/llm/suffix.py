@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsight.llm.common import chunks, mix, pick, prefix_hash, span_hash, staged, table
+from loomsight.llm.common import chunks, mix, pick, prefix_hash, span_hash, spread_join, staged, table
 
 LENGTH, ANCHOR = 200, 32
 REACH = LENGTH - ANCHOR + 1
@@ -78,7 +78,7 @@ class ColumnBwt:
 
     ``strings`` start at column ``-place``. ``group`` is non-decreasing; suffixes of different groups are not compared.
     ``rounds`` yields, per column, the strings in suffix order and the length each has in common with the one before it
-    in its group. A finished column's symbols and common prefixes are appended to two files, which ``replay`` reads.
+    in its group. A finished column's symbols and common prefixes are appended to two files, in the order in which they were made.
     """
 
     def __init__(self, strings: list[bytes], place: np.ndarray, group: np.ndarray):
@@ -292,11 +292,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``d, u, runs``: per row with repeats, the runs (first window, windows) of its repeated windows."""
     docs = _keyed(docs)
     all_segments = anchors(docs.filter(F.octet_length("text") >= LENGTH))
-    shared = all_segments.groupBy("h").count().filter("count > 1").select("h")
-    found = staged(all_segments.join(shared, "h"), "segments")
+    shared = staged(all_segments.groupBy("h").count().filter("count > 1"), "anchors")
+    found = staged(spread_join(all_segments, shared, "h", "d", "u", "a").drop("count"), "segments")
     kinds = staged(found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("d", "u", "a", "n", "place")).alias("at")), "kinds")
-    per = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(per, "h")
+    per = staged(kinds.groupBy("h").count(), "kinds-of-anchors")
+    kinds = spread_join(kinds, per, "h", "g").withColumnRenamed("count", "kinds")
     sole = kinds.filter("kinds = 1").select("h", "g", F.lit(0).alias("lo"), F.col("at.n").alias("n"))
     item = F.struct("h", "g", F.col("at.a").alias("a"), F.col("at.n").alias("n"), F.col("at.place").alias("place"), "c", (F.col("kinds") > CROWD).alias("crowded"))
     wanted = kinds.filter("kinds > 1").groupBy(F.col("at.d").alias("d"), F.col("at.u").alias("u")).agg(F.collect_list(item).alias("segs"))
