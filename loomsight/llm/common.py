@@ -151,14 +151,44 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+#: Distinct edges up to which one task takes a graph, in some tens of megabytes.
+EDGES_AT_ONCE = 1_000_000
+
+
+def _settled(batches):
+    """The components of all edges that come, by hooking the larger root under the smaller until nothing moves."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        after = root.copy()
+        np.minimum.at(after, root[x], low)
+        np.minimum.at(after, root[y], low)
+        while (after != after[after]).any():
+            after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    for k in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(ids[root[k : k + (1 << 16)]])], ["node", "root"])
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int = 60, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """Connected components of an edge table ``(a, b)``: ``(node, root)``, root the smallest node reachable.
 
-    Each round takes the smallest root among a node and its neighbours, hangs the old root under it, and then
-    follows roots once, so that chains halve. Rounds are staged in the shared folder; the driver gets one count.
-    Self-loops are allowed, repeated edges too; no edges give no rows.
+    A graph whose distinct edges are counted to be at most ``at_once`` is one task's, for a round of shuffles costs more
+    than all of it. A larger one goes by rounds: each takes the smallest root among a node and its neighbours, hangs the
+    old root under it, and then follows roots once, so that chains halve. Rounds are staged in the shared folder; the
+    driver gets counts alone. Self-loops are allowed, repeated edges too; no edges give no rows. Both ways agree.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    once = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    if once.count() <= at_once:
+        return staged(once.coalesce(1).mapInArrow(_settled, "node long, root long"), f"{name}-settled")
+    both = staged(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
     roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), f"{name}-0")
     for k in range(1, rounds):
         near = both.join(roots.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")

@@ -111,3 +111,12 @@ def test_agreement_follows_the_limit(spark):
     sig[1, :85] = sig[0, :85]
     reps = spark.createDataFrame([(k, bytearray(s.astype(">u2").tobytes())) for k, s in enumerate(sig)], "rep long, sig binary")
     assert [m.forest_edges(reps, p).count() for p in (80, 85)] == [1, 0]
+
+
+def test_components_by_rounds_and_at_once(spark):
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1080)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, two = (sorted(map(tuple, components(df, at_once=n).collect())) for n in (10_000, 0))
+    assert one == two and dict(one)[1080] == 1000
+    assert components(df.limit(0)).count() == 0
