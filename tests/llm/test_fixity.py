@@ -44,3 +44,30 @@ def test_equal_lost_and_empty(spark):
     none = f.records(pages(spark, ROWS).limit(0))
     assert f.audit(none, none).count() == 0
     assert {r.state for r in f.audit(none, f.records(pages(spark, ROWS[:5]))).collect()} == {"extra"}
+
+
+def test_loss_in_mid_file_is_one_finding(spark):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>") for k in range(900)]
+    a = f.records(pages(spark, rows))
+    got = f.audit(a, f.records(pages(spark, [r for r in rows if r[0] != 100]))).collect()
+    assert [(r.page_id, r.state, r.place) for r in got] == [(100, "missing", 100)]
+    mixed = [(k, u, "x" if k == 500 else h) for k, u, h in rows if k not in (100, 101)] + [(-7, "new", "n")]
+    got = f.audit(a, f.records(pages(spark, mixed))).collect()
+    assert sorted((r.page_id, r.state) for r in got) == [(-7, "extra"), (100, "missing"), (101, "missing"), (500, "altered")]
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, f"u{k}", f"h{k}") for k in range(300)] + [(None, "same", f"h{k}") for k in range(300)] + [(5, "copy", "c")] * 40 + [(-3, "neg", "n"), (6, "u", "y" * 200_000)]
+    a = f.records(pages(spark, rows))
+    raw = sorted((p is not None, p or 0, hashlib.sha256(u.encode()).hexdigest(), hashlib.sha256(digest(p, u, h)).hexdigest(), len(digest(p, u, h))) for p, u, h in rows)
+    want, at, place = [], {}, {}
+    for known, p, _, d, n in raw:
+        file = p // f.FILE_IDS if known else -1
+        want.append((file, place.get(file, 0), at.get(file, 0), n, d))
+        at[file], place[file] = at.get(file, 0) + n, place.get(file, 0) + 1
+    assert sorted((r.file, r.place, r.start, r.length, r.digest) for r in a.collect()) == sorted(want)
+    other = [r for r in rows if r[1] not in ("u7", "copy")] + [(5, "copy", "c")] * 38
+    other = [(p, u, "bad" if h == "h9" else h) for p, u, h in other]
+    got = sorted((r.page_id is not None, r.state) for r in f.audit(a, f.records(pages(spark, other))).collect())
+    assert got == [(False, "altered"), (False, "altered"), (False, "missing"), (True, "missing"), (True, "missing")]
+    assert f.audit(a, f.records(pages(spark, rows[::-1]))).count() == 0
