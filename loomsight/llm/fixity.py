@@ -107,7 +107,7 @@ def _bits(digest: str, n: int) -> Column:
 
 def _kinds(both: DataFrame, bits: int) -> DataFrame:
     """Different records of each side with their copies and first place, under the node ``i`` that holds them."""
-    slot = F.coalesce(F.col("page_id") - F.col("file") * FILE_IDS + 1, F.lit(0))
+    slot = F.coalesce(F.pmod("page_id", F.lit(FILE_IDS)) + 1, F.lit(0))
     own = F.shiftleft(_bits("by_url", bits), bits).bitwiseOR(_bits("digest", bits))
     i = F.shiftleft(F.shiftleft("file", ID_BITS).bitwiseOR(slot), 2 * bits).bitwiseOR(own)
     return both.groupBy("side", *_KIND).agg(F.count("*").alias("copies"), F.min("place").alias("place"), F.min("start").alias("start")).withColumn("i", i)

@@ -71,3 +71,13 @@ def test_null_and_repeated_ids(spark):
     got = sorted((r.page_id is not None, r.state) for r in f.audit(a, f.records(pages(spark, other))).collect())
     assert got == [(False, "altered"), (False, "altered"), (False, "missing"), (True, "missing"), (True, "missing")]
     assert f.audit(a, f.records(pages(spark, rows[::-1]))).count() == 0
+
+
+def test_ids_beyond_the_precision_of_doubles(spark):
+    ids = [2**62 + 7919 * k for k in range(60)] + [-(2**62) - 7919 * k for k in range(60)]
+    rows = [(k, "u", f"h{k}") for k in ids]
+    both = f.records(pages(spark, rows))
+    kinds = f._kinds(both.withColumn("side", f.F.lit(0)), 0)
+    assert kinds.select("i").distinct().count() == len(ids)
+    got = f.audit(both, f.records(pages(spark, [(k, u, "x" if k == ids[70] else h) for k, u, h in rows if k != ids[3]]))).collect()
+    assert sorted((r.page_id, r.state) for r in got) == sorted([(ids[3], "missing"), (ids[70], "altered")])
