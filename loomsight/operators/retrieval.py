@@ -18,12 +18,13 @@ from loomsight.functions import scalars as S
 
 @dataclass(frozen=True)
 class Config:
-    """UX-02."""
+    """UX-02. ``block``: texts of one run of letters that one task compares at most, so that a common run is many tasks'."""
 
     min_score: float = 30.0
     strong: tuple[str, ...] = ("medium", "high")
     blocked: tuple[str, ...] = ("high",)
     freshness_days: int = 7
+    block: int = 1 << 16
 
 
 def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> DataFrame:
@@ -44,8 +45,11 @@ def _grams(text: Column, n: int | Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n)))
 
 
-def containing(needles: DataFrame, hay: DataFrame, needle: str, key: str, text: str) -> DataFrame:
-    """``needle, key`` of every text of ``hay`` (``key``, ``text``) that holds a needle. Needles are distinct and not empty."""
+def containing(needles: DataFrame, hay: DataFrame, needle: str, key: str, text: str, block: int = Config.block) -> DataFrame:
+    """``needle, key`` of every text of ``hay`` (``key``, ``text``) that holds a needle. Needles are distinct and not empty.
+
+    A run of letters that more than ``block`` texts have is dealt over parts of about that many texts.
+    """
     size = F.least(F.length(needle), F.lit(GRAM))
     asked = needles.select(needle, F.explode(_grams(F.col(needle), size)).alias("gram"))
     sizes = [F.when(F.length(text) >= n, _grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
@@ -53,7 +57,10 @@ def containing(needles: DataFrame, hay: DataFrame, needle: str, key: str, text:
     many = held.groupBy("gram").agg(F.count("*").alias("n"))
     # a needle meets texts by its run that the fewest of them have, and none if there is a run that no text has
     rarest = asked.join(many, "gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0").select(needle, F.col("least.gram").alias("gram"))
-    met = rarest.join(held, "gram").select(needle, key)
+    hot = many.where(F.col("n") > block).select("gram", F.ceil(F.col("n") / block).alias("__parts"))
+    dealt = held.join(hot, "gram", "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), "__parts"))).drop("__parts")
+    asked_of = rarest.join(hot, "gram", "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    met = asked_of.join(dealt, ["gram", "__part"]).select(needle, key)
     return met.join(hay, key).where(F.col(text).contains(F.col(needle))).select(needle, key)
 
 
@@ -70,11 +77,11 @@ def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, co
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")]))
     own = signals.select("pos", F.lower("normalized_keyword").alias("__key"), text.alias("__text"), "trend_score")
     words = low.select("__low", F.explode(F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != "")).alias("__term")).groupBy("__low", "__term").agg(F.count("*").alias("points"))
-    found = containing(words.select("__term").distinct(), own.select("pos", "__text"), "__term", "pos", "__text")
+    found = containing(words.select("__term").distinct(), own.select("pos", "__text"), "__term", "pos", "__text", config.block)
     by_word = words.join(found, "__term").select("__low", "pos", "points")
     keys = own.select("__key").distinct().where("__key <> ''")
-    named = containing(keys, low, "__key", "__low", "__low").withColumn("points", F.lit(2))
-    within = containing(low.where("__low <> ''").withColumnRenamed("__low", "__asked"), keys.withColumn("__held", F.col("__key")), "__asked", "__key", "__held")
+    named = containing(keys, low, "__key", "__low", "__low", config.block).withColumn("points", F.lit(2))
+    within = containing(low.where("__low <> ''").withColumnRenamed("__low", "__asked"), keys.withColumn("__held", F.col("__key")), "__asked", "__key", "__held", config.block)
     within = within.where(~F.col("__asked").contains(F.col("__key"))).select("__key", F.col("__asked").alias("__low"), F.lit(1).alias("points"))
     by_key = named.select("__key", "__low", "points").union(within).join(own.select("__key", "pos"), "__key").select("__low", "pos", F.col("points").cast("long"))
     # of signals without a keyword, each worth two to any question, only the k best by score can be among a question's best
