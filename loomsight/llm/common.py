@@ -18,9 +18,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two primes below 2**31, and for each a base drawn once at random. Modulo a prime no two words are alike
+#: for every base, as they are modulo 2**64 (the Thue-Morse word of 1,024 letters and its complement).
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1273642419, 718035921)
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -85,14 +86,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=2)
-def _tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, 1 << bits), _powers(_INVERSE, 1 << bits)
+@lru_cache(maxsize=8)
+def _table(base: int, prime: int, bits: int) -> np.ndarray:
+    """Powers of ``base`` modulo ``prime``, ``2**bits`` of them, by doubling."""
+    out = np.ones(1 << bits, np.uint32)
+    for k in range(bits):
+        out[1 << k : 2 << k] = out[: 1 << k].astype(np.uint64) * np.uint64(pow(base, 1 << k, prime)) % np.uint64(prime)
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _tables(max(16, int(n).bit_length()))
+def _lanes(n: int):
+    """Per prime: it, and at least ``n`` powers of its base and of the base's inverse."""
+    bits = max(16, int(n).bit_length())
+    for base, prime in zip(_BASES, _PRIMES):
+        yield np.uint64(prime), _table(base, prime, bits), _table(pow(base, -1, prime), prime, bits)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,17 +113,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of (data[j] + 1) * BASE**j over j < i."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
+    """Per prime a row P with P[i] = sum of (data[j] + 1) * (base**j mod prime) over j < i, modulo the prime in long data alone."""
+    out = np.zeros((len(_PRIMES), len(data) + 1), np.uint64)
+    for row, (prime, up, _) in zip(out, _lanes(len(data) + 1)):
+        terms = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
+        if len(data) > 1 << 22:
+            terms %= prime
+        np.cumsum(terms, out=row[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], by content alone."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    """Hashes of data[start:end], by content alone: 31 bits for each of two primes, mixed."""
+    out = np.zeros(np.shape(start), np.uint64)
+    for row, (prime, _, down) in zip(prefix, _lanes(prefix.shape[1])):
+        out = out << np.uint64(31) | (row[end] - row[start]) % prime * down[start] % prime
+    return mix(out)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
