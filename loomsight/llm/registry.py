@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomsight.llm import bpe, chat, divergence, fixity, langid, minhash, ordinal, suffix, templates, wavelet
+from loomsight.llm import bpe, chat, divergence, fixity, langid, lexical, minhash, ordinal, suffix, templates, wavelet
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_wavelet": wavelet.query,
         "op9_chat_format": chat.query,
         "op10_bpe": bpe.query,
+        "op11_block_max_wand": lexical.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": fixity.SQL, "op9_chat_format": chat.SQL}
+    return {"op1_merkle_fixity": fixity.SQL, "op9_chat_format": chat.SQL, "op11_block_max_wand": lexical.SQL}

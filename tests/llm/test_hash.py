@@ -36,7 +36,7 @@ def test_tokens():
 
 def test_windows_and_shingles(spark):
     tail = " ".join(f"w{k}" for k in range(7))
-    docs = spark.createDataFrame([(1, f"{T} {tail} {U} {tail}"), (2, f"{T} w x y z"), (3, f"{U} w x y z")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "en", f"{T} {tail} {U} {tail}"), (2, "en", f"{T} w x y z"), (3, "en", f"{U} w x y z")], "doc_id long, lang string, text string")
     assert divergence.measure(docs).filter("doc_id = 1").first().n_repeat_words == 0
     found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs.filter("doc_id > 1"), 85).collect()}
     assert found == {2: 2, 3: 3}
