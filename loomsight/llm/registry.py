@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomsight.llm import bpe, chat, divergence, fixity, langid, lexical, minhash, ordinal, suffix, templates, wavelet
+from loomsight.llm import alignment, bpe, chat, divergence, fixity, langid, lexical, minhash, ordinal, suffix, suffixtree, templates, wavelet
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op9_chat_format": chat.query,
         "op10_bpe": bpe.query,
         "op11_block_max_wand": lexical.query,
+        "op12_alignment": alignment.query,
+        "op13_suffix_tree": suffixtree.query,
         "pipeline": corpus_pipeline.run,
     }
 
