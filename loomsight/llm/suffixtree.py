@@ -36,9 +36,9 @@ DEPTH, KEEP, DISCOUNT = 3, 2.0, 0.75
 #: Words with symbols of their own: at most so many, each this often and of so many bytes at most.
 SHARED, LEAST, LONGEST = 1 << 19, 3, 64
 #: Positions of a bucket, and of a context that is dealt over several.
-BUCKET, HOT = 1 << 19, 1 << 19
+BUCKET, HOT = 1 << 18, 1 << 18
 #: Positions that a task packs at once, and counts it holds before it hands them on.
-PACK, TALLY = 1 << 20, 1 << 20
+PACK, TALLY = 1 << 19, 1 << 20
 
 START, END, RARE, WORDS = range(4)
 #: Bits of a symbol; the highest value stands for no word.
@@ -346,6 +346,7 @@ def _scores(root):
                 weights[k - 1].append(n if k == level else np.zeros(len(sym), np.int64))
         row, weights = np.concatenate(row), [np.concatenate(w) for w in weights]
         sym, *back = (np.concatenate(p) for p in parts)
+        del parts
         keys, key = [], np.zeros(len(sym), np.int64)
         own = row < 1 << 62
         for k in range(DEPTH):
@@ -353,6 +354,7 @@ def _scores(root):
             keys.append(key)
             if told[k]:
                 weights[k][own & (_among(key, np.sort(np.array(told[k]))) >= 0)] = 0
+        del back
         chance = np.log10(scored(sym, keys, weights, root.value)[own])
         rows_, at = np.unique(np.where(row < 0, ~row, row)[own], return_inverse=True)
         return pa.table([pa.array(rows_), pa.array(np.bincount(at, chance, len(rows_)))], ["row", "part"])
