@@ -1,9 +1,8 @@
 """Cross-tokenizer alignment: where two tokenizers end tokens at the same byte, and which ids that links.
 
-Python tokenises and notes where each token ends, in bytes; all that follows is Spark's higher-order functions. The ends
-that both have (``array_intersect``) cut a text into groups. Marks of the cuts are sorted in among the ends of each side,
-two ascending runs, so the place of each cut in a side's tokens is the mark behind it: no search, no square. Groups are
-slices between such places, links the pairs within a group. Counts of id pairs over documents are one aggregate; each
+Python tokenises and notes where each token ends, in bytes, and for every byte which token ends there; all that follows is
+Spark's higher-order functions. The ends that both have (``array_intersect``) cut a text into groups. The places of a cut's
+tokens are looked up by byte: no search, no square. Groups are what stands between such places, links the pairs within. Counts of id pairs over documents are one aggregate; each
 document's links meet them as a broadcast of at most ``BROADCAST_PAIRS`` counted pairs, or, beyond, in a join whose
 common pairs are dealt over parts. Both ways are tested to agree.
 
@@ -57,39 +56,44 @@ class PieceTokens(dict):
 
     def _forget(self) -> None:
         self.clear()
-        self.ids, self.odd = [], set()
+        self.n, self.used = 0, 0
+        self.flat, self.first, self.many, self.odd = np.zeros(1 << 12, np.int32), *(np.zeros(1 << 10, t) for t in (np.int64, np.int64, bool))
 
     def encoded(self, word: bytes) -> list[int]:
         # the library puts the first blank back, but before nothing
         return self.library.encode(word[1:].decode()) if len(word) > 1 else [self.library.piece_to_id(_BLANK)]
 
     def __missing__(self, word: bytes) -> int:
-        ids = self.encoded(word)
-        number = len(self.ids)
-        self.ids.append(ids)
-        if b"".join(self.bytes[i] for i in ids) != word:
-            self.odd.add(number)
+        ids, number = self.encoded(word), self.n
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if number == len(self.first):
+            self.first, self.many, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.odd))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[number], self.many[number] = self.used, len(ids)
+        self.odd[number] = b"".join(self.bytes[i] for i in ids) != word
+        self.n, self.used = number + 1, self.used + len(ids)
         if len(word) <= WORD_BYTES:
             self[word] = number
         return number
 
     def rows(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows, how many each has, and whether they join to a blank and the text."""
-        if len(self.ids) > WORDS:
+        if self.n > WORDS:
             self._forget()
-        flat, many, good = [], np.zeros(len(offsets) - 1, np.int64), np.ones(len(offsets) - 1, bool)
-        for k in range(len(many)):
-            text = b" " + raw[offsets[k] : offsets[k + 1]]
-            if len(text) == 1:
-                continue
-            numbers = [self[w] for w in _UNIT.findall(text)]
-            ids = [i for n in numbers for i in self.ids[n]]
-            if self.odd and not self.odd.isdisjoint(numbers):
-                good[k] = b"".join(self.bytes[i] for i in ids) == text
-            if good[k]:
-                flat.append(np.array(ids, np.int32))
-                many[k] = len(ids)
-        return np.concatenate(flat) if flat else np.zeros(0, np.int32), many, good
+        find, number = _UNIT.findall, self.__getitem__
+        bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        rows = [list(map(number, find(b" " + raw[a:b]))) if b > a else [] for a, b in bounds]
+        units = np.array([x for row in rows for x in row], np.int64)
+        of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+        many = self.many[units]
+        ids = self.flat[np.repeat(self.first[units] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        good = np.ones(len(rows), bool)
+        for k in np.unique(of[self.odd[units]]).tolist():
+            own = ids[np.repeat(of == k, many)]
+            good[k] = b"".join(self.bytes[i] for i in own.tolist()) == b" " + raw[offsets[k] : offsets[k + 1]]
+        keep = good[of]
+        return ids[np.repeat(keep, many)], np.bincount(of[keep], many[keep], len(rows)).astype(np.int64), good
 
 
 class ByteSide:
@@ -117,17 +121,25 @@ def _sides(a: str, b: str) -> tuple[ByteSide, PieceTokens]:
     return ByteSide(a), PieceTokens(b)
 
 
-def _arrays(ids: np.ndarray, many: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids and byte ends of rows as lists."""
+TOKENS = "row long, doc_id long, " + ", ".join(f"{x}_ids array<int>, {x}_ends array<int>, {x}_at array<int>" for x in "ab")
+
+
+def _arrays(ids: np.ndarray, many: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """Per row the ids, their byte ends, and for every byte from 0 on the place of the token that ends before it, -1 for none."""
     upto = np.concatenate([[0], np.cumsum(many)])
     end = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])
+    whole = end[upto[1:]] - end[upto[:-1]] + (many > 0)
+    bytes_ = np.concatenate([[0], np.cumsum(whole)])
     ends = end[1:] - np.repeat(end[upto[:-1]], many)
-    off = pa.array(upto.astype(np.int32))
-    return tuple(pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (ids, ends))
+    at = np.full(int(bytes_[-1]), -1, np.int32)
+    at[ends + np.repeat(bytes_[:-1], many)] = np.arange(len(ids)) - np.repeat(upto[:-1], many)
+    lists = lambda off, x: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int32)))
+    return [lists(upto, ids), lists(upto, ends), lists(bytes_, at)]
 
 
 def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``row, doc_id, a_ids, a_ends, b_ids, b_ends`` of every row; ``a`` a byte-level file, ``b`` a sentencepiece model."""
+    """``row, doc_id`` and each side's ids, ends and places by byte (``_arrays``) of every row; ``a`` a byte-level file, ``b`` a
+    sentencepiece model."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         left, right = _sides(a, b)
@@ -136,10 +148,10 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
             a_ids, a_many = left.rows(data, offsets)
             keep = good & (np.diff(offsets) > 0)
             a_ids, a_many = a_ids[np.repeat(keep, a_many)], a_many * keep
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *_arrays(a_ids, a_many, left.size), *_arrays(b_ids, b_many, right.size)], ["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *_arrays(a_ids, a_many, left.size), *_arrays(b_ids, b_many, right.size)], ["row", "doc_id", "a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
 
     numbered = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return numbered.mapInArrow(run, TOKENS)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -147,36 +159,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _places(ends: Column, cut: Column) -> Column:
-    """The place in ascending ``ends`` of each value of ``cut``, all of which stand there."""
-    marks = F.sort_array(F.concat(F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + 2 * i + 1), F.transform(cut, lambda e: F.shiftleft(e.cast("long"), 32))))
-    behind = lambda m: F.filter(m, lambda x, i: (x % 2 == 1) & (F.get(m, i - 1) % 2 == 0))
-    return let(marks, lambda m: F.transform(behind(m), lambda x: F.shiftright(x.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")))
-
-
-def _first(places: Column, g: Column) -> Column:
-    return F.coalesce(F.get(places, g - 1) + 1, F.lit(0))
-
-
 def grouped(tokens: DataFrame) -> DataFrame:
-    """``row, doc_id, g`` with ``g.n_a, g.n_b, g.n_groups, g.n_links, g.groups`` as text, ``g.pairs``: a pair's ids in one
-    number, the first above 32 bits, an entry for each link."""
-    a_ids, b_ids = F.col("a_ids"), F.col("b_ids")
-
-    def built(ia: Column, ib: Column, sa: Column, sb: Column) -> Column:
-        every = F.sequence(F.lit(0), F.size(ia) - 1)
-        part = lambda ids, places, g: let(_first(places, g), lambda f: F.slice(ids, f + 1, F.get(places, g) - f + 1))
-        text = F.array_join(F.transform(every, lambda g: F.concat(F.array_join(part(sa, ia, g), ","), F.lit("|"), F.array_join(part(sb, ib, g), ","))), ";")
-        pairs = F.flatten(F.transform(every, lambda g: let(part(b_ids, ib, g), lambda right: F.flatten(F.transform(part(a_ids, ia, g), lambda x: F.transform(right, lambda y: F.shiftleft(x.cast("long"), 32) + y))))))
-        links = F.aggregate(every, F.lit(0).cast("long"), lambda n, g: n + (F.get(ia, g) + 1 - _first(ia, g)).cast("long") * (F.get(ib, g) + 1 - _first(ib, g)))
-        return F.struct(F.size(a_ids).cast("long").alias("n_a"), F.size(b_ids).cast("long").alias("n_b"), F.size(ia).cast("long").alias("n_groups"), links.alias("n_links"), F.sha2(text, 256).alias("groups_sha256"), pairs.alias("pairs"))
+    """``row, doc_id, g`` with ``g.n_a, g.n_b, g.n_groups, g.n_links, g.groups_sha256``, ``g.pairs``: a pair's ids in one
+    number, the first above 32 bits, an entry for each link.
+
+    A group ends where both sides end a token: its last tokens are those that end there, its first the ones behind those
+    of the cut before. Places of both sides add up by two from cut to cut where a group is a token on either side, as most
+    are; only the others are taken apart.
+    """
+    a, b, a_at, b_at = (F.col(c) for c in ("a_ids", "b_ids", "a_at", "b_at"))
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+
+    def built(ends: Column, cut: Column, places: Column, sa: Column, sb: Column) -> Column:
+        # ``cut`` and ``places`` begin with the cut before all tokens, so group ``g`` ends at ``cut[g + 1]``
+        single = lambda g: F.get(places, g + 1) - F.get(places, g) == 2
+        between = lambda ids, at, g: F.slice(ids, F.get(at, F.get(cut, g)) + 2, F.get(at, F.get(cut, g + 1)) - F.get(at, F.get(cut, g)))
+        one = lambda e: F.concat(F.get(sa, F.get(a_at, e)), F.lit("|"), F.get(sb, F.get(b_at, e)))
+        many = lambda g: F.concat(F.array_join(between(sa, a_at, g), ","), F.lit("|"), F.array_join(between(sb, b_at, g), ","))
+        text = F.array_join(F.transform(ends, lambda e, g: F.when(single(g), one(e)).otherwise(many(g))), ";")
+        rest = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda g: ~single(g))
+
+        def out(rest: Column) -> Column:
+            # each group's pair of last tokens, then the other pairs of the groups with more than one
+            last = F.transform(ends, lambda e: pair(F.get(a, F.get(a_at, e)), F.get(b, F.get(b_at, e))))
+            crossed = lambda g: let(between(b, b_at, g), lambda right: F.flatten(F.transform(between(a, a_at, g), lambda x: F.transform(right, lambda y: pair(x, y)))))
+            others = F.flatten(F.transform(rest, lambda g: let(crossed(g), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))))
+            links = F.aggregate(rest, F.size(ends) - F.size(rest), lambda n, g: n + F.size(between(a, a_at, g)) * F.size(between(b, b_at, g)))
+            return F.struct(F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b"), F.size(ends).cast("long").alias("n_groups"), links.cast("long").alias("n_links"), F.sha2(text, 256).alias("groups_sha256"), F.concat(last, others).alias("pairs"))
+
+        return let(rest, out)
 
     zero = F.lit(0).cast("long")
     none = F.struct(zero.alias("n_a"), zero.alias("n_b"), zero.alias("n_groups"), zero.alias("n_links"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("pairs"))
-    cut = F.array_intersect("a_ends", "b_ends")
-    texts = lambda body: let(F.struct(a_ids.cast("array<string>").alias("a"), b_ids.cast("array<string>").alias("b")), lambda s: body(s["a"], s["b"]))
-    places = let(cut, lambda c: let(_places(F.col("a_ends"), c), lambda ia: let(_places(F.col("b_ends"), c), lambda ib: texts(lambda sa, sb: built(ia, ib, sa, sb)))))
-    return tokens.select("row", "doc_id", F.when(F.size("a_ids") == 0, none).otherwise(places).alias("g"))
+    places = lambda c: F.transform(c, lambda e: F.get(a_at, e) + F.get(b_at, e))
+    texts = lambda f: let(a.cast("array<string>"), lambda sa: let(b.cast("array<string>"), lambda sb: f(sa, sb)))
+    of = lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda cut: let(places(cut), lambda p: texts(lambda sa, sb: built(ends, cut, p, sa, sb))))
+    found = let(F.array_intersect("a_ends", "b_ends"), of)
+    return tokens.select("row", "doc_id", F.when(F.size("a_ids") == 0, none).otherwise(found).alias("g"))
 
 
 def aligned(docs: DataFrame, a: str, b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:

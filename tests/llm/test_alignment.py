@@ -95,6 +95,6 @@ def test_no_rows_null_and_repeated_ids(spark):
 
 def test_no_python_behind_the_tokens(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    tokens = spark.createDataFrame(alignment.tokenised(docs, A, B).collect(), "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    tokens = spark.createDataFrame(alignment.tokenised(docs, A, B).collect(), alignment.TOKENS)
     plan = alignment.grouped(tokens)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
