@@ -322,17 +322,17 @@ def scored(sym: np.ndarray, keys: list[np.ndarray], weights: list[np.ndarray], r
     return now
 
 
-def _scores(root):
+def _scores(root, parts: int):
     def run(rows: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        row, parts, weights = [], [[] for _ in range(DEPTH + 1)], [[] for _ in range(DEPTH)]
+        row, columns_, weights = [], [[] for _ in range(DEPTH + 1)], [[] for _ in range(DEPTH)]
         told: list[list[int]] = [[] for _ in range(DEPTH)]
         for level, key, block, sym, n in zip(*(rows.column(c) for c in ("level", "key", "block", "sym", "n"))):
             level = level.as_py()
             if not level:
                 of, columns = _opened(z.decompress(block.as_py()))
                 row.append(of)
-                for held, x in zip(parts, columns):
+                for held, x in zip(columns_, columns):
                     held.append(x)
                 for held in weights:
                     held.append((of < 0).astype(np.int64))
@@ -340,13 +340,13 @@ def _scores(root):
             key, sym, n = key.as_py(), sym.values.to_numpy(), n.values.to_numpy()
             told[level - 1].append(key)
             row.append(np.full(len(sym), 1 << 62))
-            parts[0].append(sym.astype(np.int64))
+            columns_[0].append(sym.astype(np.int64))
             for k in range(1, DEPTH + 1):
-                parts[k].append(np.full(len(sym), key >> BITS * (level - k) & NONE if k <= level else NONE))
+                columns_[k].append(np.full(len(sym), key >> BITS * (level - k) & NONE if k <= level else NONE))
                 weights[k - 1].append(n if k == level else np.zeros(len(sym), np.int64))
         row, weights = np.concatenate(row), [np.concatenate(w) for w in weights]
-        sym, *back = (np.concatenate(p) for p in parts)
-        del parts
+        sym, *back = (np.concatenate(p) for p in columns_)
+        del columns_
         keys, key = [], np.zeros(len(sym), np.int64)
         own = row < 1 << 62
         for k in range(DEPTH):
@@ -357,11 +357,22 @@ def _scores(root):
         del back
         chance = np.log10(scored(sym, keys, weights, root.value)[own])
         rows_, at = np.unique(np.where(row < 0, ~row, row)[own], return_inverse=True)
-        return pa.table([pa.array(rows_), pa.array(np.bincount(at, chance, len(rows_)))], ["row", "part"])
+        part, sums = _hash(rows_, 0) % parts, np.bincount(at, chance, len(rows_))
+        order = np.argsort(part, kind="stable")
+        kinds, first = np.unique(part[order], return_index=True)
+        off = pa.array(np.append(first, len(order)).astype(np.int32))
+        return pa.table([pa.array(kinds), pa.ListArray.from_arrays(off, pa.array(rows_[order])), pa.ListArray.from_arrays(off, pa.array(sums[order]))], ["part", "rows", "sums"])
 
     return run
 
 
+def _summed(sums: pa.Table) -> pa.Table:
+    """The sum of each row of a part over all buckets."""
+    sums = sums.combine_chunks()
+    rows, at = np.unique(sums.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
+    return pa.table([pa.array(rows), pa.array(np.bincount(at, sums.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))], ["row", "tree"])
+
+
 def score(docs: DataFrame, shared: int = SHARED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark = docs.sparkSession
@@ -379,7 +390,9 @@ def score(docs: DataFrame, shared: int = SHARED, hot: int = HOT, bucket: int = B
         named = spark.createDataFrame(pa.table([pa.array(np.arange(len(keys))), pa.array(keys)], ["context", "key"]))
         sent = lists.join(to.where(F.col("level") == level), "context").join(named, "context")
         dealt = dealt.union(sent.select("bucket", F.lit(level).alias("level"), "key", F.lit(None).cast("binary").alias("block"), F.col("s.sym").alias("sym"), F.col("s.n").alias("n")))
-    sums = dealt.groupBy("bucket").applyInArrow(_scores(root), "row long, part double").groupBy("row").agg(F.sum("part").alias("tree"))
+    # a bucket hands on the sums of its rows by part, as many parts as buckets, a row for each
+    by_part = dealt.groupBy("bucket").applyInArrow(_scores(root, buckets), "part long, rows array<long>, sums array<double>")
+    sums = by_part.groupBy("part").applyInArrow(_summed, "row long, tree double")
     rare = held.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(counts, "word", "left")
     c, times = F.coalesce("n", F.lit(0)) + 0.5, F.col("times")
     apart = rare.groupBy("row").agg(
