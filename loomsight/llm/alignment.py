@@ -30,7 +30,7 @@ from loomsight.llm.common import chunks, pick, spread_join, staged, table
 #: Counted id pairs up to which they are broadcast, in some 80 MB.
 BROADCAST_PAIRS = 1 << 21
 #: Words whose pieces a worker remembers, the longest such word in bytes, and bytes of text encoded at once.
-WORDS, WORD_BYTES, TEXT_BYTES = 1 << 19, 64, 1 << 20
+WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 20
 
 _UNIT = re.compile(rb" +[^ ]*")
 _BLANK = "▁"
@@ -39,7 +39,7 @@ _BLANK = "▁"
 class PieceTokens(dict):
     """A sentencepiece BPE file whose pieces hold blanks at their begin alone, so words encode alone as in their text.
 
-    As a dict: from a word with the blanks before it to its number.
+    As a dict: from a word with the blanks before it to its number. What is remembered is bounded; when full, it starts afresh.
     """
 
     def __init__(self, path: str):
@@ -59,32 +59,36 @@ class PieceTokens(dict):
         self.n, self.used = 0, 0
         self.flat, self.first, self.many, self.odd = np.zeros(1 << 12, np.int32), *(np.zeros(1 << 10, t) for t in (np.int64, np.int64, bool))
 
-    def encoded(self, word: bytes) -> list[int]:
+    def learn(self, words: list[bytes]) -> None:
+        """Numbers for words that have none, by one call of the library."""
         # the library puts the first blank back, but before nothing
-        return self.library.encode(word[1:].decode()) if len(word) > 1 else [self.library.piece_to_id(_BLANK)]
-
-    def __missing__(self, word: bytes) -> int:
-        ids, number = self.encoded(word), self.n
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if number == len(self.first):
-            self.first, self.many, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.odd))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.first[number], self.many[number] = self.used, len(ids)
-        self.odd[number] = b"".join(self.bytes[i] for i in ids) != word
-        self.n, self.used = number + 1, self.used + len(ids)
-        if len(word) <= WORD_BYTES:
+        blank = [self.library.piece_to_id(_BLANK)]
+        for word, ids in zip(words, self.library.encode([w[1:].decode() for w in words], num_threads=1)):
+            ids = ids if len(word) > 1 else blank
+            number = self.n
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if number == len(self.first):
+                self.first, self.many, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.odd))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.first[number], self.many[number] = self.used, len(ids)
+            self.odd[number] = b"".join([self.bytes[i] for i in ids]) != word
+            self.n, self.used = number + 1, self.used + len(ids)
             self[word] = number
-        return number
 
     def rows(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows, how many each has, and whether they join to a blank and the text."""
-        if self.n > WORDS:
+        find = _UNIT.findall
+        rows = [find(b" " + raw[a:b]) if b > a else [] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        words = [w for row in rows for w in row]
+        new = set(words).difference(self)
+        if self.n + len(new) > WORDS:
             self._forget()
-        find, number = _UNIT.findall, self.__getitem__
-        bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-        rows = [list(map(number, find(b" " + raw[a:b]))) if b > a else [] for a, b in bounds]
-        units = np.array([x for row in rows for x in row], np.int64)
+            new = set(words)
+        self.learn(list(new))
+        units = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for word in [w for w in new if len(w) > WORD_BYTES]:
+            del self[word]
         of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
         many = self.many[units]
         ids = self.flat[np.repeat(self.first[units] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
@@ -170,12 +174,12 @@ def grouped(tokens: DataFrame) -> DataFrame:
     a, b, a_at, b_at = (F.col(c) for c in ("a_ids", "b_ids", "a_at", "b_at"))
     pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
 
-    def built(ends: Column, cut: Column, places: Column, sa: Column, sb: Column) -> Column:
+    def built(ends: Column, cut: Column, places: Column) -> Column:
         # ``cut`` and ``places`` begin with the cut before all tokens, so group ``g`` ends at ``cut[g + 1]``
         single = lambda g: F.get(places, g + 1) - F.get(places, g) == 2
         between = lambda ids, at, g: F.slice(ids, F.get(at, F.get(cut, g)) + 2, F.get(at, F.get(cut, g + 1)) - F.get(at, F.get(cut, g)))
-        one = lambda e: F.concat(F.get(sa, F.get(a_at, e)), F.lit("|"), F.get(sb, F.get(b_at, e)))
-        many = lambda g: F.concat(F.array_join(between(sa, a_at, g), ","), F.lit("|"), F.array_join(between(sb, b_at, g), ","))
+        one = lambda e: F.concat(F.get(a, F.get(a_at, e)).cast("string"), F.lit("|"), F.get(b, F.get(b_at, e)).cast("string"))
+        many = lambda g: F.concat(*[x for ids, at in ((a, a_at), (b, b_at)) for x in (F.array_join(between(ids, at, g).cast("array<string>"), ","), F.lit("|"))][:-1])
         text = F.array_join(F.transform(ends, lambda e, g: F.when(single(g), one(e)).otherwise(many(g))), ";")
         rest = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda g: ~single(g))
 
@@ -192,8 +196,7 @@ def grouped(tokens: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     none = F.struct(zero.alias("n_a"), zero.alias("n_b"), zero.alias("n_groups"), zero.alias("n_links"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("pairs"))
     places = lambda c: F.transform(c, lambda e: F.get(a_at, e) + F.get(b_at, e))
-    texts = lambda f: let(a.cast("array<string>"), lambda sa: let(b.cast("array<string>"), lambda sb: f(sa, sb)))
-    of = lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda cut: let(places(cut), lambda p: texts(lambda sa, sb: built(ends, cut, p, sa, sb))))
+    of = lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda cut: let(places(cut), lambda p: built(ends, cut, p)))
     found = let(F.array_intersect("a_ends", "b_ends"), of)
     return tokens.select("row", "doc_id", F.when(F.size("a_ids") == 0, none).otherwise(found).alias("g"))
 

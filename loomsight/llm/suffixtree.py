@@ -322,6 +322,22 @@ def scored(sym: np.ndarray, keys: list[np.ndarray], weights: list[np.ndarray], r
     return now
 
 
+#: Sums are handed on in whole multiples of this: of what a document's score adds up from, each is off by 3e-8 at most.
+STEP = 2.0**-24
+
+
+def _packed(rows: np.ndarray, sums: np.ndarray) -> bytes:
+    """Ascending rows and their sums, byte by byte of equal weight, so that they compress."""
+    columns = np.diff(rows, prepend=0).astype("<i8"), (np.round(sums / STEP) * STEP).astype("<f8")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(2, 8, -1)
+    rows, sums = (np.ascontiguousarray(p.T).view(kind).ravel() for p, kind in zip(planes, ("<i8", "<f8")))
+    return np.cumsum(rows), sums
+
+
 def _scores(root, parts: int):
     def run(rows: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
@@ -360,17 +376,17 @@ def _scores(root, parts: int):
         part, sums = _hash(rows_, 0) % parts, np.bincount(at, chance, len(rows_))
         order = np.argsort(part, kind="stable")
         kinds, first = np.unique(part[order], return_index=True)
-        off = pa.array(np.append(first, len(order)).astype(np.int32))
-        return pa.table([pa.array(kinds), pa.ListArray.from_arrays(off, pa.array(rows_[order])), pa.ListArray.from_arrays(off, pa.array(sums[order]))], ["part", "rows", "sums"])
+        blocks = [_packed(rows_[k], sums[k]) for k in np.split(order, first[1:])] if len(order) else []
+        return pa.table([pa.array(kinds), pa.array(blocks, pa.binary())], ["part", "block"])
 
     return run
 
 
-def _summed(sums: pa.Table) -> pa.Table:
+def _summed(blocks: pa.Table) -> pa.Table:
     """The sum of each row of a part over all buckets."""
-    sums = sums.combine_chunks()
-    rows, at = np.unique(sums.column("rows").combine_chunks().flatten().to_numpy(), return_inverse=True)
-    return pa.table([pa.array(rows), pa.array(np.bincount(at, sums.column("sums").combine_chunks().flatten().to_numpy(), len(rows)))], ["row", "tree"])
+    rows, sums = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in blocks.column("block"))))
+    rows, at = np.unique(rows, return_inverse=True)
+    return pa.table([pa.array(rows), pa.array(np.bincount(at, sums, len(rows)))], ["row", "tree"])
 
 
 def score(docs: DataFrame, shared: int = SHARED, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
@@ -390,8 +406,8 @@ def score(docs: DataFrame, shared: int = SHARED, hot: int = HOT, bucket: int = B
         named = spark.createDataFrame(pa.table([pa.array(np.arange(len(keys))), pa.array(keys)], ["context", "key"]))
         sent = lists.join(to.where(F.col("level") == level), "context").join(named, "context")
         dealt = dealt.union(sent.select("bucket", F.lit(level).alias("level"), "key", F.lit(None).cast("binary").alias("block"), F.col("s.sym").alias("sym"), F.col("s.n").alias("n")))
-    # a bucket hands on the sums of its rows by part, as many parts as buckets, a row for each
-    by_part = dealt.groupBy("bucket").applyInArrow(_scores(root, buckets), "part long, rows array<long>, sums array<double>")
+    # a bucket hands on the sums of its rows by part, as many parts as buckets, a block for each
+    by_part = dealt.groupBy("bucket").applyInArrow(_scores(root, buckets), "part long, block binary")
     sums = by_part.groupBy("part").applyInArrow(_summed, "row long, tree double")
     rare = held.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(counts, "word", "left")
     c, times = F.coalesce("n", F.lit(0)) + 0.5, F.col("times")
