@@ -37,6 +37,8 @@ DEPTH, KEEP, DISCOUNT = 3, 2.0, 0.75
 SHARED, LEAST, LONGEST = 1 << 19, 3, 64
 #: Positions of a bucket, and of a context that is dealt over several.
 BUCKET, HOT = 1 << 18, 1 << 18
+#: Buckets that one task scores, one after the other.
+SHELF = 8
 #: Positions that a task packs at once, and counts it holds before it hands them on.
 PACK, TALLY = 1 << 19, 1 << 20
 
@@ -338,52 +340,68 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(rows), sums
 
 
+def _of_bucket(blocks: list[bytes], told: list[tuple[int, int, np.ndarray, np.ndarray]], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a bucket's positions, and the sums of their logarithms. ``told``: length, key, symbols and counts of contexts
+    that are counted apart."""
+    row, columns, weights = [], [[] for _ in range(DEPTH + 1)], [[] for _ in range(DEPTH)]
+    z = zstandard.ZstdDecompressor()
+    for block in blocks:
+        of, found = _opened(z.decompress(block))
+        row.append(of)
+        for held, x in zip(columns, found):
+            held.append(x)
+        for held in weights:
+            held.append((of < 0).astype(np.int64))
+    for level, key, sym, n in told:
+        row.append(np.full(len(sym), 1 << 62))
+        columns[0].append(sym.astype(np.int64))
+        for k in range(1, DEPTH + 1):
+            columns[k].append(np.full(len(sym), key >> BITS * (level - k) & NONE if k <= level else NONE))
+            weights[k - 1].append(n if k == level else np.zeros(len(sym), np.int64))
+    row, weights = np.concatenate(row), [np.concatenate(w) for w in weights]
+    sym, *back = (np.concatenate(p) for p in columns)
+    del columns
+    keys, key = [], np.zeros(len(sym), np.int64)
+    own = row < 1 << 62
+    for k in range(DEPTH):
+        key = key << BITS | back[k]
+        keys.append(key)
+        apart = np.sort(np.array([x[1] for x in told if x[0] == k + 1], np.int64))
+        weights[k][own & (_among(key, apart) >= 0)] = 0
+    del back
+    chance = np.log10(scored(sym, keys, weights, root)[own])
+    rows, at = np.unique(np.where(row < 0, ~row, row)[own], return_inverse=True)
+    return rows, np.bincount(at, chance, len(rows))
+
+
 def _scores(root, parts: int):
-    def run(rows: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        row, columns_, weights = [], [[] for _ in range(DEPTH + 1)], [[] for _ in range(DEPTH)]
-        told: list[list[int]] = [[] for _ in range(DEPTH)]
-        for level, key, block, sym, n in zip(*(rows.column(c) for c in ("level", "key", "block", "sym", "n"))):
-            level = level.as_py()
-            if not level:
-                of, columns = _opened(z.decompress(block.as_py()))
-                row.append(of)
-                for held, x in zip(columns_, columns):
-                    held.append(x)
-                for held in weights:
-                    held.append((of < 0).astype(np.int64))
-                continue
-            key, sym, n = key.as_py(), sym.values.to_numpy(), n.values.to_numpy()
-            told[level - 1].append(key)
-            row.append(np.full(len(sym), 1 << 62))
-            columns_[0].append(sym.astype(np.int64))
-            for k in range(1, DEPTH + 1):
-                columns_[k].append(np.full(len(sym), key >> BITS * (level - k) & NONE if k <= level else NONE))
-                weights[k - 1].append(n if k == level else np.zeros(len(sym), np.int64))
-        row, weights = np.concatenate(row), [np.concatenate(w) for w in weights]
-        sym, *back = (np.concatenate(p) for p in columns_)
-        del columns_
-        keys, key = [], np.zeros(len(sym), np.int64)
-        own = row < 1 << 62
-        for k in range(DEPTH):
-            key = key << BITS | back[k]
-            keys.append(key)
-            if told[k]:
-                weights[k][own & (_among(key, np.sort(np.array(told[k]))) >= 0)] = 0
-        del back
-        chance = np.log10(scored(sym, keys, weights, root.value)[own])
-        rows_, at = np.unique(np.where(row < 0, ~row, row)[own], return_inverse=True)
-        part, sums = _hash(rows_, 0) % parts, np.bincount(at, chance, len(rows_))
+    def run(table_: pa.Table) -> pa.Table:
+        table_ = table_.combine_chunks()
+        bucket, level = table_.column("bucket").to_numpy(), table_.column("level").to_numpy()
+        key, block, sym, n = (table_.column(c) for c in ("key", "block", "sym", "n"))
+        out = []
+        for b in np.unique(bucket):
+            own = np.flatnonzero(bucket == b)
+            blocks = [block[i].as_py() for i in own[level[own] == 0].tolist()]
+            if blocks:
+                told = [(int(level[i]), key[i].as_py(), sym[i].values.to_numpy(), n[i].values.to_numpy()) for i in own[level[own] > 0].tolist()]
+                out.append(_of_bucket(blocks, told, root.value))
+        if not out:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["part", "block"])
+        rows, sums = (np.concatenate(x) for x in zip(*out))
+        rows, at = np.unique(rows, return_inverse=True)
+        sums = np.bincount(at, sums, len(rows))
+        part = _hash(rows, 0) % parts
         order = np.argsort(part, kind="stable")
         kinds, first = np.unique(part[order], return_index=True)
-        blocks = [_packed(rows_[k], sums[k]) for k in np.split(order, first[1:])] if len(order) else []
-        return pa.table([pa.array(kinds), pa.array(blocks, pa.binary())], ["part", "block"])
+        packed = [_packed(rows[k], sums[k]) for k in np.split(order, first[1:])]
+        return pa.table([pa.array(kinds), pa.array(packed, pa.binary())], ["part", "block"])
 
     return run
 
 
 def _summed(blocks: pa.Table) -> pa.Table:
-    """The sum of each row of a part over all buckets."""
+    """The sum of each row of a part over all shelves."""
     rows, sums = (np.concatenate(x) for x in zip(*(_unpacked(b.as_py()) for b in blocks.column("block"))))
     rows, at = np.unique(rows, return_inverse=True)
     return pa.table([pa.array(rows), pa.array(np.bincount(at, sums, len(rows)))], ["row", "tree"])
@@ -406,8 +424,9 @@ def score(docs: DataFrame, shared: int = SHARED, hot: int = HOT, bucket: int = B
         named = spark.createDataFrame(pa.table([pa.array(np.arange(len(keys))), pa.array(keys)], ["context", "key"]))
         sent = lists.join(to.where(F.col("level") == level), "context").join(named, "context")
         dealt = dealt.union(sent.select("bucket", F.lit(level).alias("level"), "key", F.lit(None).cast("binary").alias("block"), F.col("s.sym").alias("sym"), F.col("s.n").alias("n")))
-    # a bucket hands on the sums of its rows by part, as many parts as buckets, a block for each
-    by_part = dealt.groupBy("bucket").applyInArrow(_scores(root, buckets), "part long, block binary")
+    # a shelf of buckets hands on the sums of its rows by part, as many parts as shelves, a block for each
+    shelves = -(-buckets // SHELF)
+    by_part = dealt.withColumn("shelf", F.floor(F.col("bucket") / SHELF)).groupBy("shelf").applyInArrow(_scores(root, shelves), "part long, block binary")
     sums = by_part.groupBy("part").applyInArrow(_summed, "row long, tree double")
     rare = held.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(counts, "word", "left")
     c, times = F.coalesce("n", F.lit(0)) + 0.5, F.col("times")
