@@ -5,8 +5,9 @@ the reference of its language, gathered over all documents: the shares of charac
 language's commonest words with all others as one. The distance is the Jensen-Shannon distance (base 2, 0 to 1); each
 histogram has a least length below which it says nothing.
 
-References are small whatever the corpus: ``CLASSES`` sums and ``COMMON`` words for each of at most ``MOST_LANGS``
-languages, those with most documents; documents of other languages, or of none, use the reference of all.
+A reference is small whatever the corpus: ``CLASSES`` sums and ``COMMON`` words, of every language there is, found by one
+aggregate for all of them. Up to ``BROADCAST_LANGS`` references go to every task; beyond, documents meet theirs in a join.
+Both ways are tested to agree. Documents without a language use the reference of all.
 
 Defined results: null or empty text has no words, so the base rules fail it; ties among common words go to the lesser
 hash; repeated rows count each; a language whose reference has too few words uses that of all; other columns pass
@@ -19,12 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomsight.llm.common import LOWER, chunks, pick, prefix_hash, span_hash, table, windows, words
+from loomsight.llm.common import LOWER, chunks, pick, prefix_hash, span_hash, staged, table, windows, words
 
-COMMON, MOST_LANGS, WINDOW = 64, 256, 8
+COMMON, WINDOW = 64, 8
+#: References up to which they are broadcast, in some 80 MB.
+BROADCAST_LANGS = 1 << 16
 #: Distances beyond which a document diverges, and the words or characters from which on a histogram counts.
 CLASS_LIMIT, WORD_LIMIT, LEAST_WORDS, LEAST_CHARS = 0.32, 0.44, 50, 200
 #: A reference with fewer words than this says nothing of its language.
@@ -107,29 +110,37 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(kind), pa.array(keys), pa.array(ns)], ["lang", "kind", "key", "n"])
 
 
+def reference_rows(docs: DataFrame) -> DataFrame:
+    """``name, classes, top, total``: a row for each language (``=`` and it) and one for all (``*``), as counts."""
+    counts = staged(pick(docs, "doc_id", "lang", "text").mapInArrow(_counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "histograms")
+    by_lang = counts.filter("lang is not null").select(F.concat(F.lit("="), "lang").alias("name"), "kind", "key", "n")
+    both = by_lang.unionByName(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit("*").alias("name"), "kind", "key", "n"))
+    words = both.filter("kind = 1")
+    first = Window.partitionBy("name").orderBy(F.desc("n"), "key")
+    top = words.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= COMMON).groupBy("name").agg(F.collect_list(F.struct("key", "n")).alias("top"))
+    total = words.groupBy("name").agg(F.sum("n").alias("total"))
+    classes = both.filter("kind = 0").groupBy("name").agg(F.collect_list(F.struct("key", "n")).alias("classes"))
+    return staged(classes.join(total, "name", "left").join(top, "name", "left"), "references")
+
+
+def _reference(classes, top, total) -> Reference:
+    cls = np.zeros(CLASSES)
+    for c in classes or ():
+        cls[c["key"]] = c["n"]
+    pairs = sorted((c["key"] % (1 << 64), c["n"]) for c in top or ())
+    common, n = np.array([k for k, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.float64)
+    total = int(total or 0)
+    return Reference(cls / max(1.0, cls.sum()), common, np.append(n, max(0.0, total - n.sum())) / max(1, total), total)
+
+
+def _collected(rows: DataFrame) -> dict[str | None, Reference]:
+    found = {None if r["name"] == "*" else r["name"][1:]: _reference(r["classes"], r["top"], r["total"]) for r in rows.toArrow().to_pylist()}
+    return {None: _reference(None, None, 0)} | found
+
+
 def references(docs: DataFrame) -> dict[str | None, Reference]:
     """The references by language; that of all documents under ``None``."""
-    counts = pick(docs, "doc_id", "lang", "text").mapInArrow(_counted, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).persist()
-    by = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).filter("kind = 1 and lang is not null").orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
-    names = [r.lang for r in by.collect()]
-    out: dict[str | None, Reference] = {}
-    sums = counts.filter("kind = 0").groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("lang").isin(names) | F.lit(False)).unionByName(counts.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "key", "n")).collect()
-    totals = {r.lang: r.n for r in by.collect()}
-    everything = counts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    totals[None] = everything.agg(F.sum("n")).first()[0] or 0
-    for name in [None, *names]:
-        top = (everything if name is None else counts.filter((F.col("kind") == 1) & (F.col("lang") == name))).orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").collect()
-        cls = np.zeros(CLASSES)
-        for r in sums:
-            if r.lang == name:
-                cls[r.key] = r.n
-        common = np.array([r.key for r in top], np.int64).view(np.uint64)
-        n = np.array([r.n for r in top], np.float64)
-        order = np.argsort(common)
-        total = max(1, totals[name])
-        out[name] = Reference(cls / max(1.0, cls.sum()), common[order], np.append(n[order], max(0.0, total - n.sum())) / total, int(totals[name]))
-    counts.unpersist()
-    return out
+    return _collected(reference_rows(docs))
 
 
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
@@ -157,10 +168,18 @@ def _dup_lines(text: bytes) -> int:
 
 def measure(docs: DataFrame, known: dict[str | None, Reference] | None = None) -> DataFrame:
     """``docs`` with the base counts, both distances (null where the text is too short) and the verdict ``kept``."""
-    held = docs.sparkSession.sparkContext.broadcast(known or references(docs))
+    rows = None
+    if not known:
+        rows = reference_rows(docs)
+        known = _collected(rows if rows.count() <= BROADCAST_LANGS else rows.filter("name = '*'"))
+        rows = None if rows.count() <= BROADCAST_LANGS else rows.select("name", F.struct("classes", "top", "total").alias("__own"))
+    held = docs.sparkSession.sparkContext.broadcast(known)
     new = [x.split()[0] for x in _OUT.split(", ")]
     docs = pick(docs, *[c for c in docs.columns if c not in new])
-    lang_at = docs.columns.index("lang") if "lang" in docs.columns else None
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [_OUT])
+    width, lang_at = len(docs.columns), docs.columns.index("lang") if "lang" in docs.columns else None
+    if rows is not None:
+        docs = docs.join(rows, F.concat(F.lit("="), docs["lang"]) == rows["name"], "left").drop("name")
 
     def run(batches):
         refs = held.value
@@ -175,12 +194,13 @@ def measure(docs: DataFrame, known: dict[str | None, Reference] | None = None) -
             table_ = _histograms(data, offsets)
             raw = data.tobytes()
             langs = rows.column(lang_at).to_pylist() if lang_at is not None else [None] * n
+            own = rows.column(width).to_pylist() if rows.num_columns > width else [None] * n
             out = []
             for i in range(n):
                 a, b = int(bounds[i]), int(bounds[i + 1])
                 repeat = _repeat_words(h[a:b])
                 failed = b - a < 20 or 100 * repeat > 30 * (b - a)
-                ref = refs.get(langs[i])
+                ref = refs.get(langs[i]) if own[i] is None else _reference(*own[i].values())
                 if ref is None or ref.n_words < LEAST_REFERENCE:
                     ref = refs[None]
                 by_class = by_word = None
@@ -194,12 +214,11 @@ def measure(docs: DataFrame, known: dict[str | None, Reference] | None = None) -
                 far = (by_class or 0) > CLASS_LIMIT or (by_word or 0) > WORD_LIMIT
                 out.append((b - a, int(chars[i + 1] - chars[i]), int(symbols[i + 1] - symbols[i]), _dup_lines(raw[offsets[i] : offsets[i + 1]]), repeat, failed, by_class, by_word, not failed and not far))
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c, t) for c, t in zip(zip(*out), types)]], [*rows.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:width], *[pa.array(c, t) for c, t in zip(zip(*out), types)]], [*rows.schema.names[:width], *new])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [_OUT])
     return docs.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return measure(pick(docs, "doc_id", "lang", "text"), references(docs)).drop("lang", "text")
+    return measure(pick(docs, "doc_id", "lang", "text")).drop("lang", "text")

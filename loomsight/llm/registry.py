@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from loomsight.llm import alignment, bpe, chat, divergence, fixity, langid, lexical, minhash, ordinal, suffix, suffixtree, templates, wavelet
 
 
+def _pipeline(spark, sf_dir):
+    # the root module is looked for when it runs, so that the package can be imported from elsewhere
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_merkle_fixity": fixity.query,
@@ -21,7 +27,7 @@ def queries() -> dict:
         "op11_block_max_wand": lexical.query,
         "op12_alignment": alignment.query,
         "op13_suffix_tree": suffixtree.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": _pipeline,
     }
 
 

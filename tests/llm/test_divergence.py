@@ -55,3 +55,17 @@ def test_references_and_verdict(spark):
     assert sorted(refs["b"].shares, reverse=True)[0] == max(counts.values()) / sum(counts.values())
     verdict = {x.doc_id: x.kept for x in d.measure(docs, refs).collect()}
     assert [k for k, v in verdict.items() if not v and not base(dict((a, c) for a, _, c in r)[k])[-1]] == [900, 901]
+
+
+def test_many_languages_by_broadcast_and_by_join(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = {k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in "xyzuvw"] for k in range(260)}
+    text = lambda k: " ".join(rnd.choice(words[k]) for _ in range(180))
+    r = [(k, f"l{k % 260}", text(k % 260)) for k in range(260 * 12)] + [(9000 + k, f"l{k}", text((k + 1) % 260)) for k in range(255, 260)] + [(9900, None, text(7)), (9901, "once", text(7))]
+    docs = spark.createDataFrame(r, "doc_id long, lang string, text string").repartition(3)
+    near = {x.doc_id: x for x in d.measure(docs).collect()}
+    assert len(near) == len(r) and all(near[k].kept for k in range(260 * 12))
+    assert not any(near[9000 + k].kept for k in range(255, 260))  # languages beyond any fixed number have their own reference
+    monkeypatch.setattr(d, "BROADCAST_LANGS", 10)
+    far = {x.doc_id: x for x in d.measure(docs).collect()}
+    assert all(tuple(near[k]) == tuple(far[k]) for k in near)

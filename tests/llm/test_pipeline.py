@@ -49,3 +49,20 @@ def test_run_against_brute_force(spark, tmp_path):
         else:
             assert 0 < got[a].n_tokens < len(ids)
 
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (7, text), (7, text + " more"), (9, "quite another text of a few words"), (9, "not at all like the other one here"), (None, None), (3, None), (None, "a lone row without an id but with words")]
+    docs = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, __row int, component_id int")
+    got = corpus_pipeline._near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(7, text), (9, rows[3][1]), (9, rows[4][1]), (None, None), (3, None), (None, rows[7][1])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
