@@ -220,10 +220,17 @@ def url_params(c: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.try_url_decode(p["v"]))))
 
 
-def content_id(c: Column, patterns: dict[str, str]) -> Column:
-    """S-28: the id in a url by the first pattern that fits, or a bare id; null where none does."""
+def last_of(pairs: Column) -> Column:
+    """Entries ``k, v`` of an array as a map: of equal names the last wins, those without a name go."""
+    named = F.filter(pairs, lambda p: p["k"].isNotNull())
+    return F.map_from_entries(F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda q: q["k"] == p["k"])))
+
+
+def content_id(c: Column, patterns: dict[str, str], strict: bool = False) -> Column:
+    """S-28: the id in a url by the first pattern that fits, or a bare id. Where none does: null, or an error if ``strict``."""
     found = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns.values()]
-    return F.coalesce(*found, F.when(c.rlike(r"^[A-Za-z0-9]+$"), c))
+    none = F.when(c.isNotNull(), F.raise_error(F.concat(F.lit("no id in "), c)).cast("string"))
+    return F.coalesce(*found, F.when(c.rlike(r"^[A-Za-z0-9]+$"), c), *([none] if strict else []))
 
 
 #: Id patterns by platform.
@@ -251,12 +258,44 @@ def base36(c: Column) -> Column:
 
 
 def from_base36(c: Column) -> Column:
-    return F.conv(c, 36, 10).cast("bigint")
+    """S-31: of up to 12 digits, which any 64-bit number has; longer ones by ``from_base36_wide``, null here."""
+    digits = F.regexp_replace(c, "^0+(?=.)", "")
+    return F.when(F.length(digits) <= 12, F.conv(digits, 36, 10).cast("bigint"))
+
+
+def from_base36_wide(c: Column) -> Column:
+    """S-31: of up to 24 digits, as a decimal of 38 digits; null for more or for other characters."""
+    digit = lambda x: F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), x) - 1
+    wide = "decimal(38,0)"
+    value = F.aggregate(F.split(F.lower(c), ""), F.lit(0).cast(wide), lambda n, x: (n * F.lit(36).cast("decimal(3,0)") + digit(x)).cast(wide))
+    return F.when(c.rlike("^[0-9A-Za-z]{1,24}$"), value)
+
+
+def state_text(c: Column, marker: str) -> Column:
+    """S-34: the JSON text behind a marker in a page, up to the end of its script; ``undefined`` as a value becomes null."""
+    raw = F.regexp_extract(c, rf"(?s){marker}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1)
+    return F.regexp_replace(raw, r"(?<=[:,\[])\s*undefined\s*(?=[,}\]])", "null")
 
 
 def state_json(c: Column, marker: str) -> Column:
-    """S-34: JSON after a marker in a page; ``undefined`` becomes null."""
-    return F.try_parse_json(F.replace(F.regexp_extract(c, rf"(?s){marker}\s*=\s*(\{{.*?\}})\s*</script>", 1), F.lit("undefined"), F.lit("null")))
+    """S-34: such JSON as a variant, null where it is none."""
+    return F.try_parse_json(state_text(c, marker))
+
+
+def script_json(c: Column, element: str) -> Column:
+    """S-34: the JSON of the script element of that id, as a variant."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(c, rf"(?s)<script[^>]*\bid=[\"']{element}[\"'][^>]*>(.*?)</script>", 1), F.lit("")))
+
+
+def decamelized(c: Column) -> Column:
+    """S-34: JSON text with its names in lower case and underscores; values stay as they are."""
+    for k in range(26):
+        big, small = chr(65 + k), chr(97 + k)
+        # within a name: behind a small letter or digit, or before a small letter; up to the quote and colon
+        c = F.regexp_replace(c, rf'(?<=[a-z0-9]){big}(?=[A-Za-z0-9_]*"\s*:)', f"_{small}")
+    for k in range(26):
+        c = F.regexp_replace(c, rf'(?<=["_A-Z]){chr(65 + k)}(?=[A-Za-z0-9_]*"\s*:)', chr(97 + k))
+    return c
 
 
 def last_url(arr: Column) -> Column:
@@ -265,8 +304,13 @@ def last_url(arr: Column) -> Column:
 
 
 def counts_by_type(arr: Column) -> Column:
-    """S-36: an array of (type, count) as a map."""
-    return F.map_from_entries(F.transform(arr, lambda x: F.struct(x["type"], x["count"])))
+    """S-36: an array of (type, count) as a map; of a repeated type the last counts."""
+    return last_of(F.transform(arr, lambda x: F.struct(x["type"].alias("k"), x["count"].alias("v"))))
+
+
+def tag_map(tags: Column) -> Column:
+    """S-36: an array of (tag_type, content) as JSON text, by type."""
+    return F.to_json(last_of(F.transform(tags, lambda x: F.struct(x["tag_type"].alias("k"), x["content"].alias("v")))))
 
 
 def gender(code: Column, platform: str) -> Column:
@@ -284,9 +328,9 @@ def after_prefix(c: Column, prefix: str) -> Column:
 
 
 def cookies(c: Column) -> Column:
-    """S-39: ``a=b; c=d``; entries with other than one ``=`` go."""
+    """S-39: ``a=b; c=d``; entries with other than one ``=`` go, of a repeated name the last holds."""
     parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip), lambda x: F.length(x) - F.length(F.replace(x, F.lit("="), F.lit(""))) == 1)
-    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.split_part(x, F.lit("="), F.lit(2)))))
+    return last_of(F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.split_part(x, F.lit("="), F.lit(2)).alias("v"))))
 
 
 def log_level(c: Column) -> Column:

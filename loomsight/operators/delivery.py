@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsight.functions import scalars as S
@@ -67,13 +67,15 @@ def clauses(lines: DataFrame, source: str, pos: str, text: str, titles: tuple[st
     return out.withColumn("rule_id", S.hashed_id("rule_", 16, S.normalize_text(F.col(source).cast("string")), F.col("chapter"), F.col("article_no"), F.col("requirement_text")))
 
 
-def header_rows(cells: DataFrame, least: int = 3) -> DataFrame:
-    """SRC-11: from a sheet of ``(row, values)``, the rows under the first with ``least`` filled cells, as maps by its names."""
+def header_rows(cells: DataFrame, least: int = 3, sheet: list[str] | None = None) -> DataFrame:
+    """SRC-11: from sheets of ``(row, values)``, the rows under the first with ``least`` filled cells, as maps by its names;
+    of a repeated header the last cell holds. ``sheet``: the columns that tell sheets apart, none for a single one."""
+    by = sheet or []
     full = F.size(F.filter("values", lambda v: S.filled(v).isNotNull()))
-    head = cells.where(full >= least).agg(F.min_by("values", "row").alias("names"), F.min("row").alias("at"))
-    rows = cells.crossJoin(F.broadcast(head)).where((F.col("row") > F.col("at")) & (full > 0))
-    padded = F.transform("names", lambda n, i: F.coalesce(F.get(F.col("values"), i), F.lit("")))
-    return rows.select("row", F.map_from_arrays("names", padded).alias("cells"))
+    head = cells.where(full >= least).groupBy(*by).agg(F.min_by("values", "row").alias("names"), F.min("row").alias("at"))
+    rows = (cells.join(head, by) if by else cells.crossJoin(F.broadcast(head))).where((F.col("row") > F.col("at")) & (full > 0))
+    pairs = F.transform("names", lambda n, i: F.struct(n.alias("k"), F.coalesce(F.get(F.col("values"), i), F.lit("")).alias("v")))
+    return rows.select(*by, "row", S.last_of(pairs).alias("cells"))
 
 
 def replace_rows(manifest: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -148,3 +150,48 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def seeded(seeds: DataFrame, reports: DataFrame) -> DataFrame:
     """JOIN-12: seed keywords of registered reports that can be read."""
     return seeds.join(reports.where("extractability in ('high', 'medium')").drop("extractability"), "report_id")
+
+
+def trend_table(df: DataFrame) -> DataFrame:
+    """PRJ-01: trends, numbers as numbers and the time normalised."""
+    out = renamed(df, TREND)
+    return out.select("trend_id", "keyword", "topic_cluster", F.col("heat_index").try_cast("bigint").alias("heat_index"), F.col("growth_monthly").try_cast("double").alias("growth_monthly"), F.coalesce(S.filled(F.col("platform")), F.lit("taobao")).alias("platform"), S.normalize_timestamp(F.col("captured_at")).alias("captured_at"))
+
+
+def ingredient_table(df: DataFrame, pos: str) -> DataFrame:
+    """PRJ-01: a row for each ingredient, its uses, effects and evidence of all rows joined in order of first appearance."""
+    out = df.select(pos, *[F.col(f"`{old}`").alias(new) for old, new in INGREDIENT.items() if old in df.columns])
+    kept = out.where(S.filled(F.col("ingredient_id").cast("string")).isNotNull())
+    return collapse(kept, "ingredient_id", pos, [c for c in out.columns if c not in (pos, "ingredient_id")])
+
+
+def relation_table(df: DataFrame) -> DataFrame:
+    """PRJ-01: ingredient and effect with mechanisms and references; rows without either go, equal rows are one."""
+    out = renamed(df, RELATION)
+    text = out.select(*[S.normalize_text(F.col(c)).alias(c) for c in out.columns])
+    return text.where("ingredient_id <> '' and efficacy_relation <> ''").distinct()
+
+
+def eval_report(scores: DataFrame, by: list[str]) -> DataFrame:
+    """D-03: of each group and of all (nulls) the mean scores of 0 to 2, the share of hallucinations, violations and P95 latency.
+
+    Scores outside 0 to 2 count as missing; a group without any has a null mean.
+    """
+    kept = lambda c: F.when(F.col(c).between(0, 2), F.col(c))
+    means = [F.round(F.avg(kept(c)), 4).alias(c) for c in ("correctness", "completeness", "safety", "freshness", "explainability") if c in scores.columns]
+    rate = F.round(F.avg(F.coalesce(F.col("hallucination"), F.lit(False)).cast("int")), 4).alias("hallucination_rate")
+    return scores.rollup(*by).agg(F.count("*").alias("n"), *means, rate, F.sum("violation").alias("violations"), F.expr("percentile(latency, 0.95)").alias("p95_latency"))
+
+
+def validated(rows: DataFrame, enums: dict[str, list[str]] | None = None, ranges: dict[str, tuple[float | None, float | None]] | None = None, lengths: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """FLT-16: ``rows`` with ``faults``, the columns whose value is no member, out of range or of the wrong length, in order.
+
+    A null is a fault of a length whose least is above 0, and of nothing else.
+    """
+    checks: list[tuple[str, Column]] = [(c, ~F.col(c).isin(*values)) for c, values in (enums or {}).items()]
+    for c, (low, high) in (ranges or {}).items():
+        out = F.lit(False) if low is None else F.col(c) < low
+        checks.append((c, out if high is None else out | (F.col(c) > high)))
+    for c, (least, most) in (lengths or {}).items():
+        checks.append((c, ~F.char_length(F.coalesce(F.col(c), F.lit(""))).between(least, most)))
+    return rows.withColumn("faults", F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(c)) for c, bad in checks]))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsight.functions import scalars as S
+from loomsight.operators.sampling import numbered
 
 #: JOIN-02: what a keyword tells of the signals of its tasks.
 META = ["keyword_id", "normalized_keyword", "topic_cluster", "trend_type", "report_id", "signal_period_type", "signal_period_label", "source_scope", "confidence", "risk_flag"]
@@ -48,8 +49,9 @@ def source_files(events: DataFrame, reports: DataFrame, legacy: DataFrame, expli
     none = F.col("top") == -1
     asked = F.raise_error(F.lit("no signal files for the requested runs")).cast("boolean") if explicit else F.lit(True)
     old = all_of.where(none).where(asked).crossJoin(legacy.select("path").distinct()).select("path", F.lit("legacy_filesystem").alias("mode"))
-    ranked = out.select("path", "mode", F.row_number().over(Window.orderBy("o", "path")).alias("pos"))
-    return ranked.unionByName(old.select("path", "mode", F.row_number().over(Window.orderBy(F.desc("path"))).alias("pos")))
+    place = (F.col("__n") + 1).cast("int").alias("pos")
+    ranked = numbered(out, "o", "path").select("path", "mode", place)
+    return ranked.unionByName(numbered(old, F.desc("path")).select("path", "mode", place))
 
 
 def export_order(signals: DataFrame) -> DataFrame:

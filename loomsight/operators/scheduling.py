@@ -218,3 +218,10 @@ def requeue(items: DataFrame, limit: int) -> DataFrame:
 def newest(df: DataFrame, time: str, pos: str, limit: int, offset: int = 0) -> DataFrame:
     """TOP-07, TOP-10, TOP-12."""
     return df.orderBy(F.desc(time), F.desc(pos)).offset(offset).limit(limit)
+
+
+def by_priority(rows: DataFrame, limit: int | None = None, offset: int = 0, key: str = "id") -> DataFrame:
+    """TOP-02: high, medium, low, then all others, by key within; a page of them."""
+    out = rows.orderBy(priority_rank(F.col("priority")), key)
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)

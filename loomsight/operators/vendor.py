@@ -17,7 +17,70 @@ CONTENT = {
     "tieba": {"note_id": ["note_id"], "title": ["title"], "desc": ["desc"], "publish_time": ["publish_time"], "user_nickname": ["user_nickname"], "total_replay_num": ["total_replay_num"]},
     "zhihu": {"content_id": ["id"], "content_type": ["type"], "title": ["title", "question.title"], "desc": ["excerpt", "description"], "created_time": ["created_time", "created"], "updated_time": ["updated_time", "updated"], "voteup_count": ["voteup_count"], "comment_count": ["comment_count"]},
 }
-COMMENT = {"ks": {"comment_id": ["comment_id", "commentId"], "content": ["content"], "user_id": ["author_id", "authorId"], "nickname": ["author_name", "authorName"], "create_time": ["timestamp"]}}
+COMMENT = {
+    "ks": {"comment_id": ["comment_id", "commentId"], "content": ["content"], "user_id": ["author_id", "authorId"], "nickname": ["author_name", "authorName"], "create_time": ["timestamp"], "avatar": ["headurl"], "sub_comment_count": ["commentCount", "subCommentCount"]},
+    "xhs": {"comment_id": ["id"], "create_time": ["create_time"], "ip_location": ["ip_location"], "content": ["content"], "user_id": ["user_info.user_id"], "nickname": ["user_info.nickname"], "avatar": ["user_info.image"], "sub_comment_count": ["sub_comment_count"], "pictures": ["pictures[*].url_default"], "parent_comment_id": ["target_comment.id"], "like_count": ["like_count"]},
+    "bili": {"comment_id": ["rpid"], "parent_comment_id": ["parent"], "create_time": ["ctime"], "content": ["content.message"], "user_id": ["member.mid"], "nickname": ["member.uname"], "sex": ["member.sex"], "sign": ["member.sign"], "avatar": ["member.avatar"], "sub_comment_count": ["rcount"], "like_count": ["like"]},
+    "dy": {"comment_id": ["cid"], "create_time": ["create_time"], "ip_location": ["ip_label"], "aweme_id": ["aweme_id"], "content": ["text"], "user_id": ["user.uid"], "sec_uid": ["user.sec_uid"], "short_user_id": ["user.short_id"], "user_unique_id": ["user.unique_id"], "user_signature": ["user.signature"], "nickname": ["user.nickname"], "sub_comment_count": ["reply_comment_total"], "like_count": ["digg_count"], "parent_comment_id": ["reply_id"]},
+    "wb": {"comment_id": ["id"], "create_time": ["created_at"], "content": ["text"], "sub_comment_count": ["total_number"], "comment_like_count": ["like_count"], "ip_location": ["source"], "parent_comment_id": ["rootid"], "user_id": ["user.id"], "nickname": ["user.screen_name"], "gender": ["user.gender"], "profile_url": ["user.profile_url"], "avatar": ["user.profile_image_url"]},
+    "zhihu": {"comment_id": ["id"], "parent_comment_id": ["reply_comment_id"], "content": ["content"], "publish_time": ["created_time"], "sub_comment_count": ["child_comment_count"], "like_count": ["like_count"], "dislike_count": ["dislike_count"], "user_id": ["author.id"], "user_nickname": ["author.name"]},
+}
+#: PRJ-03: the same for people.
+CREATOR = {
+    "xhs": {"nickname": ["basicInfo.nickname"], "gender": ["basicInfo.gender"], "avatar": ["basicInfo.images"], "desc": ["basicInfo.desc"], "ip_location": ["basicInfo.ipLocation"]},
+    "bili": {"user_id": ["Card.card.mid"], "nickname": ["Card.card.name"], "sex": ["Card.card.sex"], "sign": ["Card.card.sign"], "avatar": ["Card.card.face"], "total_fans": ["Card.card.fans"], "total_liked": ["Card.like_num"], "user_rank": ["Card.card.level_info.current_level"], "is_official": ["Card.card.official_verify.type"]},
+    "dy": {"nickname": ["user.nickname"], "gender": ["user.gender"], "avatar": ["user.avatar_300x300.uri"], "desc": ["user.signature"], "ip_location": ["user.ip_location"], "follows": ["user.following_count"], "fans": ["user.max_follower_count"], "interaction": ["user.total_favorited"], "videos_count": ["user.aweme_count"]},
+    "wb": {"nickname": ["screen_name"], "gender": ["gender"], "avatar": ["avatar_hd"], "desc": ["description"], "ip_location": ["source"], "follows": ["follow_count"], "fans": ["followers_count"]},
+    "ks": {"nickname": ["profile.user_name"], "gender": ["profile.gender"], "avatar": ["profile.headurl"], "desc": ["profile.user_text"], "follows": ["ownerCount.follow"], "fans": ["ownerCount.fan"], "interaction": ["ownerCount.photo_public"]},
+    "zhihu": {"user_id": ["id"], "nickname": ["name"], "gender": ["gender"], "ip_location": ["ip_info"], "follows": ["following_count"], "fans": ["follower_count"], "answer_count": ["answer_count"], "video_count": ["zvideo_count"], "article_count": ["articles_count"]},
+}
+#: PRJ-03: relations and posts of a person, by the person's and the other's JSON. Fixed names.
+CONTACT = {"up_id": "id", "up_name": "name", "up_sign": "sign", "up_avatar": "avatar"}
+
+
+def comment_rows(df: DataFrame, platform: str, column: str = "raw", asked: str | None = None) -> DataFrame:
+    """PRJ-03: comments of a platform, counts 0 where they are missing. ``asked`` holds the id whose comments were asked for:
+    comments of another one go, where a comment names it."""
+    out = flatten(df, column, COMMENT[platform])
+    numbers = [c for c in COMMENT[platform] if c.endswith("_count")]
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit("0")) for c in numbers})
+    if "parent_comment_id" in out.columns:
+        out = out.withColumn("parent_comment_id", F.coalesce("parent_comment_id", F.lit("0")))
+    if platform == "xhs":
+        # one picture stands alone, several as JSON
+        out = out.withColumn("pictures", F.array_join(F.coalesce(F.from_json("pictures", "array<string>"), F.array(F.trim(F.coalesce("pictures", F.lit("")), F.lit('"')))), ","))
+    if platform == "wb":
+        _, wall = S.rfc2822(F.col("create_time"))
+        out = out.withColumns({"content": S.inline_text(F.col("content")), "create_time": wall, "ip_location": S.after_prefix(F.coalesce("ip_location", F.lit("")), "来自")})
+    if platform == "dy" and asked:
+        out = own_comments(out, "aweme_id", asked)
+    return out
+
+
+def creator_rows(df: DataFrame, platform: str, column: str = "raw") -> DataFrame:
+    """PRJ-03: people of a platform; genders by the platform's codes, counts 0 where they are missing."""
+    counts = {}
+    if platform == "xhs":
+        inter = F.from_json(F.get_json_object(column, "$.interactions"), "array<struct<type:string,count:string>>")
+        by = S.counts_by_type(F.coalesce(inter, F.array().cast("array<struct<type:string,count:string>>")))
+        counts = {c: F.coalesce(F.try_element_at(by, F.lit(c)), F.lit("0")) for c in ("follows", "fans", "interaction")}
+    out = flatten(df.withColumns(counts) if counts else df, column, CREATOR[platform])
+    if "gender" in out.columns:
+        code = F.col("gender")
+        by_code = {"dy": F.when(code == "1", "Male").when(code == "2", "Female").otherwise("Unknown"), "wb": F.when(code == "f", "Female").otherwise("Male"), "ks": F.when(code == "F", "Female").otherwise("Male")}
+        out = out.withColumn("gender", by_code.get(platform, S.gender(code, platform)))
+    if platform == "wb":
+        out = out.withColumn("ip_location", S.after_prefix(F.coalesce("ip_location", F.lit("")), "来自"))
+    if platform == "dy":
+        out = out.withColumn("avatar", F.concat(F.lit("https://p3-pc.douyinpic.com/img/"), F.coalesce("avatar", F.lit("None")), F.lit("~c5_300x300.jpeg?from=2956013662")))
+    numbers = [c for c in CREATOR[platform] if c.endswith("_count") or c in ("follows", "fans", "interaction")]
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit("0")) for c in numbers})
+
+
+def contacts(people: DataFrame, up: str, fan: str) -> DataFrame:
+    """PRJ-03: who follows whom, from two JSON columns."""
+    side = lambda column, name: [F.get_json_object(column, f"$.{path}").alias(c.replace("up_", f"{name}_")) for c, path in CONTACT.items()]
+    return people.select(*side(up, "up"), *side(fan, "fan"))
 
 
 def flatten(df: DataFrame, column: str, mapping: dict[str, list[str]]) -> DataFrame:

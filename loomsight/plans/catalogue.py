@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsight.functions import scalars as S
-from loomsight.operators import delivery, planner, retrieval, scheduling, signals, vendor
-from loomsight.plans import more
+from loomsight.operators import delivery, export, planner, retrieval, scheduling, signals, vendor
+from loomsight.plans import further, more, streams  # noqa: F401  (they register their queries)
 from loomsight.plans.adapters import NOW, SQL_CLEANED, cleaned, keywords, lines, read, sql_plan
 from loomsight.sources import sinks
 from loomsight.streaming import jobs
@@ -406,7 +406,8 @@ def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select c_mktsegment as platform, o_orderpriority as keyword, count(*) as n_rows, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') as last_created, count(*) filter (where o_orderstatus = 'F') as completed from orders left join customer on c_custkey = o_custkey group by 1, 2""")
 def task_rollup(spark: SparkSession, sf: str) -> DataFrame:
     tasks = read(spark, sf, "orders").join(read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
-    return tasks.groupBy(F.col("c_mktsegment").alias("platform"), F.col("o_orderpriority").alias("keyword")).agg(F.count("*").alias("n_rows"), F.date_format(F.max("o_orderdate"), TS).alias("last_created"), F.count_if(F.col("o_orderstatus") == "F").alias("completed"))
+    rows = tasks.select(F.col("c_mktsegment").alias("platform"), F.col("o_orderpriority").alias("keyword"), "o_orderdate", "o_orderstatus")
+    return export.task_rollup(rows, ["platform", "keyword"], "o_orderdate", F.col("o_orderstatus") == "F").withColumn("last_created", F.date_format("last_created", TS))
 
 
 def _scores(spark, sf):

@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that driver and executors share; one of this machine only if all runs here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{named or 'file:///tmp/checkpoints'}/loomsight/files-{uuid.uuid4().hex}"
+
+
 def _hadoop(spark: SparkSession):
     return spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -77,9 +85,13 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{spark.read.text(f'{root}/CURRENT').first().value}")
 
 
+def _flat(df: DataFrame) -> list:
+    return [F.coalesce((F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string")), F.lit("")).alias(c) for c, t in df.dtypes]
+
+
 def flat(df: DataFrame) -> DataFrame:
     """PRJ-06, SNK-01: arrays, maps and structs as JSON text, nulls as empty text."""
-    return df.select(*[F.coalesce((F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string")), F.lit("")).alias(c) for c, t in df.dtypes])
+    return df.select(*_flat(df))
 
 
 def export(df: DataFrame, root: str, run_id: str) -> DataFrame:
@@ -140,7 +152,7 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 def field_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """SNK-12: the new side's fields where they are set, else the old's."""
     a, b = old.alias("a"), new.alias("b")
-    joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
+    joined = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
     names = list(dict.fromkeys([*old.columns, *new.columns]))
     pickd = lambda c: F.coalesce(*[F.col(f"{t}.{c}") for t, df in (("b", new), ("a", old)) if c in df.columns]).alias(c)
     return joined.select(*[pickd(c) for c in names])
@@ -185,3 +197,55 @@ def media(df: DataFrame, root: str, platform: str) -> DataFrame:
     at = f"{root}/{platform}/media"
     df.select("kind", "id", "file", "content").write.mode("append").partitionBy("kind").parquet(at)
     return df.select(F.concat_ws("/", F.lit(at), F.concat(F.lit("kind="), "kind"), "id", "file").alias("place"))
+
+
+#: Rows that a sheet of the format has beside its header.
+SHEET_ROWS = 1_048_575
+
+
+def workbooks(df: DataFrame, root: str, by: list[str], order: str, most: int = SHEET_ROWS) -> DataFrame:
+    """SNK-13: a workbook for each group of ``by``, written by tasks; of a group with more than ``most`` rows several, in order.
+
+    Arrays, maps and structs are JSON text. Returns ``by``, ``part``, ``path`` and ``n_rows`` of the files that are there.
+    Rows are numbered over the whole table first, so a file's rows are a stretch of the order and no task holds more.
+    """
+    from loomsight.operators.sampling import numbered
+    from loomsight.sources.paged import _write
+
+    names = [c for c in df.columns if c not in by]
+    placed = numbered(df.select(*_flat(df.select(*by, *names)), F.col(order).alias("__order")), *by, "__order")
+    first = placed.groupBy(*by).agg(F.min("__n").alias("__first"))
+    parts = placed.join(first, by).withColumn("part", F.floor((F.col("__n") - F.col("__first")) / most).cast("int"))
+
+    def write(key, table):
+        import pyarrow as pa
+
+        rows = table.sort_by("__n")
+        columns = [rows.column(c).to_pylist() for c in names]
+        path = "/".join([root.rstrip("/"), *(f"{c}={str(v.as_py()).replace('/', '_')}" for c, v in zip(by, key)), f"part-{key[-1].as_py():05d}.xlsx"])
+        _write(path, sheet_bytes("rows", names, zip(*columns)))
+        return pa.table({**{c: [v.as_py()] for c, v in zip(by, key)}, "part": pa.array([key[-1].as_py()], pa.int32()), "path": [path], "n_rows": pa.array([rows.num_rows], pa.int64())})
+
+    return parts.groupBy(*by, "part").applyInArrow(write, ", ".join(f"`{c}` string" for c in by) + ", part int, path string, n_rows long")
+
+
+def sheet_bytes(name: str, header: list[str], rows) -> bytes:
+    """A workbook of one sheet with a bold header, cells as text."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f"<worksheet {main}><sheetData>".encode())
+            for k, row in enumerate(chain([header], rows)):
+                cells = "".join(f'<c t="inlineStr" s="{int(k == 0)}"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in row)
+                f.write(f"<row>{cells}</row>".encode())
+            f.write(b"</sheetData></worksheet>")
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="{escape(name[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="s" Type="{office}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="b" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+    return out.getvalue()
