@@ -291,10 +291,10 @@ def decamelized(c: Column) -> Column:
     """S-34: JSON text with its names in lower case and underscores; values stay as they are."""
     for k in range(26):
         big, small = chr(65 + k), chr(97 + k)
-        # within a name: behind a small letter or digit, or before a small letter; up to the quote and colon
+        # within a name: behind a small letter or digit, up to the quote and colon
         c = F.regexp_replace(c, rf'(?<=[a-z0-9]){big}(?=[A-Za-z0-9_]*"\s*:)', f"_{small}")
     for k in range(26):
-        c = F.regexp_replace(c, rf'(?<=["_A-Z]){chr(65 + k)}(?=[A-Za-z0-9_]*"\s*:)', chr(97 + k))
+        c = F.regexp_replace(c, rf'{chr(65 + k)}(?=[A-Za-z0-9_]*"\s*:)', chr(97 + k))
     return c
 
 

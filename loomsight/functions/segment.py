@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that a dictionary holds at most: it goes to every task whole.
 MOST_WORDS = 1_000_000
@@ -82,8 +83,7 @@ def segmented(df: DataFrame, text: str, words: dict[str, float], out: str = "wor
             cut = [known.cut(x) if x else [] for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.list_(pa.string()))], [*batch.schema.names, out])
 
-    schema = df.schema.add(out, "array<string>")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))]))
 
 
 def word_counts(df: DataFrame, text: str, words: dict[str, float], stop: list[str], top: int | None = None, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomsight.functions import scalars as S
 
@@ -66,7 +67,7 @@ def asked(df: DataFrame, prompt: Column, model: Model, batch: int = 64, out: str
             kept = [k for k, n in enumerate(rows.schema.names) if n != "__prompt"]
             yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in kept), pa.array(answers, pa.string())], [*(rows.schema.names[k] for k in kept), out])
 
-    return df.withColumn("__prompt", prompt).mapInArrow(run, df.schema.add(out, "string"))
+    return df.withColumn("__prompt", prompt).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 #: What a cleaning answer holds.

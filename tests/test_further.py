@@ -95,7 +95,7 @@ def test_row_numbers(spark):
 def test_quotas_are_exact(spark):
     quota = sampling.quotas(spark, {"a": {"x": 1, "y": 1, "z": 1}, "b": {"p": 0.5, "q": 0.5}}, 20)
     assert {(r.a, r.b): r.quota for r in quota.collect()} == {("x", "p"): 4, ("x", "q"): 4, ("y", "p"): 3, ("y", "q"): 3, ("z", "p"): 3, ("z", "q"): 3}
-    df = spark.createDataFrame([(k, "xyz"[k % 3], "pq"[k // 3 % 2], k % 10 == 0) for k in range(600)] + [(1000, "x", "p", None)], "k long, a string, b string, hot boolean")
+    df = spark.createDataFrame([(k, "xyz"[k % 3], "pq"[k // 3 % 2], k % 7 == 0) for k in range(600)] + [(1000, "x", "p", None)], "k long, a string, b string, hot boolean")
     got = sampling.by_quota(df, quota, ["a", "b"], "k", F.col("hot"), 50)
     assert Counter((r.a, r.b) for r in got.collect()) == {(r.a, r.b): r.quota for r in quota.collect()}
     assert all(n >= math.ceil(q / 2) for n, q in [(got.where(f"a = '{r.a}' and b = '{r.b}' and hot").count(), r.quota) for r in quota.collect()])
@@ -201,3 +201,58 @@ def test_vendor_comments(spark):
 def test_delivery_tables(spark):
     raw = spark.createDataFrame([("1", " A ", "x"), ("1", "B", "x"), (None, "C", "y")], "`成分编号` string, `成分名称` string, `功效（2023）` string").withColumn("pos", F.monotonically_increasing_id())
     assert [tuple(r) for r in delivery.ingredient_table(raw, "pos").collect()] == [("1", "A|B", "x")]
+
+
+def test_steps_with_a_model(spark):
+    from loomsight.operators import agents
+
+    df = spark.createDataFrame([("t1", "推荐", "k"), ("t2", None, "k2"), (None, None, "k3")], "title string, desc string, keyword string")
+    plain = agents.execute([agents.Step("c", agents.cleaning, ("title",))], df)
+    assert plain.success and [r.summary for r in plain.rows.orderBy("keyword").collect()] == ["t1 推荐", "t2", "k3"]
+    broken = agents.execute([agents.Step("a", lambda d: d), agents.Step("b", lambda d: d, ("nothing",))], df)
+    assert not broken.success and broken.done == ["a"] and "nothing" in broken.error
+
+    def fails(prompts):
+        raise OSError
+
+    assert [r.sentiment for r in agents.cleaning(df, fails).orderBy("keyword").collect()] == ["positive", "neutral", "neutral"]
+    words = agents.supplements(df, lambda ps: [json.dumps({"expanded_keywords": [p, " ", p, "b", "c"]}) for p in ps], "about {keyword}")
+    assert {r.keyword: r.supplements for r in words.collect()} == {"k": ["about k", "b"], "k2": ["about k2", "b"], "k3": ["about k3", "b"]}
+    assert agents.supplements(df).first().supplements == []
+
+
+def test_documents_in_order(spark, tmp_path):
+    import zipfile
+
+    from loomsight.sources import readers
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}{p('c')}</w:tc></w:tr><w:tr><w:tc>{p('d')}</w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('first')}<w:p/>{table}{p('last')}<w:sectPr/></w:body></w:document>")
+    got = readers.docx_blocks(spark, f"file://{tmp_path}/x.docx").orderBy("pos", "row").collect()
+    assert [(r.pos, r.kind, r.row, r.cells) for r in got] == [(0, "paragraph", 0, ["first"]), (1, "table", 0, ["a", "b\nc"]), (1, "table", 1, ["d", ""]), (2, "paragraph", 0, ["last"])]
+
+
+def test_workbooks_by_tasks(spark, tmp_path):
+    from loomsight.sources import readers
+
+    df = spark.createDataFrame([("a/b" if k % 3 else "c", k, [k]) for k in range(20)], "g string, k long, xs array<long>")
+    files = sinks.workbooks(df, f"{tmp_path}/w", ["g"], "k", 6).collect()
+    assert sorted((r.g, r.part, r.n_rows) for r in files) == [("a/b", 0, 6), ("a/b", 1, 6), ("a/b", 2, 1), ("c", 0, 6), ("c", 1, 1)]
+    cells = delivery.header_rows(readers.workbooks(spark, f"file://{tmp_path}/w/*/*.xlsx"), 2, ["path", "sheet"]).collect()
+    assert sorted(int(r.cells["k"]) for r in cells) == list(range(20)) and all(r.cells["xs"] == f"[{r.cells['k']}]" for r in cells)
+
+
+def test_log_readers_and_last_lines(spark, tmp_path):
+    from loomsight.streaming import logs
+
+    store = Store(spark, f"file://{tmp_path}/s", 4)
+    each = logs.fan_out(store, {"errors": lambda d: d.where("level = 'error'"), "all": lambda d: d}, 3)
+    batch = lambda a, b: spark.createDataFrame([("s", k, " " if k == 4 else "error" if k % 3 == 0 else "ok") for k in range(a, b)], "stream string, pos long, line string")
+    for number, part in enumerate((batch(0, 5), batch(5, 9))):
+        each(part, number)
+        each(part, number)
+    assert sorted(r.pos for r in store.table("errors_lines").collect()) == [0, 3, 6]
+    assert store.table("all_lines").count() == 8 and sorted(r.pos for r in store.table("last_lines").collect()) == [6, 7, 8]
