@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -175,6 +177,23 @@ def policy(default: dict, platform: dict, overrides: dict) -> dict:
     return {**default, **platform, **{k: v for k, v in overrides.items() if v is not None}}
 
 
+def resolved_policy(profiles: dict[str, dict], platform: str, profile: str, overrides: dict | None = None) -> dict:
+    """S-20: the policy of a platform under a named profile, with both names; an unknown profile is an error."""
+    if profile not in profiles:
+        raise ValueError(f"no profile {profile}; one of {', '.join(profiles)}")
+    held = profiles[profile]
+    return {**policy(held.get("default", {}), held.get(platform, {}), overrides or {}), "platform": platform, "profile_name": profile}
+
+
+#: S-10: letters that a text keeps at most, by what it is for. Fixed values.
+LETTERS = {"title": 500, "desc": 1000, "summary": 150, "evidence": 800}
+
+
+def kept_letters(c: Column, use: str) -> Column:
+    """S-10: a text cut to the letters its use allows; null stays null."""
+    return F.left(c, F.lit(LETTERS[use]))
+
+
 def parse_time(c: Column, missing: Column) -> Column:
     """S-21: ISO text; naive is UTC; what does not parse is ``missing``."""
     return F.coalesce(F.try_to_timestamp(c), missing)
@@ -252,6 +271,15 @@ def trace_id(c: Column) -> Column:
     return F.when(c.contains("spectrum"), F.concat(F.lit("spectrum/"), last)).otherwise(last)
 
 
+#: S-30: hosts that serve an image by its trace id. Fixed values.
+IMAGE_HOSTS = ("https://sns-img-qc.xhscdn.com", "https://sns-img-hw.xhscdn.com", "https://sns-img-bd.xhscdn.com", "https://sns-img-qn.xhscdn.com")
+
+
+def image_urls(trace: Column, kind: str = "png") -> Column:
+    """S-30: where an image is served, one url for each host in order."""
+    return F.transform(F.array(*[F.lit(h) for h in IMAGE_HOSTS]), lambda h: F.concat(h, F.lit("/"), trace, F.lit(f"?imageView2/format/{kind}")))
+
+
 def base36(c: Column) -> Column:
     """S-31."""
     return F.conv(c.cast("string"), 10, 36)
@@ -303,6 +331,26 @@ def last_url(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(-1))
 
 
+def first_filled(*arrays: Column, pick: int = -1) -> Column:
+    """S-35: of the first array that has entries the one at ``pick``, the last by default; null if none has any, or not so many."""
+    return F.coalesce(*[F.try_element_at(F.filter(a, lambda x: filled(x).isNotNull()), F.lit(pick)) for a in arrays])
+
+
+def joined(arr: Column, sep: str = ",") -> Column:
+    """S-35: the filled entries of an array in one text."""
+    return F.array_join(F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: filled(x).isNotNull()), sep)
+
+
+def topics(tags: Column) -> Column:
+    """S-35: the names of the tags of type ``topic``, joined."""
+    return joined(F.transform(F.filter(tags, lambda t: t["type"] == "topic"), lambda t: t["name"]))
+
+
+def last_token(c: Column, sep: str = "_") -> Column:
+    """S-38: what stands behind the last separator, all of it where there is none."""
+    return F.element_at(F.split(c, re.escape(sep)), -1)
+
+
 def counts_by_type(arr: Column) -> Column:
     """S-36: an array of (type, count) as a map; of a repeated type the last counts."""
     return last_of(F.transform(arr, lambda x: F.struct(x["type"].alias("k"), x["count"].alias("v"))))
@@ -355,6 +403,11 @@ def marked(labels: list[str], marks: list[Column], mark: str = "＋") -> Column:
     return F.concat_ws("|", *[F.when(strip(m) == mark, F.lit(x)) for x, m in zip(labels, marks)])
 
 
+def remarks(parts: dict[str, Column], sep: str = "; ") -> Column:
+    """S-42: ``name:value`` of every value that is filled."""
+    return F.concat_ws(sep, *[F.when(filled(v).isNotNull(), F.concat(F.lit(f"{k}:"), strip(v))) for k, v in parts.items()])
+
+
 def expired(expires: Column, now: Column, buffer_seconds: int = 30) -> Column:
     """S-43: null never expires."""
     return F.coalesce(now >= expires - F.make_dt_interval(secs=F.lit(buffer_seconds)), F.lit(False))

@@ -114,12 +114,33 @@ def answer(queries: DataFrame, evidence: DataFrame, hook: Callable[[Column], Col
     return out if hook is None else out.withColumn("policy_output", hook(F.struct("*")))
 
 
-def search(signals: DataFrame, now: Column, min_confidence: str | None = None, fresh_only: bool = False, min_score: float | None = None, **equal) -> DataFrame:
-    """FLT-17, D-08: optional filters of the signal store."""
+#: S-45: what a context block tells of a signal.
+CONTEXT = "signal_id normalized_keyword topic_cluster trend_type signal_summary signal_evidence source_platform source_url confidence risk_flag trend_score fresh_until rejection_reason".split()
+
+
+def context_blocks(queries: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:
+    """S-45: what a question's answer rests on: ``query_id, query, behavior_flag, summary, items``, as JSON text, and
+    ``block``, the same as Markdown; its first ``limit`` signals in order of rank, a few whatever the store holds."""
+    items = evidence.where(F.col("rank") <= limit).withColumn("fresh_until", F.date_format("fresh_until", "yyyy-MM-dd'T'HH:mm:ss"))
+    listed = items.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*CONTEXT).alias("item")))).alias("ranked"))
+    out = answer(queries, evidence).select("query_id", "query", "behavior_flag", "summary").join(listed, "query_id", "left")
+    held = F.coalesce(F.transform("ranked", lambda x: x["item"]), F.array().cast(listed.schema["ranked"].dataType.elementType["item"].dataType.simpleString().join(("array<", ">"))))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    line = lambda x: F.concat(F.lit("- "), text(x["normalized_keyword"]), F.lit(" ("), text(x["source_platform"]), F.lit(", "), text(x["confidence"]), F.lit("): "), text(x["signal_summary"]))
+    block = F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("query", F.lit(""))), F.col("behavior_flag"), F.col("summary"), F.nullif(F.array_join(F.transform("items", line), "\n"), F.lit("")))
+    return out.withColumn("items", held).select("query_id", "query", "behavior_flag", "summary", F.to_json("items").alias("items"), block.alias("block"))
+
+
+def search(signals: DataFrame, now: Column, min_confidence: str | None = None, fresh_only: bool = False, min_score: float | None = None, limit: int | None = None, offset: int = 0, **equal) -> DataFrame:
+    """FLT-17, D-08: optional filters of the signal store; with ``limit`` or ``offset`` a page, latest first, then by id."""
     level = {"low": 0, "medium": 1, "high": 2}
     for name, value in equal.items():
         signals = signals.where(F.col(name) == value) if value else signals
     if min_confidence:
         signals = signals.where(S.lookup(level, F.col("confidence")) >= level[min_confidence])
     signals = signals.where(F.col("fresh_until") >= now) if fresh_only else signals
-    return signals if min_score is None else signals.where(F.col("trend_score") >= min_score)
+    signals = signals if min_score is None else signals.where(F.col("trend_score") >= min_score)
+    if limit is None and not offset:
+        return signals
+    page = signals.orderBy(F.desc("observed_at"), "signal_id").offset(offset)
+    return page if limit is None else page.limit(limit)

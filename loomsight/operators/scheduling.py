@@ -225,3 +225,29 @@ def by_priority(rows: DataFrame, limit: int | None = None, offset: int = 0, key:
     out = rows.orderBy(priority_rank(F.col("priority")), key)
     out = out.offset(offset) if offset else out
     return out if limit is None else out.limit(limit)
+
+
+def head(rows: DataFrame, pos: str, limit: int, by: list[str] | None = None) -> DataFrame:
+    """TOP-11: the first rows in input order, of all or of each group; ``pos`` is the order and theirs alone."""
+    if not by:
+        return rows.orderBy(pos).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(pos))
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
+
+
+#: ST-01: when a platform is crawled, in the time of ``SCHEDULE_ZONE``. Fixed values.
+DAILY = {"xhs": (8, 0), "dy": (8, 30), "bili": (9, 0), "wb": (9, 30)}
+SCHEDULE_ZONE = "Asia/Shanghai"
+
+
+def due_runs(spark, after: Column, until: Column, daily: dict[str, tuple[int, int]] | None = None, zone: str = SCHEDULE_ZONE) -> DataFrame:
+    """ST-01: the runs whose time lies behind ``after`` and not behind ``until`` (timestamps): ``platform, run_at``.
+
+    A trigger that comes late or not at all leaves nothing out: it asks from the last run that was made.
+    """
+    day = F.explode(F.sequence(F.to_date(after) - F.expr("interval 1 day"), F.to_date(until) + F.expr("interval 1 day")))
+    times = F.array(*[F.struct(F.lit(p).alias("platform"), F.lit(f"{h:02d}:{m:02d}:00").alias("at")) for p, (h, m) in (daily or DAILY).items()])
+    runs = spark.range(1).select(day.alias("day")).select("day", F.explode(times).alias("t"))
+    local = F.to_timestamp_ntz(F.concat_ws(" ", F.col("day").cast("string"), "t.at"))
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return runs.select("t.platform", at.alias("run_at")).where((F.col("run_at") > after) & (F.col("run_at") <= until))

@@ -470,5 +470,49 @@ def workbook_files(spark: SparkSession, sf: str) -> DataFrame:
     return by.select(segment.alias("segment"), F.col("cells")["custkey"].alias("custkey"), F.col("cells")["name"].alias("name"))
 
 
+# --- texts, urls, schedules, context
+
+
+@query(
+    r"""
+select s_suppkey, left(repeat(s_name || ' ', 80), 500) as title, 'spectrum/' || s_suppkey as trace,
+  'https://sns-img-bd.xhscdn.com/spectrum/' || s_suppkey || '?imageView2/format/png' as third_url,
+  case when s_suppkey % 2 = 0 then 'b' || s_suppkey else 'c' end as video, s_name || ',x' as images, case when s_suppkey % 3 = 0 then s_name else '' end as topics,
+  s_nationkey::varchar as token, case when s_nationkey % 2 = 0 then 'name:' || s_name || '; ' else '' end || 'nation:' || s_nationkey as remark
+from supplier"""
+)
+def text_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """S-10, S-30, S-35, S-38, S-42."""
+    k, name, nation = F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey").cast("string")
+    trace = S.trace_id(F.concat(F.lit("https://x.y/spectrum/"), k))
+    first = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("a"), F.concat(F.lit("b"), k))).otherwise(F.array(F.lit(" ")))
+    tag = lambda kind, n: F.struct(F.lit(kind).alias("type"), n.alias("name"))
+    tags = F.when(F.col("s_suppkey") % 3 == 0, F.array(tag("topic", name), tag("place", F.lit("z")))).otherwise(F.array(tag("place", name)))
+    return read(spark, sf, "supplier").select(
+        "s_suppkey", S.kept_letters(F.repeat(F.concat(name, F.lit(" ")), 80), "title").alias("title"), trace.alias("trace"), S.image_urls(trace)[2].alias("third_url"), S.first_filled(first, F.array(F.lit("c"))).alias("video"),
+        S.joined(F.array(name, F.lit(""), F.lit("x"))).alias("images"), S.topics(tags).alias("topics"), S.last_token(F.concat(F.lit("a_b_"), nation)).alias("token"), S.remarks({"name": F.when(F.col("s_nationkey") % 2 == 0, name), "nation": nation}).alias("remark"),
+    )
+
+
+@query("select event_type, event_id, user_id from (select *, row_number() over (partition by event_type order by event_id) as r from events) where r <= 7")
+def head_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    """TOP-11: the first rows of each group in input order."""
+    return scheduling.head(read(spark, sf, "events").select("event_type", "event_id", "user_id"), "event_id", 7, ["event_type"])
+
+
+@query(
+    """
+with b as (select min(ts) as lo, max(ts) as hi from events),
+d as (select unnest(generate_series(lo::date - interval 1 day, hi::date + interval 1 day, interval 1 day)) as day, lo, hi from b),
+r as (select p as platform, day + t::interval - interval 8 hour as run_at, lo, hi from d, (values ('xhs', '08:00:00'), ('dy', '08:30:00'), ('bili', '09:00:00'), ('wb', '09:30:00')) x(p, t))
+select platform, strftime(run_at, '%Y-%m-%d %H:%M:%S') as run_at from r where run_at > lo and run_at <= hi"""
+)
+def schedule_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-01: the daily runs between the first and the last event."""
+    low, high = read(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+    runs = scheduling.due_runs(spark, F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))
+    return runs.select("platform", F.date_format("run_at", TS).alias("run_at"))
+
+
 #: No SQL: the best path through a lattice is tested against all paths.
 QUERIES["segmented_names"] = segmented_names

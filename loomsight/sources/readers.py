@@ -204,10 +204,28 @@ def env_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """SRC-17."""
+    """SRC-17: some rows of a table, and how many it has."""
     return df.limit(n), df.count()
 
 
+def file_preview(spark: SparkSession, path: str, n: int = 100) -> tuple[DataFrame, int]:
+    """SRC-17: the first rows of a JSON list, CSV file or workbook in the file's order, and how many records it has.
+
+    A CSV's records are counted, not its lines, so line ends within quotes count once. JSON that is no list is one row.
+    """
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("xlsx", "xls"):
+        from loomsight.operators.delivery import header_rows
+
+        rows = header_rows(workbooks(spark, path), 1, ["path", "sheet"])
+        return rows.orderBy("sheet", "row").limit(n).select("cells"), rows.count()
+    if kind not in ("csv", "json", "jsonl"):
+        raise ValueError(f"no preview of {kind}")
+    df = csv_text(spark, path) if kind == "csv" else spark.read.option("multiLine", kind == "json").json(path)
+    placed = df.withColumn("__pos", F.monotonically_increasing_id())
+    return placed.orderBy("__pos").limit(n).drop("__pos"), df.count()
+
+
 def comment_texts(spark: SparkSession, path: str) -> DataFrame:
     """SRC-18: text of comments in lines, or of a whole ``.json`` array; broken lines go."""
     whole = path.endswith(".json")

@@ -256,3 +256,41 @@ def test_log_readers_and_last_lines(spark, tmp_path):
         each(part, number)
     assert sorted(r.pos for r in store.table("errors_lines").collect()) == [0, 3, 6]
     assert store.table("all_lines").count() == 8 and sorted(r.pos for r in store.table("last_lines").collect()) == [6, 7, 8]
+
+
+def test_policies(spark):
+    profiles = {"safe": {"default": {"a": 1, "b": 2}, "xhs": {"b": 3}}}
+    assert S.resolved_policy(profiles, "xhs", "safe", {"a": None, "c": 9}) == {"a": 1, "b": 3, "c": 9, "platform": "xhs", "profile_name": "safe"}
+    with pytest.raises(ValueError):
+        S.resolved_policy(profiles, "xhs", "other")
+
+
+def test_previews(spark, tmp_path):
+    from loomsight.sources import readers
+
+    (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n2,b\n3,c\n')
+    rows, total = readers.file_preview(spark, f"{tmp_path}/a.csv", 2)
+    assert [tuple(r) for r in rows.collect()] == [("1", "two\nlines"), ("2", "b")] and total == 3
+    (tmp_path / "b.json").write_text(json.dumps([{"x": k} for k in range(5)]))
+    rows, total = readers.file_preview(spark, f"{tmp_path}/b.json", 2)
+    assert [r.x for r in rows.collect()] == [0, 1] and total == 5
+    (tmp_path / "c.xlsx").write_bytes(sinks.sheet_bytes("s", ["h"], [["1"], ["2"], ["3"]]))
+    rows, total = readers.file_preview(spark, f"file://{tmp_path}/c.xlsx", 2)
+    assert [r.cells for r in rows.collect()] == [{"h": "1"}, {"h": "2"}] and total == 3
+    with pytest.raises(ValueError):
+        readers.file_preview(spark, "x.bin")
+
+
+def test_context_blocks_and_pages_of_a_search(spark):
+    from loomsight.operators import retrieval
+    from tests.test_signals import built
+
+    stored = built(spark).withColumn("pos", F.col("crawl_task_id"))
+    asked = spark.createDataFrame([("a", "最近外泌体很火，值得跟吗"), ("e", "none")], "query_id string, query string")
+    now = F.lit("2026-04-15 12:00:00").cast("timestamp_ntz")
+    got = {r.query_id: r for r in retrieval.context_blocks(asked, retrieval.retrieve(asked, stored, now), 1).collect()}
+    items = json.loads(got["a"]["items"])
+    assert got["a"].behavior_flag == "trend_supported" and len(items) == 1 and items[0]["normalized_keyword"] == "外泌体" and "T" in items[0]["fresh_until"]
+    assert got["a"].block.startswith("## 最近外泌体") and "\n- 外泌体 (" in got["a"].block and json.loads(got["e"]["items"]) == [] or got["e"].behavior_flag
+    page = [r.signal_id for r in retrieval.search(stored, now, limit=2, offset=1).collect()]
+    assert page == [r.signal_id for r in stored.orderBy(F.desc("observed_at"), "signal_id").collect()][1:3]
