@@ -30,7 +30,7 @@ from loomsight.llm.common import chunks, pick, spread_join, staged, table
 #: Counted id pairs up to which they are broadcast, in some 80 MB.
 BROADCAST_PAIRS = 1 << 21
 #: Words whose pieces a worker remembers, the longest such word in bytes, and bytes of text encoded at once.
-WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 20
+WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 18
 
 _UNIT = re.compile(rb" +[^ ]*")
 _BLANK = "▁"
