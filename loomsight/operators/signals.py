@@ -45,14 +45,8 @@ def query_cleaned(df: DataFrame, keyword=None, platform=None, sentiment=None, mi
     return df.orderBy(F.desc("trend_score"), "id").offset(offset).limit(limit)
 
 
-def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days: int = 7, by_task: bool = False) -> DataFrame:
-    """AGG-01..07: a signal per keyword, cluster, type and platform, and per task if ``by_task``.
-
-    ``cleaned``: id, keyword and key columns, crawl_task_id, title, summary, topics, trend_score, created_at (timestamp),
-    raw_data (JSON), confidence, risk_flag. ``meta`` overrides keys, confidence, risk and report columns where set; so do
-    ``meta_`` columns of the rows (``export.with_metadata``), each for its own rows.
-    """
-    group = [*KEY, "crawl_task_id"] if by_task else KEY
+def _fields(cleaned: DataFrame, meta: dict | None):
+    """Of a signal's fields, by name, what the rows or ``meta`` say."""
     meta = {k: v for k, v in (meta or {}).items() if v}
     have = set(cleaned.columns)
 
@@ -62,8 +56,14 @@ def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days:
         own = [F.nullif(F.col(x), F.lit("")) for x in (f"meta_{c}", c) if x in have]
         return F.coalesce(*own) if own else F.lit(None).cast("string")
 
-    fallback = F.col("keyword") if "keyword" in have else F.lit("")
-    rows = cleaned.withColumns(
+    return field
+
+
+def keyed_rows(cleaned: DataFrame, meta: dict | None = None) -> DataFrame:
+    """Cleaned rows with the columns by which signals are grouped and ranked."""
+    field = _fields(cleaned, meta)
+    fallback = F.col("keyword") if "keyword" in cleaned.columns else F.lit("")
+    return cleaned.withColumns(
         {
             "normalized_keyword": F.coalesce(field("normalized_keyword"), fallback),
             "topic_cluster": F.coalesce(field("topic_cluster"), fallback),
@@ -74,6 +74,30 @@ def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days:
             "iso": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
         }
     )
+
+
+def trend_evidence(cleaned: DataFrame, meta: dict | None = None, by_task: bool = False) -> DataFrame:
+    """AGG-07: the evidence of every signal as a table of its own: the key, ``id`` and ``rank``, best first.
+
+    For signals whose evidence is long: no row holds a group; ranks come from a sort that can spill.
+    """
+    group = [*KEY, "crawl_task_id"] if by_task else KEY
+    best = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("iso"), F.desc("id"))
+    return keyed_rows(cleaned, meta).select(*group, "id", F.row_number().over(best).alias("rank"))
+
+
+def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days: int = 7, by_task: bool = False, evidence: bool = True) -> DataFrame:
+    """AGG-01..07: a signal per keyword, cluster, type and platform, and per task if ``by_task``.
+
+    ``cleaned``: id, keyword and key columns, crawl_task_id, title, summary, topics, trend_score, created_at (timestamp),
+    raw_data (JSON), confidence, risk_flag. ``meta`` overrides keys, confidence, risk and report columns where set; so do
+    ``meta_`` columns of the rows (``export.with_metadata``), each for its own rows. Without ``evidence`` the ids of a
+    signal's rows are left out, which ``trend_evidence`` has as a table: the form for groups of any size.
+    """
+    group = [*KEY, "crawl_task_id"] if by_task else KEY
+    meta = {k: v for k, v in (meta or {}).items() if v}
+    have, field = set(cleaned.columns), _fields(cleaned, meta)
+    rows = keyed_rows(cleaned, meta)
     task_keyword = F.nullif(F.col("meta_keyword_id").cast("string"), F.lit("")) if "meta_keyword_id" in have else F.lit(None).cast("string")
     extra = ["report_id", "signal_period_type", "signal_period_label", "source_scope", "confidence", "risk_flag"]
     rank = F.struct("score", "iso", "id")
@@ -90,7 +114,7 @@ def trend_signals(cleaned: DataFrame, meta: dict | None = None, freshness_days:
         F.max("created_at").alias("observed_at"),
         F.bool_or(F.col("risk") == "high").alias("any_high"),
         F.bool_or(F.col("risk") == "medium").alias("any_medium"),
-        F.sort_array(F.collect_list(F.struct("score", "iso", "id")), asc=False).alias("ranked"),
+        (F.sort_array(F.collect_list(F.struct("score", "iso", "id")), asc=False) if evidence else F.array().cast("array<struct<id:string>>")).alias("ranked"),
     )
     n, most = F.col("support_count"), F.col("most")
     score = F.round(F.least(F.lit(100.0), F.when(most > 100, most / 4).otherwise(most) + F.least(F.greatest(n - 1, F.lit(0)), F.lit(5)) * 5), 1)
@@ -140,6 +164,14 @@ def first_rows(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*names), pos).alias("r")).select(key, "r.*")
 
 
+def series_members(signals: DataFrame, kind: str = "1d") -> DataFrame:
+    """AGG-09: the distinct signals and tasks of every bucket as a table: ``normalized_keyword, source_platform, bucket_start, member, kind``."""
+    rows = signals.where((F.trim(F.coalesce("normalized_keyword", F.lit(""))) != "") & (F.trim(F.coalesce("source_platform", F.lit(""))) != ""))
+    key = [F.trim("normalized_keyword").alias("normalized_keyword"), F.trim("source_platform").alias("source_platform"), S.bucket_start(F.col("observed_at"), kind).alias("bucket_start")]
+    member = F.explode(F.array(F.struct(F.col("signal_id").alias("member"), F.lit("signal").alias("kind")), F.struct(F.col("crawl_task_id").cast("int").cast("string").alias("member"), F.lit("task").alias("kind"))))
+    return rows.select(*key, member.alias("m")).select("normalized_keyword", "source_platform", "bucket_start", "m.member", "m.kind").where("member is not null").distinct()
+
+
 def series(signals: DataFrame, kind: str = "1d", emerging: float = 10.0, digits: int = 2) -> DataFrame:
     """AGG-09, WIN-01, WIN-02: mean score by keyword, platform and bucket, against the bucket before that has rows.
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loomsight.functions import scalars as S
 from loomsight.functions import segment
-from loomsight.operators import agents, delivery, flow, sampling, scheduling, vendor
+from loomsight.operators import agents, delivery, flow, sampling, scheduling, signals, vendor
 from loomsight.plans import streams
-from loomsight.plans.adapters import read
+from loomsight.plans.adapters import SQL_CLEANED, cleaned, read
 from loomsight.plans.more import QUERIES, TS, query, scratch
 from loomsight.sources import forum, paged, readers, sinks
 from loomsight.streaming import logs
@@ -514,5 +514,30 @@ def schedule_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("platform", F.date_format("run_at", TS).alias("run_at"))
 
 
+@query(
+    f"""
+with {SQL_CLEANED}
+select kw as normalized_keyword, plat as source_platform, id, row_number() over (partition by kw, plat order by score desc, created_at desc, id desc)::int as rank
+from cleaned"""
+)
+def trend_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-07: the evidence of every signal as a table."""
+    return signals.trend_evidence(cleaned(spark, sf)).select("normalized_keyword", "source_platform", "id", "rank")
+
+
+@query(
+    f"""
+with {SQL_CLEANED},
+b as (select kw, plat, date_trunc('day', created_at) as st, 'S' || id % 500 as s, task from cleaned)
+select distinct kw as normalized_keyword, plat as source_platform, strftime(st, '%Y-%m-%d %H:%M:%S') as bucket_start, s as member, 'signal' as kind from b
+union all
+select distinct kw, plat, strftime(st, '%Y-%m-%d %H:%M:%S'), task::varchar, 'task' from b"""
+)
+def series_members(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-09: who is in a bucket, as a table."""
+    rows = cleaned(spark, sf).select("normalized_keyword", S.signal_platform(F.col("source_platform")).alias("source_platform"), F.concat(F.lit("S"), (F.col("id") % 500).cast("string")).alias("signal_id"), "crawl_task_id", F.col("created_at").alias("observed_at"))
+    return signals.series_members(rows).withColumn("bucket_start", F.date_format("bucket_start", TS))
+
+
 #: No SQL: the best path through a lattice is tested against all paths.
 QUERIES["segmented_names"] = segmented_names
