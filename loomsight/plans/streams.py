@@ -151,7 +151,7 @@ def stream_recent_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """
 select event_type, strftime(date_trunc('day', ts) + case when hour(ts) >= 12 then interval 12 hour else interval 0 hour end, '%Y-%m-%d %H:%M:%S') as bucket_start,
-  count(value) as n, round(avg(value), 6) as avg_value, arg_min(event_id, (ts, event_id)) as evidence
+  count(value) as n, round(avg(value), 10) as avg_value, arg_min(event_id, (ts, event_id)) as evidence
 from events group by all"""
 )
 def stream_series_full(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,4 +162,4 @@ def stream_series_full(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["event_type"]
     changes = lambda b: {"series": store.Change(store.partial_series(b, "ts", keys, "value", "event_id"), [*keys, "bucket_start"], store.merged_series(keys))}
     _replayed(spark, _parts(rows, "ts", "event_id", 5), "ts", lambda s: s, held.batches("events", changes), at)
-    return store.series(held, "series").select("event_type", _text("bucket_start"), "n", F.round("avg_value", 6).alias("avg_value"), "evidence")
+    return store.series(held, "series", 10).select("event_type", _text("bucket_start"), "n", "avg_value", "evidence")

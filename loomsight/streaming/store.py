@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +30,15 @@ Fold = Callable[[DataFrame, DataFrame], DataFrame]
 @dataclass(frozen=True)
 class Change:
     """Rows for a table with that key. ``fold`` takes the stored rows of the buckets at hand, none at first, and the new
-    ones, and returns what these buckets hold then; unset, the new rows win by key."""
+    ones, and returns what these buckets hold then; unset, the new rows win by key. ``drop`` names stored rows that go
+    first, in whichever bucket they are."""
 
     rows: DataFrame
     key: list[str]
     fold: Fold | None = None
     #: The table's schema where it is not that of the rows.
     schema: T.StructType | None = None
+    drop: Column | None = None
 
 
 class Store:
@@ -68,8 +70,11 @@ class Store:
         fs, at = self._fs(folder)
         return [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith(f"{BUCKET}=")]
 
+    def _bucket(self, key: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int").alias(BUCKET)
+
     def _written(self, df: DataFrame, key: list[str], folder: str) -> list[int]:
-        own = df.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int"))
+        own = df.withColumn(BUCKET, self._bucket(key))
         own.repartition(BUCKET).write.partitionBy(BUCKET).parquet(folder)
         return self._present(folder)
 
@@ -84,9 +89,13 @@ class Store:
             if table["key"] != change.key:
                 raise ValueError(f"{name} is keyed by {table['key']}")
             incoming = f"{self.root}/incoming/{name}-{run}"
-            touched = self._written(change.rows, change.key, incoming)
+            coming = touched = self._written(change.rows, change.key, incoming)
+            if change.drop is not None:
+                going = self._read(table).where(change.drop).select(self._bucket(change.key)).distinct()
+                touched = sorted({*touched, *(r[0] for r in going.collect())})  # no more than there are buckets
             old = self._read(table, touched)
-            rows = self.spark.read.schema(change.rows.schema).parquet(*[f"{incoming}/{BUCKET}={b}" for b in touched]) if touched else change.rows.limit(0)
+            old = old if change.drop is None else old.where(~F.coalesce(change.drop, F.lit(False)))
+            rows = self.spark.read.schema(change.rows.schema).parquet(*[f"{incoming}/{BUCKET}={b}" for b in coming]) if coming else self.spark.createDataFrame([], change.rows.schema)
             new = change.fold(old, rows) if change.fold else upsert(old, rows, change.key)
             folder = f"{self.root}/data/{name}-{run}"
             held = set(self._written(new.select(*old.columns), change.key, folder)) if touched else set()
@@ -121,14 +130,16 @@ class Store:
 def history(store: Store, name: str, rows: DataFrame, key: list[str], bucket_type: str, run: str, number: int) -> bool:
     """SNK-05: the current rows of one bucket type and the history of all runs, in one step.
 
-    ``<name>`` takes the place of all rows of that type; ``<name>_history`` gains the rows under ``run``, and a run that
-    is repeated replaces its own.
+    In ``<name>`` the rows take the place of all of that type; ``<name>_history`` gains them under ``run``, and a run that is
+    repeated under a later number replaces its own. Rows spread over the buckets by ``key``.
     """
     typed = rows.withColumn("bucket_type", F.lit(bucket_type))
     of_run = typed.withColumn("run_id", F.lit(run))
-    whole = lambda old, new: old.where(F.col("bucket_type") != bucket_type).unionByName(new)
-    again = lambda old, new: old.where(F.col("run_id") != run).unionByName(new)
-    return store.commit(f"{name}-{bucket_type}", number, {name: Change(typed, ["bucket_type"], whole), f"{name}_history": Change(of_run, ["run_id"], again)})
+    same = F.col("bucket_type") == bucket_type
+    return store.commit(f"{name}-{bucket_type}", number, {
+        name: Change(typed, ["bucket_type", *key], drop=same),
+        f"{name}_history": Change(of_run, ["run_id", "bucket_type", *key], drop=same & (F.col("run_id") == run)),
+    })
 
 
 def partial_series(rows: DataFrame, time: str, keys: list[str], value: str, evidence: str, hours: int = 12) -> DataFrame:
@@ -147,6 +158,6 @@ def merged_series(keys: list[str]) -> Fold:
     return fold
 
 
-def series(store: Store, name: str) -> DataFrame:
+def series(store: Store, name: str, digits: int = 8) -> DataFrame:
     """The series as it stands: mean and first evidence of every bucket."""
-    return store.table(name).withColumns({"avg_value": F.round(F.col("total") / F.col("n"), 8), "evidence": F.col("first.id")}).drop("total", "first")
+    return store.table(name).withColumns({"avg_value": F.round(F.col("total") / F.col("n"), digits), "evidence": F.col("first.id")}).drop("total", "first")

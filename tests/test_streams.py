@@ -126,6 +126,10 @@ def test_current_and_history_of_a_bucket_type(spark, tmp_path):
         assert store.history(s, "series", keyed(spark, rows), ["k"], kind, run, n)
     assert sorted((r.bucket_type, r.k) for r in s.table("series").collect()) == [("12h", 5), ("1d", 9)]
     assert sorted((r.run_id, r.k) for r in s.table("series_history").collect()) == [("r1", 1), ("r1", 2), ("r2", 5), ("r3", 9)]
+    assert store.history(s, "series", keyed(spark, [(k, "e") for k in range(40)]), ["k"], "1d", "r1", 9)
+    assert s.table("series").where("bucket_type = '1d'").count() == 40 and s.table("series").count() == 41
+    assert s.table("series_history").where("run_id = 'r1'").count() == 40 and s.table("series_history").count() == 42
+    assert len(s.manifest()["tables"]["series"]["buckets"]) > 4  # rows of one type are not one bucket's
 
 
 def test_late_rows_count_in_their_own_bucket(spark, tmp_path):
