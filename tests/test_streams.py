@@ -74,18 +74,23 @@ def test_cache_holds_what_is_live_at_every_batch(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("hours,status,duplicate", [(167, "completed", True), (169, "completed", False), (23, "failed", True), (25, "failed", False), (5000, "running", True), (5000, "pending", True), (1, "cancelled", False)])
-def test_horizons_by_status(spark, tmp_path, hours, status, duplicate):
+HORIZONS = [(167, "completed", True), (169, "completed", False), (23, "failed", True), (25, "failed", False), (5000, "running", True), (5000, "pending", True), (1, "cancelled", False)]
+
+
+def test_horizons_by_status(spark, tmp_path):
     schema = "keyword_id long, dedup_key string, at timestamp, pos long, task_id long, status string, candidate_id long"
-    then = T0 + timedelta(hours=hours)
-    parts = [[(1, "a", T0, 1, 10, status, None)], [(1, "a", then, 2, None, None, 7), (2, "a", then, 3, None, None, 8)], [(None, None, then + timedelta(days=1), None, None, None, None)]]
-    build = lambda s: stateful.run(s, "at", ["keyword_id", "dedup_key"], stateful.RecentDuplicates())
-    replay(spark, tmp_path, parts, schema, "at", build, stateful.by_batch(f"{tmp_path}/out"))
+    then = T0 + timedelta(hours=6000)
+    tasks = [(k, "a", then - timedelta(hours=h), k, 10, status, None) for k, (h, status, _) in enumerate(HORIZONS)]
+    asked = [(k, "a", then, 100 + k, None, None, k) for k in range(len(HORIZONS) + 1)]
+    parts = [tasks, asked, [(None, None, then + timedelta(days=1), None, None, None, None)]]
+    build = lambda s: stateful.run(s, "at", ["keyword_id", "dedup_key"], stateful.RecentDuplicates(), "300 days")
+    replay(spark, tmp_path, [*parts, [(None, None, then + timedelta(days=400), None, None, None, None)]], schema, "at", build, stateful.by_batch(f"{tmp_path}/out"))
     got = {r.candidate_id: r.is_duplicate for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {7: duplicate, 8: False}
-    tasks = spark.createDataFrame([(1, "a", status, T0, None, None)], "keyword_id long, dedup_key string, status string, created_at timestamp, completed_at timestamp, updated_at timestamp")
-    asked = spark.createDataFrame([(1, "a"), (2, "a")], "keyword_id long, dedup_key string")
-    assert scheduling.recent_duplicates(asked, tasks, F.lit(then).cast("timestamp"))[1].count() == duplicate
+    assert got == {k: d for k, (_, _, d) in enumerate(HORIZONS)} | {len(HORIZONS): False}
+    stored = spark.createDataFrame([(r[0], "a", r[5], r[2], None, None) for r in tasks], "keyword_id long, dedup_key string, status string, created_at timestamp, completed_at timestamp, updated_at timestamp")
+    keys = spark.createDataFrame([(r[0], "a") for r in asked], "keyword_id long, dedup_key string")
+    found = {r.keyword_id for r in scheduling.recent_duplicates(keys, stored, F.lit(then).cast("timestamp"))[1].collect()}
+    assert found == {k for k, d in got.items() if d}
 
 
 def keyed(spark, rows):
