@@ -31,6 +31,8 @@ from loomsight.llm.common import chunks, pick, spread_join, staged, table
 BROADCAST_PAIRS = 1 << 21
 #: Words whose pieces a worker remembers, the longest such word in bytes, and bytes of text encoded at once.
 WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 18
+#: Ids that a worker remembers.
+IDS = 1 << 23
 
 _UNIT = re.compile(rb" +[^ ]*")
 _BLANK = "▁"
@@ -82,7 +84,7 @@ class PieceTokens(dict):
         rows = [find(b" " + raw[a:b]) if b > a else [] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         words = [w for row in rows for w in row]
         new = set(words).difference(self)
-        if self.n + len(new) > WORDS:
+        if self.n + len(new) > WORDS or self.used > IDS:
             self._forget()
             new = set(words)
         self.learn(list(new))
