@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment: where two tokenizers end tokens at the same byte, and which ids that links.
 
 Python tokenises and notes where each token ends, in bytes, and for every byte which token ends there; all that follows is
-Spark's higher-order functions. The ends that both have (``array_intersect``) cut a text into groups. The places of a cut's
-tokens are looked up by byte: no search, no square. Groups are what stands between such places, links the pairs within. Counts of id pairs over documents are one aggregate; each
+Spark's higher-order functions. The ends that both have (``array_intersect``) cut a word into groups. The places of a cut's
+tokens are looked up by byte: no search, no square. Groups are what stands between such places, links the pairs within. A
+word that stands in a megabyte of text many times is taken apart once; documents are put together from their words. Counts of id pairs over documents are one aggregate; each
 document's links meet them as a broadcast of at most ``BROADCAST_PAIRS`` counted pairs, or, beyond, in a join whose
 common pairs are dealt over parts. Both ways are tested to agree.
 
@@ -30,7 +31,7 @@ from loomsight.llm.common import chunks, pick, spread_join, staged, table
 #: Counted id pairs up to which they are broadcast, in some 80 MB.
 BROADCAST_PAIRS = 1 << 21
 #: Words whose pieces a worker remembers, the longest such word in bytes, and bytes of text encoded at once.
-WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 18
+WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 20
 #: Ids that a worker remembers.
 IDS = 1 << 23
 
@@ -127,11 +128,14 @@ def _sides(a: str, b: str) -> tuple[ByteSide, PieceTokens]:
     return ByteSide(a), PieceTokens(b)
 
 
-TOKENS = "row long, doc_id long, " + ", ".join(f"{x}_ids array<int>, {x}_ends array<int>, {x}_at array<int>" for x in "ab")
+_SIDE = ", ".join(f"{x}_ids: array<int>, {x}_ends: array<int>, {x}_at: array<int>" for x in "ab")
+TOKENS = f"docs array<struct<row: bigint, doc_id: bigint, n_a: bigint, n_b: bigint, words: array<int>>>, words array<struct<{_SIDE}>>"
+#: Blanks before which both sides end a token: single ones between marks, letters and digits that are told from their bytes.
+_CUT = re.compile(rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf])) (?=[!-~\xc3])")
 
 
 def _arrays(ids: np.ndarray, many: np.ndarray, size: np.ndarray) -> list[pa.Array]:
-    """Per row the ids, their byte ends, and for every byte from 0 on the place of the token that ends before it, -1 for none."""
+    """Per word the ids, their byte ends, and for every byte from 0 on the place of the token that ends before it, -1 for none."""
     upto = np.concatenate([[0], np.cumsum(many)])
     end = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])
     whole = end[upto[1:]] - end[upto[:-1]] + (many > 0)
@@ -144,17 +148,38 @@ def _arrays(ids: np.ndarray, many: np.ndarray, size: np.ndarray) -> list[pa.Arra
 
 
 def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``row, doc_id`` and each side's ids, ends and places by byte (``_arrays``) of every row; ``a`` a byte-level file, ``b`` a
-    sentencepiece model."""
+    """Rows of about ``TEXT_BYTES`` of text: the different words of its documents with each side's ids, ends and places by byte
+    (``_arrays``), and the documents as places among these words. ``a`` is a byte-level file, ``b`` a sentencepiece model.
+
+    Both sides end a token before a word's blank (``_CUT``), so a document's tokens are those of its words, in order. A
+    document with a word whose tokens do not join to it has none.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         left, right = _sides(a, b)
         for rows, data, offsets in chunks(batches, "text", TEXT_BYTES):
-            b_ids, b_many, good = right.rows(data.tobytes(), offsets)
-            a_ids, a_many = left.rows(data, offsets)
-            keep = good & (np.diff(offsets) > 0)
-            a_ids, a_many = a_ids[np.repeat(keep, a_many)], a_many * keep
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *_arrays(a_ids, a_many, left.size), *_arrays(b_ids, b_many, right.size)], ["row", "doc_id", "a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
+            raw, number, found = data.tobytes(), {}, []
+            place = number.setdefault
+            for k in range(len(offsets) - 1):
+                text = raw[offsets[k] : offsets[k + 1]]
+                # a word is told without its first blank, which the first one has, too
+                found.append([place(w, len(number)) for w in _CUT.split(text)] if text else [])
+            known = list(number)
+            whole, off = np.frombuffer(b"".join(known), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in known])]).astype(np.int64)
+            b_ids, b_many, good = right.rows(whole.tobytes(), off)
+            a_ids, a_many = left.rows(whole, off) if known else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            a_ids, a_many = a_ids[np.repeat(good, a_many)], a_many * good
+            many = np.array([len(x) for x in found])
+            of, words = np.repeat(np.arange(len(found)), many), np.array([w for x in found for w in x], np.int64)
+            bad = np.zeros(len(found), bool)
+            bad[of[~good[words]]] = True
+            of, words, many = of[~bad[of]], words[~bad[of]], many * ~bad
+            sides = pa.StructArray.from_arrays([*_arrays(a_ids, a_many, left.size), *_arrays(b_ids, b_many, right.size)], [f"{x}_{c}" for x in "ab" for c in ("ids", "ends", "at")])
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(words.astype(np.int32)))
+            count = lambda n: pa.array(np.bincount(of, n[words], len(found)).astype(np.int64))
+            held = pa.StructArray.from_arrays([rows.column(0), rows.column(1), count(a_many), count(b_many), own], ["row", "doc_id", "n_a", "n_b", "words"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([one(held), one(sides)], ["docs", "words"])
 
     numbered = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return numbered.mapInArrow(run, TOKENS)
@@ -165,16 +190,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grouped(tokens: DataFrame) -> DataFrame:
-    """``row, doc_id, g`` with ``g.n_a, g.n_b, g.n_groups, g.n_links, g.groups_sha256``, ``g.pairs``: a pair's ids in one
-    number, the first above 32 bits, an entry for each link.
+def _pair(x: Column, y: Column) -> Column:
+    return F.shiftleft(x.cast("long"), 32) + y
+
+
+def _word(w: Column) -> Column:
+    """Of a word's tokens the groups as text, the links as pairs of ids, and both counts in one number, the groups above 32 bits.
 
     A group ends where both sides end a token: its last tokens are those that end there, its first the ones behind those
     of the cut before. Places of both sides add up by two from cut to cut where a group is a token on either side, as most
     are; only the others are taken apart.
     """
-    a, b, a_at, b_at = (F.col(c) for c in ("a_ids", "b_ids", "a_at", "b_at"))
-    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    a, b, a_at, b_at = (w[c] for c in ("a_ids", "b_ids", "a_at", "b_at"))
 
     def built(ends: Column, cut: Column, places: Column) -> Column:
         # ``cut`` and ``places`` begin with the cut before all tokens, so group ``g`` ends at ``cut[g + 1]``
@@ -183,24 +210,35 @@ def grouped(tokens: DataFrame) -> DataFrame:
         one = lambda e: F.concat(F.get(a, F.get(a_at, e)).cast("string"), F.lit("|"), F.get(b, F.get(b_at, e)).cast("string"))
         many = lambda g: F.concat(*[x for ids, at in ((a, a_at), (b, b_at)) for x in (F.array_join(between(ids, at, g).cast("array<string>"), ","), F.lit("|"))][:-1])
         text = F.array_join(F.transform(ends, lambda e, g: F.when(single(g), one(e)).otherwise(many(g))), ";")
+        # each group's pair of last tokens, then the other pairs of the groups with more than one
+        last = F.transform(ends, lambda e: _pair(F.get(a, F.get(a_at, e)), F.get(b, F.get(b_at, e))))
+        crossed = lambda g: let(between(b, b_at, g), lambda right: F.flatten(F.transform(between(a, a_at, g), lambda x: F.transform(right, lambda y: _pair(x, y)))))
+        others = lambda g: let(crossed(g), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))
         rest = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda g: ~single(g))
+        pairs = F.when(F.size(ends) * 2 == F.size(a) + F.size(b), last).otherwise(F.concat(last, F.flatten(F.transform(rest, others))))
+        return let(pairs, lambda p: F.struct(text.alias("text"), p.alias("pairs"), (F.shiftleft(F.size(ends).cast("long"), 32) + F.size(p)).alias("counts")))
 
-        def out(rest: Column) -> Column:
-            # each group's pair of last tokens, then the other pairs of the groups with more than one
-            last = F.transform(ends, lambda e: pair(F.get(a, F.get(a_at, e)), F.get(b, F.get(b_at, e))))
-            crossed = lambda g: let(between(b, b_at, g), lambda right: F.flatten(F.transform(between(a, a_at, g), lambda x: F.transform(right, lambda y: pair(x, y)))))
-            others = F.flatten(F.transform(rest, lambda g: let(crossed(g), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))))
-            links = F.aggregate(rest, F.size(ends) - F.size(rest), lambda n, g: n + F.size(between(a, a_at, g)) * F.size(between(b, b_at, g)))
-            return F.struct(F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b"), F.size(ends).cast("long").alias("n_groups"), links.cast("long").alias("n_links"), F.sha2(text, 256).alias("groups_sha256"), F.concat(last, others).alias("pairs"))
-
-        return let(rest, out)
-
-    zero = F.lit(0).cast("long")
-    none = F.struct(zero.alias("n_a"), zero.alias("n_b"), zero.alias("n_groups"), zero.alias("n_links"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("pairs"))
+    none = F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("pairs"), F.lit(0).cast("long").alias("counts"))
     places = lambda c: F.transform(c, lambda e: F.get(a_at, e) + F.get(b_at, e))
     of = lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda cut: let(places(cut), lambda p: built(ends, cut, p)))
-    found = let(F.array_intersect("a_ends", "b_ends"), of)
-    return tokens.select("row", "doc_id", F.when(F.size("a_ids") == 0, none).otherwise(found).alias("g"))
+    return F.when(F.size(a) == 0, none).otherwise(let(F.array_intersect(w["a_ends"], w["b_ends"]), of))
+
+
+def grouped(tokens: DataFrame) -> DataFrame:
+    """``row, doc_id, g`` with ``g.n_a, g.n_b, g.n_groups, g.n_links, g.groups_sha256``, ``g.pairs``: a pair's ids in one
+    number, the first above 32 bits, an entry for each link. Different words are taken apart once for each row of tokens."""
+
+    def document(d: Column, known: Column) -> Column:
+        at = lambda i: F.get(known, i)
+        counts = F.aggregate(d["words"], F.lit(0).cast("long"), lambda n, i: n + at(i)["counts"])
+        text = F.array_join(F.transform(d["words"], lambda i: at(i)["text"]), ";")
+        pairs = F.flatten(F.transform(d["words"], lambda i: at(i)["pairs"]))
+        digest = F.when(F.size(d["words"]) == 0, F.lit("")).otherwise(F.sha2(text, 256))
+        g = lambda n: F.struct(d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.shiftright(n, 32).alias("n_groups"), n.bitwiseAND(F.lit((1 << 32) - 1)).alias("n_links"), digest.alias("groups_sha256"), pairs.alias("pairs"))
+        return F.struct(d["row"].alias("row"), d["doc_id"].alias("doc_id"), let(counts, g).alias("g"))
+
+    found = let(F.transform("words", _word), lambda known: F.transform("docs", lambda d: document(d, known)))
+    return tokens.select(F.explode(found).alias("d")).select("d.row", "d.doc_id", "d.g")
 
 
 def aligned(docs: DataFrame, a: str, b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
