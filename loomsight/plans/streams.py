@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsight.plans.adapters import read
 from loomsight.plans.more import TS, _text, query, scratch
-from loomsight.streaming import stateful, store
+from loomsight.streaming import folds, stateful, store
 
 #: Days by which rows are out of order, and those that a watermark waits.
-MIXED, LATE = 60, "90 days"
+MIXED, LATE = 60, timedelta(days=90)
 #: A time after all others.
 END = "2100-01-01 00:00:00"
 
@@ -64,7 +65,7 @@ def stream_query_state(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderdate as at", "720L as revisit_minutes", "1440L as cooldown_minutes", "o_orderkey as pos",
     )
     at = scratch(spark)
-    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["query_unit_key"], stateful.UnitState(), LATE, timed=False), stateful.by_batch(f"{at}/out"), at)
+    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["query_unit_key"], stateful.UnitState(), "90 days", timed=False), stateful.by_batch(f"{at}/out"), at)
     return stateful.latest(spark, f"{at}/out", ["query_unit_key"]).select("query_unit_key", "n_events", "last_event", "failure_count", F.date_format(F.timestamp_micros("next_due_us"), TS).alias("next_due_at"))
 
 
@@ -86,7 +87,7 @@ def stream_task_states(spark: SparkSession, sf: str) -> DataFrame:
     """ST-12."""
     events = read(spark, sf, "orders").selectExpr("o_custkey as task_id", "element_at(array('start', 'complete', 'fail', 'cancel', 'noted'), cast(o_orderkey % 5 as int) + 1) as event", "o_orderdate as at", "o_orderkey as pos")
     at = scratch(spark)
-    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["task_id"], stateful.TaskState(), LATE, timed=False), stateful.by_batch(f"{at}/out"), at)
+    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["task_id"], stateful.TaskState(), "90 days", timed=False), stateful.by_batch(f"{at}/out"), at)
     text = lambda c, n: F.date_format(F.timestamp_micros(c), TS).alias(n)
     return stateful.latest(spark, f"{at}/out", ["task_id"]).select("task_id", "status", text("started_us", "started_at"), text("ended_us", "completed_at"), "info_logs", "success_logs", "error_logs", "warning_logs")
 
@@ -144,7 +145,8 @@ def stream_recent_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     both = tasks.unionByName(asked)
     at = scratch(spark)
     parts = [*_parts(both, "at", "pos", MIXED), _tick(both, "at")]
-    _replayed(spark, parts, "at", lambda s: stateful.run(s, "at", ["keyword_id", "dedup_key"], stateful.RecentDuplicates(), LATE), stateful.by_batch(f"{at}/out"), at)
+    keys = ["keyword_id", "dedup_key"]
+    _replayed(spark, parts, "at", lambda s: s, folds.batches(f"{at}/out", "at", keys, LATE, *folds.recent_duplicates(keys)), at)
     return spark.read.parquet(f"{at}/out").select("candidate_id", "keyword_id", "dedup_key", "is_duplicate")
 
 

@@ -26,6 +26,11 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+def _ms(us: int) -> int:
+    """The first millisecond, which timers count, that is not before."""
+    return -(-us // 1000)
+
+
 class _Keyed(StatefulProcessor):
     """Shared by all: rows in their order, nothing to close."""
 
@@ -33,6 +38,16 @@ class _Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.done: tuple[int | None, set] = (None, set())
+
+    def _first(self, key, now: int) -> bool:
+        """Whether this is the key's first timer at this watermark, which takes all that has passed; timers that other
+        batches left find nothing more."""
+        if self.done[0] != now:
+            self.done = (now, set())
+        was = key in self.done[1]
+        self.done[1].add(key)
+        return not was
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         return iter(())
@@ -142,7 +157,8 @@ class Cache(_Keyed):
 
     The latest write holds until it expires; a timer then deletes it. Writes and reads are taken by time once the
     watermark has passed them, so a read sees exactly the writes before it, whichever batch brought them. Every read gives a
-    row, with no value where nothing is held.
+    row, with no value where nothing is held. A batch sets one timer a key, for the first of its rows; when it goes off, all
+    that the watermark has passed is taken, and one timer is set for what comes next.
     """
 
     OUT = "pos long, key string, value string, hit boolean"
@@ -155,20 +171,19 @@ class Cache(_Keyed):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new = [(r.us, r.pos, r.kind, r.value, r.expires_us) for r in rows]
         self.waiting.appendList(new)
-        for us in {x[0] for x in new}:
-            self.handle.registerTimer(-(-us // 1000))
+        self.handle.registerTimer(_ms(min(x[0] for x in new)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        entry, was = (tuple(self.entry.get()) if self.entry.exists() else None), self.entry.exists()
+        if not self._first(key, now):
+            return iter(())
+        waiting = [tuple(x) for x in self.waiting.get()]
+        entry = was = self.entry.get()
         out = []
         for us, pos, kind, value, expires in sorted(x for x in waiting if x[0] <= now):
             if kind == "write":
                 entry = (value, expires)
-                if expires is not None:
-                    self.handle.registerTimer(-(-expires // 1000))
                 continue
             hit = entry is not None and (entry[1] is None or entry[1] > us)
             out.append(Row(pos=pos, key=key[0], value=entry[0] if hit else None, hit=hit))
@@ -177,10 +192,13 @@ class Cache(_Keyed):
             self.waiting.put(rest) if rest else self.waiting.clear()
         if entry is not None and entry[1] is not None and entry[1] <= now:
             entry = None
-        if entry is not None:
-            self.entry.update(entry)
-        elif was:
+        if entry is None and was is not None:
             self.entry.clear()
+        elif entry != was:
+            self.entry.update(entry)
+        again = [x[0] for x in rest] + ([entry[1]] if entry is not None and entry[1] is not None else [])
+        if again:
+            self.handle.registerTimer(_ms(min(again)))
         return iter(out)
 
 
@@ -190,7 +208,8 @@ class RecentDuplicates(_Keyed):
     Events of tasks (``task_id, status``) and candidates share the key. A candidate waits until the watermark has passed it;
     then a task that was pending or running at its time counts always, a completed one for ``within`` hours, a failed one
     for ``cooldown``. An interval join has one bound for all rows, this has one by status: a task's row goes once its
-    own horizon has passed or a later event of the task has, and an open task stays as long as it is open.
+    own horizon has passed or a later event of the task has, at the latest when those of all that came with it have, and an
+    open task stays as long as it is open. Timers are set as in ``Cache``, one a key and batch.
     """
 
     OUT = "candidate_id long, keyword_id long, dedup_key string, is_duplicate boolean"
@@ -206,36 +225,48 @@ class RecentDuplicates(_Keyed):
     def _counts(self, status: str, us: int, now: int) -> bool:
         return status in ("pending", "running") or (status in self.horizon and us >= now - self.horizon[status])
 
+    def _again(self, tasks: list, waiting: list) -> int | None:
+        """When a key is to be looked at again: at its first candidate's time, else when all its tasks' horizons have passed."""
+        if waiting:
+            return _ms(min(c[0] for c in waiting))
+        return _ms(max(t[0] + self.horizon.get(t[3], 0) for t in tasks)) + 1 if tasks else None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         tasks, candidates = [], []
-        for r in rows:
-            (candidates.append((r.us, r.candidate_id)) if r.candidate_id is not None else tasks.append((r.us, r.pos, r.task_id, r.status)))
+        for us, pos, task, status, candidate in ((r.us, r.pos, r.task_id, r.status, r.candidate_id) for r in rows):
+            candidates.append((us, candidate)) if candidate is not None else tasks.append((us, pos, task, status))
         if tasks:
             self.tasks.appendList(tasks)
         if candidates:
             self.waiting.appendList(candidates)
-        # a task's row is looked at again when its horizon has passed, a candidate when its time has
-        for ms in {-(-us // 1000) for us, _ in candidates} | {-(-(us + self.horizon.get(s, 0)) // 1000) + 1 for us, _, _, s in tasks}:
-            self.handle.registerTimer(ms)
+        self.handle.registerTimer(self._again(tasks, candidates))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        tasks = sorted(tuple(t) for t in self.tasks.get()) if self.tasks.exists() else []
-        waiting = [tuple(c) for c in self.waiting.get()] if self.waiting.exists() else []
+        if not self._first(key, now):
+            return iter(())
+        tasks = sorted(tuple(t) for t in self.tasks.get())
+        waiting = [tuple(c) for c in self.waiting.get()]
         ready, out, at, last = sorted(c for c in waiting if c[0] <= now), [], 0, {}
         for us, candidate in ready:
             while at < len(tasks) and tasks[at][0] <= us:
                 last[tasks[at][2]] = tasks[at]
                 at += 1
-            out.append(Row(candidate_id=candidate, keyword_id=key[0], dedup_key=key[1], is_duplicate=any(self._counts(t[3], t[0], us) for t in last.values())))
+            # a task that counts no more does so again only after another event
+            last = {k: t for k, t in last.items() if self._counts(t[3], t[0], us)}
+            out.append(Row(candidate_id=candidate, keyword_id=key[0], dedup_key=key[1], is_duplicate=bool(last)))
+        rest = [c for c in waiting if c[0] > now]
         if ready:
-            rest = [c for c in waiting if c[0] > now]
             self.waiting.put(rest) if rest else self.waiting.clear()
         newest = {t[2]: t for t in tasks if t[0] <= now}
         kept = [t for t in tasks if t[0] > now or (newest[t[2]] == t and self._counts(t[3], t[0], now))]
         if len(kept) < len(tasks):
             self.tasks.put(kept) if kept else self.tasks.clear()
+        # open tasks that nothing follows so far are looked at with what comes next
+        again = self._again([t for t in kept if t[0] > now or t[3] in self.horizon], rest)
+        if again is not None:
+            self.handle.registerTimer(again)
         return iter(out)
 
 
