@@ -115,7 +115,7 @@ def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("expires_us", F.unix_micros(F.col("expires").cast("timestamp"))).drop("expires")
     at = scratch(spark)
     parts = [*_parts(rows, "at", "pos", 2), _tick(rows, "at")]
-    _replayed(spark, parts, "at", lambda s: stateful.run(s, "at", ["key"], stateful.Cache(), "4 days"), stateful.by_batch(f"{at}/out"), at)
+    _replayed(spark, parts, "at", lambda s: s, folds.batches(f"{at}/out", "at", ["key"], timedelta(days=4), *folds.cache(["key"])), at)
     return spark.read.parquet(f"{at}/out").select("pos", "key", "value", "hit")
 
 

@@ -49,7 +49,24 @@ def test_recent_duplicates(spark, tmp_path):
     assert want[902] and not want[903]
 
 
-@pytest.mark.parametrize("name", ["stream_recent_duplicates"])
+def test_cache(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(90):
+        at = T0 + timedelta(seconds=int(k * 20 + rng.integers(-60, 60)))
+        rows.append((k, f"k{rng.integers(5)}", at, "write" if rng.random() < 0.5 else "read", f"v{k}", us(at) + int(rng.integers(10, 400)) * 1_000_000 if rng.random() < 0.7 else None))
+    parts = [rows[:30], rows[30:60], rows[60:], [(None, None, T0 + timedelta(days=1), None, None, None)]]
+    got = {r.pos: (r.value, r.hit) for r in arrive(spark, tmp_path, parts, "pos long, key string, at timestamp, kind string, value string, expires_us long", ["key"], timedelta(minutes=5), folds.cache(["key"])).collect()}
+    want = {}
+    for pos, key, at, kind, *_ in rows:
+        if kind == "read":
+            last = max((r for r in rows if r[1] == key and r[3] == "write" and (r[2], r[0]) < (at, pos)), key=lambda r: (r[2], r[0]), default=None)
+            hit = last is not None and (last[5] is None or last[5] > us(at))
+            want[pos] = (last[4] if hit else None, hit)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["stream_recent_duplicates", "stream_cache"])
 def test_streams_of_many_keys_call_no_processor(spark, monkeypatch, name):
     def called(*_, **__):
         raise AssertionError("a processor is called for each key and timer")
