@@ -65,7 +65,7 @@ def stream_query_state(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderdate as at", "720L as revisit_minutes", "1440L as cooldown_minutes", "o_orderkey as pos",
     )
     at = scratch(spark)
-    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["query_unit_key"], stateful.UnitState(), "90 days", timed=False), stateful.by_batch(f"{at}/out"), at)
+    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: s, folds.batches(f"{at}/out", "at", ["query_unit_key"], LATE, *folds.units(["query_unit_key"])), at)
     return stateful.latest(spark, f"{at}/out", ["query_unit_key"]).select("query_unit_key", "n_events", "last_event", "failure_count", F.date_format(F.timestamp_micros("next_due_us"), TS).alias("next_due_at"))
 
 
@@ -87,7 +87,7 @@ def stream_task_states(spark: SparkSession, sf: str) -> DataFrame:
     """ST-12."""
     events = read(spark, sf, "orders").selectExpr("o_custkey as task_id", "element_at(array('start', 'complete', 'fail', 'cancel', 'noted'), cast(o_orderkey % 5 as int) + 1) as event", "o_orderdate as at", "o_orderkey as pos")
     at = scratch(spark)
-    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: stateful.run(s, "at", ["task_id"], stateful.TaskState(), "90 days", timed=False), stateful.by_batch(f"{at}/out"), at)
+    _replayed(spark, _parts(events, "at", "pos", MIXED), "at", lambda s: s, folds.batches(f"{at}/out", "at", ["task_id"], LATE, *folds.tasks(["task_id"])), at)
     text = lambda c, n: F.date_format(F.timestamp_micros(c), TS).alias(n)
     return stateful.latest(spark, f"{at}/out", ["task_id"]).select("task_id", "status", text("started_us", "started_at"), text("ended_us", "completed_at"), "info_logs", "success_logs", "error_logs", "warning_logs")
 

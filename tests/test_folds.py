@@ -66,7 +66,23 @@ def test_cache(spark, tmp_path):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["stream_recent_duplicates", "stream_cache"])
+def test_units_and_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(f"u{rng.integers(6)}", ["schedule", "success", "failure", "failure"][rng.integers(4)], T0 + timedelta(minutes=int(k + rng.integers(-30, 30))), 60, 240, k) for k in range(300)]
+    schema = "query_unit_key string, event string, at timestamp, revisit_minutes long, cooldown_minutes long, pos long"
+    out = arrive(spark, tmp_path / "u", [rows[:100], rows[100:200], rows[200:]], schema, ["query_unit_key"], timedelta(hours=2), folds.units(["query_unit_key"]))
+    for k in range(3):
+        want = scheduling.fold_state(spark.createDataFrame(rows[: 100 * (k + 1)], schema)).withColumn("next_due_us", F.unix_micros("next_due_at")).drop("next_due_at")
+        assert sorted(map(tuple, out.where(f"batch = {k}").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    rows = [(int(rng.integers(9)), ["start", "complete", "fail", "cancel", "note"][rng.integers(5)], T0 + timedelta(seconds=int(rng.integers(500))), k) for k in range(120)] + [(99, "note", T0, 500)]
+    schema = "task_id long, event string, at timestamp, pos long"
+    arrive(spark, tmp_path / "t", [rows[:50], rows[50:60], rows[60:]], schema, ["task_id"], timedelta(hours=1), folds.tasks(["task_id"]))
+    want = scheduling.task_states(spark.createDataFrame(rows, schema)).na.fill(0).withColumns({"started_us": F.unix_micros("started_at"), "ended_us": F.unix_micros("completed_at")}).drop("started_at", "completed_at")
+    got = stateful.latest(spark, f"{tmp_path}/t/out", ["task_id"]).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["stream_recent_duplicates", "stream_cache", "stream_query_state", "stream_task_states"])
 def test_streams_of_many_keys_call_no_processor(spark, monkeypatch, name):
     def called(*_, **__):
         raise AssertionError("a processor is called for each key and timer")
