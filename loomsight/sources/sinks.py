@@ -118,10 +118,19 @@ def snapshot(df: DataFrame, path: str, by: str = "bucket_type") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def delivery_csv(df: DataFrame, path: str) -> None:
-    """SNK-06: one CSV table with header and byte-order mark in its first name."""
+def _delivered(df: DataFrame) -> DataFrame:
     first, *rest = df.columns
-    publish_file(flat(df).toDF("﻿" + first, *rest), path, "csv", header="true", escape="\"")
+    return flat(df).toDF("\ufeff" + first, *rest)
+
+
+def delivery_csv(df: DataFrame, path: str) -> None:
+    """SNK-06: one CSV table with header and byte-order mark in its first name, as one file, which one task writes."""
+    publish_file(_delivered(df), path, "csv", header="true", escape="\"")
+
+
+def delivery_parts(df: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """SNK-06 of a table of any size: a folder of such files of at most ``rows`` rows, each task its own."""
+    publish(_delivered(df), path, "csv", header="true", escape="\"", maxRecordsPerFile=rows)
 
 
 def markdown(profile: DataFrame) -> str:

@@ -132,3 +132,13 @@ def test_metadata_of_each_task(spark):
     got = {(r.crawl_task_id % 4 == 3, r.keyword_id.startswith("KW_TASK_")) for r in df.collect()}
     assert got == {(True, True), (False, False)}
     assert signals.signal_totals(spark.createDataFrame([], "id long"), spark.createDataFrame([], "support_count int")).first().max_support == 0
+
+
+def test_a_delivery_is_many_files(spark, tmp_path):
+    df = spark.range(0, 100, 1, 2).select("id", F.concat(F.lit('a "b",\n'), "id").alias("t"))
+    for _ in range(2):
+        sinks.delivery_parts(df, f"{tmp_path}/d.csv", 20)
+    files = [p.read_text(encoding="utf-8") for p in (tmp_path / "d.csv").glob("*.csv")]
+    assert len(files) == 6 and all(f.startswith("\ufeffid,t\n") for f in files)
+    got = readers.csv_text(spark, f"{tmp_path}/d.csv")
+    assert got.columns == ["id", "t"] and sorted(map(tuple, got.collect())) == sorted((str(k), f'a "b",\n{k}') for k in range(100))
