@@ -1,15 +1,18 @@
 """Evidence for free-text questions: scoring, gating, and what they add up to.
 
-Signals are scored by what they contain of a question. Containment has no join key of its own, but what is contained
-stands there with all its runs of three letters: texts meet by the rarest run of what is looked for, in an ordinary equi
-join, and are then compared (``containing``). Only pairs with something in common are ever made.
+Signals are scored by what they contain of a question. Containment has no join key, and common words are in most signals,
+so pairs are neither joined nor shuffled: questions and signals are dealt over parts of bounded size that meet two by two,
+and a task hands on the best of each question alone (``retrieve``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +21,17 @@ from loomsight.functions import scalars as S
 
 @dataclass(frozen=True)
 class Config:
-    """UX-02. ``block``: texts of one run of letters that one task compares at most, so that a common run is many tasks'."""
+    """UX-02. ``block``: questions, and signals, of ``TEXT_BYTES`` that meet in one task, about; fewer if they are longer."""
 
     min_score: float = 30.0
     strong: tuple[str, ...] = ("medium", "high")
     blocked: tuple[str, ...] = ("high",)
     freshness_days: int = 7
-    block: int = 1 << 16
+    block: int = 1 << 13
+
+
+#: Bytes of a text that count as one.
+TEXT_BYTES = 256
 
 
 def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> DataFrame:
@@ -37,31 +44,85 @@ def evidence_flags(df: DataFrame, now: Column, config: Config = Config()) -> Dat
     return df.withColumns({"is_stale": stale, "usable": ~(stale | weak | low | blocked), "blocked_by_safety": blocked, "rejection_reason": F.nullif(reason, F.lit(""))})
 
 
-#: Letters of the runs by which texts meet; what is shorter meets by all of itself.
-GRAM = 3
-
-
-def _grams(text: Column, n: int | Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n)))
-
-
-def containing(needles: DataFrame, hay: DataFrame, needle: str, key: str, text: str, block: int = Config.block) -> DataFrame:
-    """``needle, key`` of every text of ``hay`` (``key``, ``text``) that holds a needle. Needles are distinct and not empty.
-
-    A run of letters that more than ``block`` texts have is dealt over parts of about that many texts.
-    """
-    size = F.least(F.length(needle), F.lit(GRAM))
-    asked = needles.select(needle, F.explode(_grams(F.col(needle), size)).alias("gram"))
-    sizes = [F.when(F.length(text) >= n, _grams(F.col(text), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
-    held = hay.select(key, F.explode(F.concat(*sizes)).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    many = held.groupBy("gram").agg(F.count("*").alias("n"))
-    # a needle meets texts by its run that the fewest of them have, and none if there is a run that no text has
-    rarest = asked.join(many, "gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).where("least.n > 0").select(needle, F.col("least.gram").alias("gram"))
-    hot = many.where(F.col("n") > block).select("gram", F.ceil(F.col("n") / block).alias("__parts"))
-    dealt = held.join(hot, "gram", "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), "__parts"))).drop("__parts")
-    asked_of = rarest.join(hot, "gram", "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    met = asked_of.join(dealt, ["gram", "__part"]).select(needle, key)
-    return met.join(hay, key).where(F.col(text).contains(F.col(needle))).select(needle, key)
+def _holding(texts: list[bytes], needles: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Each text's place and a needle that it holds. Needles of one length are looked for one by one or, where they are
+    more than the text has places for them, looked up place by place."""
+    by_size: dict[int, set[bytes]] = {}
+    for needle in needles:
+        by_size.setdefault(len(needle), set()).add(needle)
+    sizes = sorted(by_size.items())
+    for k, text in enumerate(texts):
+        for size, own in sizes:
+            places = len(text) - size + 1
+            if places <= 0:
+                break
+            held = [x for x in own if x in text] if len(own) <= places else own.intersection(text[i : i + size] for i in range(places))
+            for needle in held:
+                yield k, needle
+
+
+def _places(pairs: Iterable[tuple[int, bytes]]) -> dict[bytes, np.ndarray]:
+    out: dict[bytes, list[int]] = {}
+    for k, x in pairs:
+        out.setdefault(x, []).append(k)
+    return {x: np.array(ks) for x, ks in out.items()}
+
+
+def _first(points: np.ndarray, trend: np.ndarray, unknown: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` places with points in order of score, as Spark sorts it downward (NaN, numbers, null), then of place."""
+    at = np.flatnonzero(points)
+    score = points[at] * 100.0 + trend[at]
+    kind = np.where(unknown[at], 2, np.where(np.isnan(score), 0, 1))
+    down = np.where(kind == 1, -score, np.where(kind == 0, -np.inf, np.inf))
+    if len(at) > k > 0:
+        near = down <= np.partition(down, k - 1)[k - 1]
+        at, kind, down = at[near], kind[near], down[near]
+    return at[np.lexsort((at, kind, down))[:k]]
+
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For some questions and some signals: each question's ``k`` best of these."""
+
+    def run(asked: pa.Table, stock: pa.Table) -> pa.Table:
+        stock = stock.sort_by("pos")
+        lows, words = asked["low"].to_pylist(), asked["words"].to_pylist()
+        keys, texts = stock["key"].to_pylist(), stock["text"].to_pylist()
+        unknown = stock["trend_score"].is_null().to_numpy()
+        trend = stock["trend_score"].fill_null(0.0).to_numpy()
+        of_word = _places(_holding(texts, {w for own in words for w in own}))
+        of_key = _places((j, key) for j, key in enumerate(keys) if key)
+        worth = np.array([2 if key == b"" else 0 for key in keys], np.int64)
+        points_of: dict[int, list[tuple[bytes, int]]] = {}
+        for q, key in _holding(lows, of_key):
+            points_of.setdefault(q, []).append((key, 2))
+        named = list(of_key)
+        place = {low: q for q, low in enumerate(lows)}
+        for j, low in _holding(named, (low for low in lows if low)):
+            if low != named[j]:  # which counts two
+                points_of.setdefault(place[low], []).append((named[j], 1))
+        rows, at, overlap = [], [], []
+        for q, own in enumerate(words):
+            points = worth.copy()
+            for word, n in Counter(own).items():
+                if word in of_word:
+                    points[of_word[word]] += n
+            for key, n in points_of.get(q, ()):
+                points[of_key[key]] += n
+            best = _first(points, trend, unknown, k)
+            rows.append(np.full(len(best), q))
+            at.append(best)
+            overlap.append(points[best])
+        rows, at, overlap = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, at, overlap))
+        score = pa.array(overlap * 100.0 + trend[at], mask=unknown[at])
+        return pa.table([asked["low"].take(pa.array(rows)), stock["pos"].take(pa.array(at)), pa.array(overlap), score], ["low", "pos", "overlap", "match_score"])
+
+    return run
+
+
+def _parts(texts: DataFrame, text: str, block: int) -> Column:
+    """Over how many parts texts are dealt, by their number or, if long, their bytes, counted in the same job."""
+    size = F.greatest(F.count("*"), F.floor(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) / TEXT_BYTES))
+    return texts.agg((F.floor(size / block) + 1).alias("n")).scalar()
 
 
 def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, config: Config = Config()) -> DataFrame:
@@ -70,30 +131,25 @@ def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, co
     A question's words that stand in a signal's text count one each, repeated ones again; its keyword in the question
     counts two, else the question in its keyword one. ``queries``: query_id, query. ``signals``: signal columns and
     ``pos``, their order, which is theirs alone. Equal questions are scored once. A signal without a keyword is in
-    every question: only the ``k`` best of these meet questions that no word leads to them.
+    every question.
+
+    Every part of the questions meets every part of the signals in one task, which hands on a question's ``k`` best of
+    these: what is shuffled are the questions once for each part of the signals, the signals once for each part of the
+    questions, and the best, never pairs.
     """
     asked = queries.withColumn("__low", F.lower(S.strip(F.col("query"))))
     low = asked.select("__low").distinct().where("__low is not null")
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")]))
-    own = signals.select("pos", F.lower("normalized_keyword").alias("__key"), text.alias("__text"), "trend_score")
-    words = low.select("__low", F.explode(F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != "")).alias("__term")).groupBy("__low", "__term").agg(F.count("*").alias("points"))
-    found = containing(words.select("__term").distinct(), own.select("pos", "__text"), "__term", "pos", "__text", config.block)
-    by_word = words.join(found, "__term").select("__low", "pos", "points")
-    keys = own.select("__key").distinct().where("__key <> ''")
-    named = containing(keys, low, "__key", "__low", "__low", config.block).withColumn("points", F.lit(2))
-    within = containing(low.where("__low <> ''").withColumnRenamed("__low", "__asked"), keys.withColumn("__held", F.col("__key")), "__asked", "__key", "__held", config.block)
-    within = within.where(~F.col("__asked").contains(F.col("__key"))).select("__key", F.col("__asked").alias("__low"), F.lit(1).alias("points"))
-    by_key = named.select("__key", "__low", "points").union(within).join(own.select("__key", "pos"), "__key").select("__low", "pos", F.col("points").cast("long"))
-    # of signals without a keyword, each worth two to any question, only the k best by score can be among a question's best
-    # where no word leads to them: another one that a word leads to, or that is better, stands before any later one
-    blank = own.where("__key = ''").orderBy(F.desc("trend_score"), "pos").limit(k).agg(F.collect_list("pos"))
-    free = low.select("__low", F.explode(blank.scalar()).alias("pos"), F.lit(0).cast("long").alias("points"))
-    worth = own.select("pos", F.when(F.col("__key") == "", 2).otherwise(0).alias("__all"), "trend_score")
-    pairs = by_word.union(by_key).union(free).groupBy("__low", "pos").agg(F.sum("points").alias("points")).join(worth, "pos")
-    pairs = pairs.select("__low", "pos", (F.col("points") + F.col("__all")).alias("overlap"), "trend_score")
-    score = F.col("overlap") * 100.0 + F.col("trend_score")
+    own = signals.select("pos", F.lower("normalized_keyword").alias("key"), text.alias("text"), F.col("trend_score").cast("double").alias("trend_score"))
+    n_asked, n_own = _parts(low, "__low", config.block), _parts(own, "text", config.block)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    words = F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != "").cast("array<binary>")
+    left = low.select(F.pmod(F.xxhash64("__low"), n_asked).alias("asked"), each(n_own).alias("held"), F.col("__low").cast("binary").alias("low"), words.alias("words"))
+    right = own.select(each(n_asked).alias("asked"), F.pmod(F.xxhash64("pos"), n_own).alias("held"), "pos", F.col("key").cast("binary"), F.col("text").cast("binary"), "trend_score")
+    made = f"low binary, pos {signals.schema['pos'].dataType.simpleString()}, overlap long, match_score double"
+    best = left.groupBy("asked", "held").cogroup(right.groupBy("asked", "held")).applyInArrow(_best(k), made)
     rank = Window.partitionBy("__low").orderBy(F.desc("match_score"), "pos")
-    best = pairs.select("__low", "pos", "overlap", score.alias("match_score")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    best = best.select(F.col("low").cast("string").alias("__low"), "pos", "overlap", "match_score").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     out = asked.join(best, "__low").drop("__low").join(signals, "pos")
     return evidence_flags(out, now, config)
 

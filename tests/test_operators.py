@@ -40,6 +40,38 @@ def test_retrieval_makes_no_pairs_by_nested_loops(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and df.count() == 0
 
 
+def shuffled_rows(df):
+    df.collect()
+
+    def of(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    rnd = random.Random(4)
+    words = ["of", "a", "retinol", "skin", "皮肤", "spf", "sun cream", "serum", "in", ""]
+    stock = [(f"S{k}", rnd.choice(words), "of", "t", " ".join(rnd.choices(words, k=4)), None, "x", None if k % 9 == 0 else float("nan") if k == 200 else float(rnd.randint(0, 90)), "high", "low", None, k) for k in range(400)]
+    asked = [(f"q{k}", f"of {rnd.choice(words)} {rnd.choice(words)} n{k}") for k in range(120)] + [("none", None), ("blank", " "), ("key", "su")]
+    made = spark.createDataFrame(asked, "query_id string, query string"), spark.createDataFrame(stock, SIGNAL)
+    df = retrieval.retrieve(*made, F.lit("2024-01-01").cast("timestamp_ntz"), config=retrieval.Config(block=64))
+    # every question shares a word with every signal
+    assert 0 < shuffled_rows(df) < 120 * 400 / 4
+    order = lambda s: (0 if s[7] != s[7] else 2 if s[7] is None else 1)
+    want = []
+    for q, text in asked:
+        best = sorted((order(s), -(scored(text, s) * 100 + s[7]) if order(s) == 1 else 0, s[11]) for s in stock if text is not None and scored(text, s) > 0)[:5]
+        want += [(q, f"S{pos}", k + 1) for k, (_, _, pos) in enumerate(best)]
+    assert sorted((r.query_id, r.signal_id, r["rank"]) for r in df.collect()) == sorted(want)
+
+
 def test_files_of_runs(spark):
     made = lambda *paths: spark.createDataFrame([(p, k) for k, p in enumerate(paths)], "path string, pos long")
     rows = lambda df: [(r.path, r["mode"]) for r in df.orderBy("pos").collect()]
