@@ -127,25 +127,35 @@ def _sides(a: str, b: str) -> tuple[ByteSide, PieceTokens]:
     return ByteSide(a), PieceTokens(b)
 
 
-TOKENS = "row long, doc_id long, " + ", ".join(f"{x}_ids array<int>, {x}_ends array<int>, {x}_at array<int>" for x in "ab")
+TOKENS = "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, a_at array<int>, both_at array<int>, pair_at array<bigint>"
 
 
-def _arrays(ids: np.ndarray, many: np.ndarray, size: np.ndarray) -> list[pa.Array]:
-    """Per row the ids, their byte ends, and for every byte from 0 on the place of the token that ends before it, -1 for none."""
-    upto = np.concatenate([[0], np.cumsum(many)])
-    end = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])
-    whole = end[upto[1:]] - end[upto[:-1]] + (many > 0)
-    bytes_ = np.concatenate([[0], np.cumsum(whole)])
-    ends = end[1:] - np.repeat(end[upto[:-1]], many)
-    at = np.full(int(bytes_[-1]), -1, np.int32)
-    at[ends + np.repeat(bytes_[:-1], many)] = np.arange(len(ids)) - np.repeat(upto[:-1], many)
-    lists = lambda off, x: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x.astype(np.int32)))
-    return [lists(upto, ids), lists(upto, ends), lists(bytes_, at)]
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+class _Tokens:
+    """Ids of rows that are as long in bytes on either side, with where they end.
+
+    ``at``: for every byte from 0 on the place of the token that ends before it, -1 for none; ``id_at``: its id, 0 for none.
+    """
+
+    def __init__(self, ids: np.ndarray, many: np.ndarray, size: np.ndarray):
+        upto = np.concatenate([[0], np.cumsum(many)])
+        end = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])
+        whole = end[upto[1:]] - end[upto[:-1]] + (many > 0)
+        self.bytes = np.concatenate([[0], np.cumsum(whole)])
+        ends = end[1:] - np.repeat(end[upto[:-1]], many)
+        at = ends + np.repeat(self.bytes[:-1], many)
+        self.at, self.id_at = np.full(int(self.bytes[-1]), -1, np.int32), np.zeros(int(self.bytes[-1]), np.int64)
+        self.at[at] = np.arange(len(ids)) - np.repeat(upto[:-1], many)
+        self.id_at[at] = ids
+        self.arrays = [_lists(upto, ids.astype(np.int32)), _lists(upto, ends.astype(np.int32))]
 
 
 def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``row, doc_id`` and each side's ids, ends and places by byte (``_arrays``) of every row; ``a`` a byte-level file, ``b`` a
-    sentencepiece model."""
+    """``row, doc_id``, each side's ids and ends of every row and, by byte, the place of the token that ends there: of ``a``'s,
+    and of both added up, and their ids in one number; ``a`` a byte-level file, ``b`` a sentencepiece model."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         left, right = _sides(a, b)
@@ -154,7 +164,9 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
             a_ids, a_many = left.rows(data, offsets)
             keep = good & (np.diff(offsets) > 0)
             a_ids, a_many = a_ids[np.repeat(keep, a_many)], a_many * keep
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *_arrays(a_ids, a_many, left.size), *_arrays(b_ids, b_many, right.size)], ["row", "doc_id", "a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
+            x, y = _Tokens(a_ids, a_many, left.size), _Tokens(b_ids, b_many, right.size)
+            by_byte = [_lists(x.bytes, x.at), _lists(x.bytes, x.at + y.at), _lists(x.bytes, x.id_at << 32 | y.id_at)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *x.arrays, *y.arrays, *by_byte], ["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "a_at", "both_at", "pair_at"])
 
     numbered = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return numbered.mapInArrow(run, TOKENS)
@@ -171,36 +183,39 @@ def grouped(tokens: DataFrame) -> DataFrame:
 
     A group ends where both sides end a token: its last tokens are those that end there, its first the ones behind those
     of the cut before. Places of both sides add up by two from cut to cut where a group is a token on either side, as most
-    are; only the others are taken apart.
+    are; only the others are taken apart. The text is Spark's own of the array of last tokens, with other signs between
+    them; where a group is another one, it has a number below zero and is cut there.
+
+    Each step is a projection of its own, so that what comes next reads plain arrays. Lambdas are kept to few nodes.
     """
-    a, b, a_at, b_at = (F.col(c) for c in ("a_ids", "b_ids", "a_at", "b_at"))
+    at = lambda values, places: let(F.col(values), lambda v: F.transform(places, lambda e: F.get(v, e)))
     pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
-
-    def built(ends: Column, cut: Column, places: Column) -> Column:
-        # ``cut`` and ``places`` begin with the cut before all tokens, so group ``g`` ends at ``cut[g + 1]``
-        single = lambda g: F.get(places, g + 1) - F.get(places, g) == 2
-        between = lambda ids, at, g: F.slice(ids, F.get(at, F.get(cut, g)) + 2, F.get(at, F.get(cut, g + 1)) - F.get(at, F.get(cut, g)))
-        one = lambda e: F.concat(F.get(a, F.get(a_at, e)).cast("string"), F.lit("|"), F.get(b, F.get(b_at, e)).cast("string"))
-        many = lambda g: F.concat(*[x for ids, at in ((a, a_at), (b, b_at)) for x in (F.array_join(between(ids, at, g).cast("array<string>"), ","), F.lit("|"))][:-1])
-        text = F.array_join(F.transform(ends, lambda e, g: F.when(single(g), one(e)).otherwise(many(g))), ";")
-        rest = F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda g: ~single(g))
-
-        def out(rest: Column) -> Column:
-            # each group's pair of last tokens, then the other pairs of the groups with more than one
-            last = F.transform(ends, lambda e: pair(F.get(a, F.get(a_at, e)), F.get(b, F.get(b_at, e))))
-            crossed = lambda g: let(between(b, b_at, g), lambda right: F.flatten(F.transform(between(a, a_at, g), lambda x: F.transform(right, lambda y: pair(x, y)))))
-            others = F.flatten(F.transform(rest, lambda g: let(crossed(g), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))))
-            links = F.aggregate(rest, F.size(ends) - F.size(rest), lambda n, g: n + F.size(between(a, a_at, g)) * F.size(between(b, b_at, g)))
-            return F.struct(F.size(a).cast("long").alias("n_a"), F.size(b).cast("long").alias("n_b"), F.size(ends).cast("long").alias("n_groups"), links.cast("long").alias("n_links"), F.sha2(text, 256).alias("groups_sha256"), F.concat(last, others).alias("pairs"))
-
-        return let(rest, out)
-
-    zero = F.lit(0).cast("long")
-    none = F.struct(zero.alias("n_a"), zero.alias("n_b"), zero.alias("n_groups"), zero.alias("n_links"), F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("pairs"))
-    places = lambda c: F.transform(c, lambda e: F.get(a_at, e) + F.get(b_at, e))
-    of = lambda ends: let(F.concat(F.array(F.lit(0)), ends), lambda cut: let(places(cut), lambda p: built(ends, cut, p)))
-    found = let(F.array_intersect("a_ends", "b_ends"), of)
-    return tokens.select("row", "doc_id", F.when(F.size("a_ids") == 0, none).otherwise(found).alias("g"))
+    ids = ("row", "doc_id", "a_ids", "b_ids", "a_at")
+    cut = tokens.select(*ids, "both_at", "pair_at", F.array_intersect("a_ends", "b_ends").alias("ends"))
+    found = cut.select(*ids, "ends", at("pair_at", F.col("ends")).alias("last"), at("both_at", F.col("ends")).alias("places"))
+    # the cut before all tokens is at byte 0 and place -1 of either side
+    before = found.select("*", F.concat(F.array(F.lit(-2)), "places").alias("was"), F.concat(F.array(F.lit(0)), "ends").alias("cut"))
+    grown = before.select("*", let(F.col("was"), lambda was: F.transform("places", lambda x, g: x - F.get(was, g))).alias("step"))
+    rest = F.when(F.size("a_ids") == 0, F.array().cast("array<int>")).otherwise(let(F.col("step"), lambda step: F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda g: F.get(step, g) != 2)))
+
+    def group(g: Column) -> Column:
+        low, high = F.get("a_at", F.get("cut", g)), F.get("a_at", F.get("ends", g))
+        mine = F.slice("a_ids", low + 2, high - low)
+        return F.struct(mine.alias("a"), F.slice("b_ids", F.get("was", g) - low + 2, F.get("step", g) - (high - low)).alias("b"))
+
+    parts = grown.select("row", "doc_id", "a_ids", "b_ids", "last", "step", F.transform(rest, group).alias("rest"))
+    listed = F.zip_with("last", "step", lambda p, d: F.struct(F.when(d == 2, F.shiftright(p, 32)).otherwise(F.lit(-1).cast("long")), p.bitwiseAND(F.lit((1 << 32) - 1))))
+    plain = F.replace(F.replace(F.btrim(listed.cast("string"), F.lit("[{}]")), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|"))
+    joined = lambda x: F.array_join(x.cast("array<string>"), ",")
+    others = F.concat(F.transform("rest", lambda x: F.concat(joined(x["a"]), F.lit("|"), joined(x["b"]))), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(F.split(plain, r"-1\|\d+"), others, lambda x, y: F.concat(x, y)), "")
+    # each group's pair of last tokens, then the other pairs of the groups with more than one
+    crossed = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: pair(i, j))))
+    more = F.flatten(F.transform("rest", lambda x: let(crossed(x), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))))
+    links = F.aggregate("rest", F.size("last") - F.size("rest"), lambda n, x: n + F.size(x["a"]) * F.size(x["b"]))
+    digest = F.when(F.size("a_ids") == 0, "").otherwise(F.sha2(text, 256))
+    g = F.struct(F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("last").cast("long").alias("n_groups"), links.cast("long").alias("n_links"), digest.alias("groups_sha256"), F.concat("last", more).alias("pairs"))
+    return parts.select("row", "doc_id", g.alias("g"))
 
 
 def aligned(docs: DataFrame, a: str, b: str, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
