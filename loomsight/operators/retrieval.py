@@ -21,7 +21,8 @@ from loomsight.functions import scalars as S
 
 @dataclass(frozen=True)
 class Config:
-    """UX-02. ``block``: questions, and signals, of ``TEXT_BYTES`` that meet in one task, about; fewer if they are longer."""
+    """UX-02. ``block``: questions of ``TEXT_BYTES`` that meet up to four times as many signals in one task, about; fewer if
+    they are longer."""
 
     min_score: float = 30.0
     strong: tuple[str, ...] = ("medium", "high")
@@ -141,7 +142,7 @@ def retrieve(queries: DataFrame, signals: DataFrame, now: Column, k: int = 5, co
     low = asked.select("__low").distinct().where("__low is not null")
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("normalized_keyword", "topic_cluster", "trend_type", "signal_summary", "signal_evidence")]))
     own = signals.select("pos", F.lower("normalized_keyword").alias("key"), text.alias("text"), F.col("trend_score").cast("double").alias("trend_score"))
-    n_asked, n_own = _parts(low, "__low", config.block), _parts(own, "text", config.block)
+    n_asked, n_own = _parts(low, "__low", config.block), _parts(own, "text", 4 * config.block)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     words = F.filter(F.split("__low", r"(?U)\s+"), lambda t: t != "").cast("array<binary>")
     left = low.select(F.pmod(F.xxhash64("__low"), n_asked).alias("asked"), each(n_own).alias("held"), F.col("__low").cast("binary").alias("low"), words.alias("words"))
