@@ -1,21 +1,22 @@
 """Cross-tokenizer alignment: where two tokenizers end tokens at the same byte, and which ids that links.
 
-Python tokenises and notes where each token ends, in bytes, and for every byte which token ends there; all that follows is
-Spark's higher-order functions. The ends that both have (``array_intersect``) cut a text into groups. The places of a cut's
-tokens are looked up by byte: no search, no square. Groups are what stands between such places, links the pairs within. Counts of id pairs over documents are one aggregate; each
-document's links meet them as a broadcast of at most ``BROADCAST_PAIRS`` counted pairs, or, beyond, in a join whose
-common pairs are dealt over parts. Both ways are tested to agree.
+Python tokenises and numbers the bytes of a text at which tokens end; a token is one number, of that place and the ids that
+end there. All that follows is Spark's array and higher-order functions. What both sides have (``array_intersect``) are the
+cuts that part a text into groups, with their last tokens; what no cut is (``array_except``) stands in groups with more than
+one token on a side, and only those are taken apart, by place: no search, no square. Links are the pairs within a group.
+Counts of id pairs over documents are one aggregate; each document's links meet them as a broadcast of at most
+``BROADCAST_PAIRS`` counted pairs, or, beyond, in a join whose common pairs are dealt over parts. Both ways are tested to agree.
 
 Defined results: a text that is null or empty, or whose tokens do not join to a blank and the text on either side (one
 that holds U+2581 itself), has no tokens: zeros and an empty digest. Special tokens' strings are plain text. Every row is
 a document, repeated and null ``doc_id`` too. Other columns are ignored; an empty table gives none. Texts are never cut:
-a row's tokens, groups and links are that row's task's.
+a row's tokens, groups and links are that row's task's. A file with more ids than ``2**ID_BITS - 1``, or a text with
+more ends than ``2**PLACE_BITS``, is an error.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,29 +26,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsight.llm import wavelet
-from loomsight.llm.common import chunks, pick, spread_join, staged, table
+from loomsight.llm.common import chunks, pick, prefix_hash, span_hash, spread_join, staged, table
 
 #: Counted id pairs up to which they are broadcast, in some 80 MB.
 BROADCAST_PAIRS = 1 << 21
-#: Words whose pieces a worker remembers, the longest such word in bytes, and bytes of text encoded at once.
-WORDS, WORD_BYTES, TEXT_BYTES = 1 << 18, 64, 1 << 18
+#: Bits of an id and of a place in one number; an id of ones alone stands for none.
+ID_BITS, PLACE_BITS = 18, 27
+NONE, PAIR = (1 << ID_BITS) - 1, (1 << 2 * ID_BITS) - 1
+#: Words whose pieces a worker remembers (at most half of the slots), and bytes of text encoded at once.
+WORDS, TEXT_BYTES = wavelet.PIECES, 1 << 18
 #: Ids that a worker remembers.
 IDS = 1 << 23
 
-_UNIT = re.compile(rb" +[^ ]*")
 _BLANK = "▁"
 
 
-class PieceTokens(dict):
+class PieceTokens:
     """A sentencepiece BPE file whose pieces hold blanks at their begin alone, so words encode alone as in their text.
 
-    As a dict: from a word with the blanks before it to its number. What is remembered is bounded; when full, it starts afresh.
+    Words, with the blanks before them, are told apart by 64-bit digests and looked up by whole arrays. What is remembered
+    is bounded; when full, it starts afresh.
     """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        super().__init__()
         self.library = SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         if any(_BLANK in p.lstrip(_BLANK) for p in pieces):
@@ -57,49 +60,66 @@ class PieceTokens(dict):
         self._forget()
 
     def _forget(self) -> None:
-        self.clear()
-        self.n, self.used = 0, 0
+        self.seen, self.used = wavelet._Seen(), 0
         self.flat, self.first, self.many, self.odd = np.zeros(1 << 12, np.int32), *(np.zeros(1 << 10, t) for t in (np.int64, np.int64, bool))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Numbers for words that have none, by one call of the library."""
+    def _learn(self, words: list[bytes]) -> None:
+        """The pieces of words that have none, by one call of the library."""
         # the library puts the first blank back, but before nothing
-        blank = [self.library.piece_to_id(_BLANK)]
-        for word, ids in zip(words, self.library.encode([w[1:].decode() for w in words], num_threads=1)):
-            ids = ids if len(word) > 1 else blank
-            number = self.n
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if number == len(self.first):
-                self.first, self.many, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.odd))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[number], self.many[number] = self.used, len(ids)
-            self.odd[number] = b"".join([self.bytes[i] for i in ids]) != word
-            self.n, self.used = number + 1, self.used + len(ids)
-            self[word] = number
+        blank, number = [self.library.piece_to_id(_BLANK)], self.seen.n
+        found = [ids if len(w) > 1 else blank for w, ids in zip(words, self.library.encode([w[1:].decode() for w in words], num_threads=1))]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        while self.used + int(many.sum()) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while number + len(words) > len(self.first):
+            self.first, self.many, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.odd))
+        own = slice(number, number + len(words))
+        self.first[own], self.many[own] = self.used + np.cumsum(many) - many, many
+        self.odd[own] = [b"".join([self.bytes[i] for i in ids]) != w for w, ids in zip(words, found)]
+        self.flat[self.used : self.used + int(many.sum())] = [i for ids in found for i in ids]
+        self.used += int(many.sum())
+
+    def _words(self, raw: bytes, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of at most ``WORDS`` words, how many each has, and whether they differ from it when joined."""
+        number = self.seen.find(key)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            new, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            if self.seen.n + len(new) > WORDS or self.used > IDS:
+                self._forget()
+                miss = np.arange(len(key))
+                new, first, back = np.unique(key, return_index=True, return_inverse=True)
+            self._learn([raw[x:y] for x, y in zip(start[miss[first]].tolist(), end[miss[first]].tolist())])
+            number[miss] = self.seen.n + back
+            self.seen.add(new)
+        many = self.many.take(number)
+        at = np.repeat(self.first.take(number) - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return self.flat.take(at), many, self.odd.take(number)
 
     def rows(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows, how many each has, and whether they join to a blank and the text."""
-        find = _UNIT.findall
-        rows = [find(b" " + raw[a:b]) if b > a else [] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        words = [w for row in rows for w in row]
-        new = set(words).difference(self)
-        if self.n + len(new) > WORDS or self.used > IDS:
-            self._forget()
-            new = set(words)
-        self.learn(list(new))
-        units = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        for word in [w for w in new if len(w) > WORD_BYTES]:
-            del self[word]
-        of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
-        many = self.many[units]
-        ids = self.flat[np.repeat(self.first[units] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        good = np.ones(len(rows), bool)
-        for k in np.unique(of[self.odd[units]]).tolist():
+        full = np.flatnonzero(np.diff(offsets))
+        good = np.ones(len(offsets) - 1, bool)
+        if not len(full):
+            return np.zeros(0, np.int32), np.zeros(len(good), np.int64), good
+        data = np.insert(np.frombuffer(raw, np.uint8), offsets[full], 32)
+        rows = offsets[full] + np.arange(len(full))
+        begin = data == 32
+        begin[1:] &= ~begin[:-1]
+        begin[rows] = True
+        start = np.flatnonzero(begin)
+        end = np.append(start[1:], len(data))
+        key = span_hash(prefix_hash(data), start, end)
+        key[key == 0] = 1
+        text = data.tobytes()
+        parts = [self._words(text, key[k : k + WORDS], start[k : k + WORDS], end[k : k + WORDS]) for k in range(0, len(start), WORDS)]
+        ids, many, odd = (np.concatenate(x) for x in zip(*parts))
+        of = full[np.searchsorted(rows, start, "right") - 1]
+        for k in np.unique(of[odd]).tolist():
             own = ids[np.repeat(of == k, many)]
             good[k] = b"".join(self.bytes[i] for i in own.tolist()) == b" " + raw[offsets[k] : offsets[k + 1]]
         keep = good[of]
-        return ids[np.repeat(keep, many)], np.bincount(of[keep], many[keep], len(rows)).astype(np.int64), good
+        return ids[np.repeat(keep, many)], np.bincount(of[keep], many[keep], len(good)).astype(np.int64), good
 
 
 class ByteSide:
@@ -124,39 +144,26 @@ class ByteSide:
 @lru_cache(maxsize=2)
 def _sides(a: str, b: str) -> tuple[ByteSide, PieceTokens]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ByteSide(a), PieceTokens(b)
+    left, right = ByteSide(a), PieceTokens(b)
+    if max(len(left.size), len(right.size)) > NONE:
+        raise ValueError(f"more than {NONE} ids")
+    return left, right
 
 
-TOKENS = "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, a_at array<int>, both_at array<int>, pair_at array<bigint>"
+TOKENS = "row long, doc_id long, a array<bigint>, b array<bigint>, ends array<bigint>"
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-class _Tokens:
-    """Ids of rows that are as long in bytes on either side, with where they end.
+def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
+    """``row, doc_id``, each side's tokens and all ends of every row; ``a`` a byte-level file, ``b`` a sentencepiece model.
 
-    ``at``: for every byte from 0 on the place of the token that ends before it, -1 for none; ``id_at``: its id, 0 for none.
+    An end is a byte at which a token ends, on either side: from the highest bit on its place among the row's ends, the id
+    of ``a`` and the id of ``b`` that end there, ``NONE`` for none. A side's tokens are the ends that have its id.
     """
 
-    def __init__(self, ids: np.ndarray, many: np.ndarray, size: np.ndarray):
-        upto = np.concatenate([[0], np.cumsum(many)])
-        end = np.concatenate([[0], np.cumsum(size[ids], dtype=np.int64)])
-        whole = end[upto[1:]] - end[upto[:-1]] + (many > 0)
-        self.bytes = np.concatenate([[0], np.cumsum(whole)])
-        ends = end[1:] - np.repeat(end[upto[:-1]], many)
-        at = ends + np.repeat(self.bytes[:-1], many)
-        self.at, self.id_at = np.full(int(self.bytes[-1]), -1, np.int32), np.zeros(int(self.bytes[-1]), np.int64)
-        self.at[at] = np.arange(len(ids)) - np.repeat(upto[:-1], many)
-        self.id_at[at] = ids
-        self.arrays = [_lists(upto, ids.astype(np.int32)), _lists(upto, ends.astype(np.int32))]
-
-
-def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """``row, doc_id``, each side's ids and ends of every row and, by byte, the place of the token that ends there: of ``a``'s,
-    and of both added up, and their ids in one number; ``a`` a byte-level file, ``b`` a sentencepiece model."""
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         left, right = _sides(a, b)
         for rows, data, offsets in chunks(batches, "text", TEXT_BYTES):
@@ -164,9 +171,19 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
             a_ids, a_many = left.rows(data, offsets)
             keep = good & (np.diff(offsets) > 0)
             a_ids, a_many = a_ids[np.repeat(keep, a_many)], a_many * keep
-            x, y = _Tokens(a_ids, a_many, left.size), _Tokens(b_ids, b_many, right.size)
-            by_byte = [_lists(x.bytes, x.at), _lists(x.bytes, x.at + y.at), _lists(x.bytes, x.id_at << 32 | y.id_at)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *x.arrays, *y.arrays, *by_byte], ["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "a_at", "both_at", "pair_at"])
+            # rows that are kept are as long on either side, so the last bytes of their tokens are told over all rows at once
+            bytes_ = np.concatenate([[0], np.cumsum((np.diff(offsets) + 1) * keep)])
+            by_byte = np.full(int(bytes_[-1]), PAIR, np.int64)
+            by_byte[np.cumsum(left.size[a_ids], dtype=np.int64) - 1] = a_ids.astype(np.int64) << ID_BITS | NONE
+            by_byte[np.cumsum(right.size[b_ids], dtype=np.int64) - 1] += b_ids.astype(np.int64) - NONE
+            at = np.flatnonzero(by_byte != PAIR)
+            ends, upto = by_byte[at], np.searchsorted(at, bytes_)
+            if np.diff(upto).max(initial=0) > 1 << PLACE_BITS:
+                raise ValueError(f"a text with more than {1 << PLACE_BITS} ends")
+            of_a, of_b = ends >> ID_BITS != NONE, ends & NONE != NONE
+            ends |= (np.arange(len(ends)) - np.repeat(upto[:-1], np.diff(upto))) << 2 * ID_BITS
+            lists = [_lists(np.concatenate([[0], np.cumsum(a_many)]), ends[of_a]), _lists(np.concatenate([[0], np.cumsum(b_many)]), ends[of_b]), _lists(upto, ends)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], ["row", "doc_id", "a", "b", "ends"])
 
     numbered = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return numbered.mapInArrow(run, TOKENS)
@@ -179,42 +196,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def grouped(tokens: DataFrame) -> DataFrame:
     """``row, doc_id, g`` with ``g.n_a, g.n_b, g.n_groups, g.n_links, g.groups_sha256``, ``g.pairs``: a pair's ids in one
-    number, the first above 32 bits, an entry for each link.
+    number, the first above ``ID_BITS`` bits, an entry for each link.
 
-    A group ends where both sides end a token: its last tokens are those that end there, its first the ones behind those
-    of the cut before. Places of both sides add up by two from cut to cut where a group is a token on either side, as most
-    are; only the others are taken apart. The text is Spark's own of the array of last tokens, with other signs between
-    them; where a group is another one, it has a number below zero and is cut there.
+    A group ends at a cut, where both sides end a token. Ends that are none (``loose``) stand in runs of neighbouring places,
+    and such a run with the cut behind it is a group of more than two tokens; the other groups are a token on either side,
+    and their cut alone tells both: the text is put together from stretches of these and the larger groups between them.
 
     Each step is a projection of its own, so that what comes next reads plain arrays. Lambdas are kept to few nodes.
     """
-    at = lambda values, places: let(F.col(values), lambda v: F.transform(places, lambda e: F.get(v, e)))
-    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
-    ids = ("row", "doc_id", "a_ids", "b_ids", "a_at")
-    cut = tokens.select(*ids, "both_at", "pair_at", F.array_intersect("a_ends", "b_ends").alias("ends"))
-    found = cut.select(*ids, "ends", at("pair_at", F.col("ends")).alias("last"), at("both_at", F.col("ends")).alias("places"))
-    # the cut before all tokens is at byte 0 and place -1 of either side
-    before = found.select("*", F.concat(F.array(F.lit(-2)), "places").alias("was"), F.concat(F.array(F.lit(0)), "ends").alias("cut"))
-    grown = before.select("*", let(F.col("was"), lambda was: F.transform("places", lambda x, g: x - F.get(was, g))).alias("step"))
-    rest = F.when(F.size("a_ids") == 0, F.array().cast("array<int>")).otherwise(let(F.col("step"), lambda step: F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda g: F.get(step, g) != 2)))
-
-    def group(g: Column) -> Column:
-        low, high = F.get("a_at", F.get("cut", g)), F.get("a_at", F.get("ends", g))
-        mine = F.slice("a_ids", low + 2, high - low)
-        return F.struct(mine.alias("a"), F.slice("b_ids", F.get("was", g) - low + 2, F.get("step", g) - (high - low)).alias("b"))
-
-    parts = grown.select("row", "doc_id", "a_ids", "b_ids", "last", "step", F.transform(rest, group).alias("rest"))
-    listed = F.zip_with("last", "step", lambda p, d: F.struct(F.when(d == 2, F.shiftright(p, 32)).otherwise(F.lit(-1).cast("long")), p.bitwiseAND(F.lit((1 << 32) - 1))))
-    plain = F.replace(F.replace(F.btrim(listed.cast("string"), F.lit("[{}]")), F.lit("}, {"), F.lit(";")), F.lit(", "), F.lit("|"))
+    left, right = lambda x: F.shiftright(x, ID_BITS).bitwiseAND(F.lit(NONE)), lambda x: x.bitwiseAND(F.lit(NONE))
+    cut = tokens.select("*", F.array_intersect("a", "b").alias("cut"))
+    loose = cut.select("*", F.transform("cut", lambda x: x.bitwiseAND(F.lit(PAIR))).alias("last"), F.transform(F.array_except("ends", "cut"), lambda x: F.shiftright(x, 2 * ID_BITS).cast("int")).alias("loose"))
+    # where a run begins: its first place, and how many loose ends and how many cuts stand before it
+    met = loose.select("*", F.transform("loose", lambda k, n: F.struct(k.alias("place"), n.alias("nth"), (k - n).alias("cuts"))).alias("met"))
+    run = let(F.concat(F.array(F.lit(-2)), "loose"), lambda was: F.filter("met", lambda x: x["place"] - F.get(was, x["nth"]) != 1))
+    runs = met.select("row", "doc_id", "a", "b", "ends", "last", F.size("loose").alias("n_loose"), run.alias("runs"))
+
+    def group(runs: Column, x: Column, k: Column) -> Column:
+        own = F.slice("ends", x["place"] + 1, F.coalesce(F.get(runs, k + 1)["nth"], "n_loose") - x["nth"] + 1)
+        of = lambda side: F.array_remove(F.transform(own, side), F.lit(NONE).cast("long"))
+        return F.struct(of(left).alias("a"), of(right).alias("b"))
+
+    rest = let(F.col("runs"), lambda runs: F.transform(runs, lambda x, k: group(runs, x, k)))
+    stretch = lambda runs, g, k: F.slice("last", F.coalesce(F.get(runs, k - 1)["cuts"] + 2, F.lit(1)), g - F.coalesce(F.get(runs, k - 1)["cuts"] + 1, F.lit(0)))
+    told = lambda p: F.concat(F.shiftright(p, ID_BITS).cast("string"), F.lit("|"), right(p).cast("string"))
+    between = let(F.col("runs"), lambda runs: F.transform(F.concat(F.transform(runs, lambda x: x["cuts"]), F.array(F.size("last"))), lambda g, k: F.array_join(F.transform(stretch(runs, g, k), told), ";")))
+    parts = runs.select("row", "doc_id", "a", "b", "last", rest.alias("rest"), between.alias("between"))
     joined = lambda x: F.array_join(x.cast("array<string>"), ",")
     others = F.concat(F.transform("rest", lambda x: F.concat(joined(x["a"]), F.lit("|"), joined(x["b"]))), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(F.split(plain, r"-1\|\d+"), others, lambda x, y: F.concat(x, y)), "")
+    text = F.array_join(F.array_remove(F.flatten(F.zip_with("between", others, lambda x, y: F.array(x, y))), ""), ";")
     # each group's pair of last tokens, then the other pairs of the groups with more than one
-    crossed = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: pair(i, j))))
+    crossed = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: F.shiftleft(i, ID_BITS) + j)))
     more = F.flatten(F.transform("rest", lambda x: let(crossed(x), lambda c: F.slice(c, F.lit(1), F.size(c) - 1))))
     links = F.aggregate("rest", F.size("last") - F.size("rest"), lambda n, x: n + F.size(x["a"]) * F.size(x["b"]))
-    digest = F.when(F.size("a_ids") == 0, "").otherwise(F.sha2(text, 256))
-    g = F.struct(F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("last").cast("long").alias("n_groups"), links.cast("long").alias("n_links"), digest.alias("groups_sha256"), F.concat("last", more).alias("pairs"))
+    digest = F.when(F.size("a") == 0, "").otherwise(F.sha2(text, 256))
+    g = F.struct(F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("last").cast("long").alias("n_groups"), links.cast("long").alias("n_links"), digest.alias("groups_sha256"), F.concat("last", more).alias("pairs"))
     return parts.select("row", "doc_id", g.alias("g"))
 
 
@@ -223,8 +239,8 @@ def aligned(docs: DataFrame, a: str, b: str, broadcast_pairs: int = BROADCAST_PA
     held = staged(grouped(tokenised(docs, a, b)), "alignment")
     counts = held.select(F.explode(F.array_distinct("g.pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count"))
     counts = staged(counts, "pair-counts")
-    most = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
-    told = staged(counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pairs-told")
+    most = counts.groupBy(F.shiftright("pair", ID_BITS).alias("a")).agg(F.max("count").alias("most"))
+    told = staged(counts.withColumn("a", F.shiftright("pair", ID_BITS)).join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pairs-told")
     links = held.select("row", F.explode("g.pairs").alias("pair"))
     if counts.count() <= broadcast_pairs:
         met = links.join(F.broadcast(told), "pair").withColumn("times", F.lit(1))

@@ -98,3 +98,31 @@ def test_no_python_behind_the_tokens(spark):
     tokens = spark.createDataFrame(alignment.tokenised(docs, A, B).collect(), alignment.TOKENS)
     plan = alignment.grouped(tokens)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
+
+
+def test_arrays_are_as_long_as_tokens(spark):
+    """What Spark gets of a text grows with its tokens, not with its bytes."""
+    docs = spark.createDataFrame([(1, " international" * 50)], "doc_id long, text string")
+    row = alignment.tokenised(docs, A, B).collect()[0]
+    arrays = [x for x in row if isinstance(x, list)]
+    assert max(map(len, arrays)) <= 110 and sum(map(len, arrays)) <= 330
+
+
+def test_words_are_asked_once(monkeypatch):
+    mine, asked = alignment.PieceTokens(B), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, words, **more):
+            asked.extend(words)
+            return self.library.encode(words, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+    mine.library = Counted(mine.library)
+    raw = ("word " + "long" * 30 + " word").encode()
+    first, again = (mine.rows(raw, np.array([0, len(raw)])) for _ in range(2))
+    assert first[0].tolist() == again[0].tolist() and sorted(asked) == ["long" * 30, "word"]
